@@ -78,7 +78,8 @@ SCORED_CTE = f"""sc AS (
                                           WHEN 1 THEN 'Malware Activity' ELSE 'DoS Indicators' END
       ELSE 'Normal' END AS raw_category,
     CAST(400 + (event_id * 7919) % 601 AS DOUBLE) / 1000 AS confidence,
-    concat(event_type, ' event ', CAST(event_id AS VARCHAR), ' by user', CAST(user_id % 20 AS VARCHAR)) AS event
+    concat(event_type, ' event ', CAST(event_id AS VARCHAR), ' by user', CAST(user_id % 20 AS VARCHAR)) AS event,
+    CAST(floor(epoch(ts)) AS BIGINT) AS event_sec
   FROM events)"""
 
 

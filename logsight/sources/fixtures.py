@@ -50,7 +50,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(row_id, ts_sec, src_ip, username, dst_port, raw_category, confidence, event)."""
+    """(row_id, ts_sec, src_ip, username, dst_port, raw_category, confidence, event, event_sec)."""
     ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
     return ev.selectExpr(
         "event_id AS row_id", f"{SEC_EXPR} AS ts_sec",
@@ -65,4 +65,5 @@ def scored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
              ELSE 'Normal' END AS raw_category""",
         "CAST(400 + (event_id * 7919) % 601 AS DOUBLE) / 1000 AS confidence",
         "concat(event_type, ' event ', CAST(event_id AS STRING), ' by user', CAST(user_id % 20 AS STRING)) AS event",
+        "timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ)) AS event_sec",
     )
