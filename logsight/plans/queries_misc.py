@@ -19,7 +19,7 @@ from logsight.plans import sql_blocks as S
 from logsight.plans.catalog import register
 from logsight.plans.inputs import canonical_lines
 from logsight.plans.queries_stats import SCORED, _level_name_sql, _pct_sql, _rank_sql, scored
-from logsight.session import ensure_checkpoint_dir, read_table
+from logsight.session import ensure_checkpoint_dir, read_table, spread
 from logsight.sources.admission import check_files
 from logsight.sources.delimited import read_delimited
 from logsight.sources.fixtures import log_lines, scored_events
@@ -109,7 +109,8 @@ dd AS (SELECT *, row_number() OVER (
 
 
 def _doc_events(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("value"))
+    docs = spread(read_table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("row_id"),
+                                                                 F.col("text").alias("value"))
     return to_canonical_events(parse_lines(docs))
 
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsight.session import read_table
+from logsight.session import read_table, spread
 
 SEC_EXPR = ("1786320000 + (timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', "
             "CAST(ts AS TIMESTAMP_NTZ)) div 300) - 5680000")
@@ -22,7 +22,7 @@ TS_EXPR = "timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, sec)"
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row_id BIGINT, value STRING, label STRING)."""
-    ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    ev = spread(read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type"))
     c = ev.selectExpr(
         "event_id AS row_id", "event_type", "user_id", f"{SEC_EXPR} AS sec",
         "concat('10.0.', CAST(user_id % 3 AS STRING), '.', CAST(10 + user_id % 12 AS STRING)) AS ip",
