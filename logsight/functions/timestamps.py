@@ -38,8 +38,10 @@ DIRECT_FORMATS = (
 
 def ntz_from_seconds(sec: Column | str) -> Column:
     """BIGINT epoch seconds -> TIMESTAMP_NTZ holding the UTC wall clock."""
-    return F.lit(_dt.datetime(1970, 1, 1)).cast("timestamp_ntz") + F.make_dt_interval(
-        F.lit(0), F.lit(0), F.lit(0), _c(sec))
+    # a typed SQL literal: a Python datetime literal would pass through the
+    # session time zone
+    epoch = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00"))
+    return epoch + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), _c(sec))
 
 
 def format_seconds(sec: Column | str, fmt: str = "yyyy-MM-dd HH:mm:ss") -> Column:

@@ -26,6 +26,7 @@ def q_parse_lines(spark, sf_dir):
 def _by_format(fmt):
     def q(spark, sf_dir):
         return parsed_lines(spark, sf_dir).filter(F.col("format") == fmt).select(*PARSE_COLS)
+    q.__doc__ = f"LP*: lines detected as {fmt}."
     return q
 
 

@@ -238,6 +238,7 @@ def _page_query(key, ascending, page_no):
     def q(spark, sf_dir):
         det = DT.filter_detections(scored(spark, sf_dir))
         return DT.page(det, key, ascending, page_no)
+    q.__doc__ = f"WIN5 + SRT1: detections sorted by {key} ({'asc' if ascending else 'desc'}), page {page_no}."
     return q
 
 

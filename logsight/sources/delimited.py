@@ -99,7 +99,8 @@ def read_delimited(spark: SparkSession, paths: list[str] | str, sep: str | None
     df = (spark.read.option("header", True).option("enforceSchema", True).option("sep", sep)
           .option("encoding", encoding).option("mode", "PERMISSIVE").option("multiLine", False)
           .schema(schema).csv(paths))
-    df = with_row_key(df).filter(F.col("_overflow").isNull()).drop("_overflow")
+    # keys after the over-long-row filter so ids stay consecutive
+    df = with_row_key(df.filter(F.col("_overflow").isNull()).drop("_overflow"))
     meta = {"encoding": encoding, "separator": sep, "columns": names,
             "files": [os.path.basename(p) for p in paths]}
     if dense_ids:

@@ -1,8 +1,8 @@
 """Raw log files -> numbered non-blank lines (SRC3).
 
 ``spark.read.text`` splits files into lines in parallel (one task per split).
-Files that do not decode as UTF-8 (the reader yields U+FFFD) are re-read as
-ISO-8859-1 from their bytes; only those files pay the whole-file read.
+Files holding a line that is not valid UTF-8 are re-read as ISO-8859-1 from
+their bytes; only those files pay the whole-file read.
 """
 from __future__ import annotations
 
@@ -13,8 +13,6 @@ from logsight.functions.text import strip_ws
 from logsight.session import stage
 from logsight.sources.rowid import dense_row_id, with_row_key
 
-REPLACEMENT_CHAR = "�"
-
 
 def read_log_lines(spark: SparkSession, paths: list[str] | str, latin1_fallback: bool = True,
                    dense_ids: bool = True) -> DataFrame:
@@ -24,21 +22,22 @@ def read_log_lines(spark: SparkSession, paths: list[str] | str, latin1_fallback:
     (per-split counts + offsets); otherwise ``row_id`` is a sortable but
     sparse id."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    text = with_row_key(spark.read.text(paths))
+    # keys are assigned after the blank-line filter so ids stay consecutive
+    text = with_row_key(spark.read.text(paths).filter(strip_ws(F.col("value")) != ""))
     lines = text.select("value", "_file", "_split", "_mono")
     if latin1_fallback:
-        bad = lines.filter(F.col("value").contains(REPLACEMENT_CHAR)).select("_file").distinct()
+        bad = lines.filter(~F.is_valid_utf8("value")).select("_file").distinct()
         good = lines.join(bad, "_file", "left_anti")
         raw = (spark.read.format("binaryFile").load(paths)
                .select(F.col("path").alias("_file"), "content")
                .join(bad, "_file", "left_semi"))
-        decoded = raw.select(
-            "_file", F.posexplode(F.split(F.decode("content", "ISO-8859-1"), r"\r\n|\r|\n", -1)).alias("_pos", "value"))
+        kept = F.filter(F.split(F.decode("content", "ISO-8859-1"), r"\r\n|\r|\n", -1),
+                        lambda x: F.regexp_replace(x, r"^\s+|\s+$", "") != "")
+        decoded = raw.select("_file", F.posexplode(kept).alias("_pos", "value"))
         # one split per file: the position orders the lines
         latin = decoded.select("value", "_file", F.lit(0).cast("bigint").alias("_split"),
                                F.col("_pos").cast("bigint").alias("_mono"))
         lines = good.unionByName(latin)
-    lines = lines.filter(strip_ws(F.col("value")) != "")
     if not dense_ids:
         return lines.select(F.col("_mono").alias("row_id"), "value", F.col("_file").alias("file_path"))
     staged = stage(lines.withColumn("file_path", F.col("_file")), "log-lines")
