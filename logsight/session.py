@@ -13,7 +13,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
-                  app_name: str = "logsight") -> SparkSession:
+                  app_name: str = "logsight", time_zone: str = "UTC") -> SparkSession:
     """Session for tests and the benchmark. On a cluster, the deployment's own
     settings win (``getOrCreate`` returns the existing session)."""
     builder = (
@@ -26,7 +26,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
-        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.session.timeZone", time_zone)
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
