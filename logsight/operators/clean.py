@@ -99,7 +99,11 @@ def preprocess(events: DataFrame, assume_year: int | None = None,
     df = dedupe_events(df)
     df = normalise(df, assume_year)
     df = add_text_columns(fill_missing(df))
-    return add_behavioural_features(df) if with_features else df
+    if not with_features:
+        return df
+    # the features read the cleaned rows three times (two aggregates and the
+    # join back): stage them once rather than re-running the dedupe each time
+    return add_behavioural_features(stage(df, "clean-base"))
 
 
 def cleaning_report(events: DataFrame, assume_year: int | None = None) -> DataFrame:

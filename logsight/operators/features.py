@@ -47,31 +47,35 @@ def ip_second_counts(df: DataFrame) -> DataFrame:
 
 def ip_rate(counts: DataFrame, window: int = C.RATE_WINDOW_SECONDS,
             bucket: int = RATE_BUCKET_SECONDS) -> DataFrame:
-    """(src_ip, ts_sec, ip_rate_1min): events of the same IP with
-    |Δt| <= ``window`` s (both ends inclusive, self included) (WIN1)."""
-    timed = counts.filter(F.col("ts_sec").isNotNull())
+    """(src_ip, ts_sec, ip_rate_1min) for every (src_ip, ts_sec) of ``counts``:
+    events of the same IP with |Δt| <= ``window`` s (both ends inclusive, self
+    included); 0 where ts_sec is null (WIN1).
+
+    Each row goes to its own hour bucket and, when it lies within ``window``
+    of a bucket edge, also to the neighbouring bucket as a ghost (one
+    ``explode``, no union: the counts are computed once). The window sums
+    counts inside (src_ip, bucket); ghosts are dropped afterwards."""
     b = F.floor(F.col("ts_sec") / bucket)
-    home = timed.withColumn("_b", b).withColumn("_home", F.lit(True))
-    to_next = (timed.filter(F.col("ts_sec") >= (b + 1) * bucket - window)
-               .withColumn("_b", b + 1).withColumn("_home", F.lit(False)))
-    to_prev = (timed.filter(F.col("ts_sec") < b * bucket + window)
-               .withColumn("_b", b - 1).withColumn("_home", F.lit(False)))
-    w = (Window.partitionBy("src_ip", "_b").orderBy("ts_sec")
-         .rangeBetween(-window, window))
-    return (home.unionByName(to_next).unionByName(to_prev)
-            .withColumn("ip_rate_1min", F.sum("n").over(w))
+    targets = F.array_compact(F.array(
+        F.struct(b.alias("_b"), F.lit(True).alias("_home")),
+        F.when(F.col("ts_sec") >= (b + 1) * bucket - window,
+               F.struct((b + 1).alias("_b"), F.lit(False).alias("_home"))),
+        F.when(F.col("ts_sec") < b * bucket + window,
+               F.struct((b - 1).alias("_b"), F.lit(False).alias("_home")))))
+    placed = counts.select("src_ip", "ts_sec", "n", F.explode(targets).alias("_t")).select(
+        "src_ip", "ts_sec", "n", "_t._b", "_t._home")
+    w = Window.partitionBy("src_ip", "_b").orderBy("ts_sec").rangeBetween(-window, window)
+    return (placed.withColumn("ip_rate_1min", F.sum("n").over(w))
             .filter(F.col("_home"))
-            .select("src_ip", "ts_sec", "ip_rate_1min"))
+            .select("src_ip", "ts_sec",
+                    F.when(F.col("ts_sec").isNull(), F.lit(0)).otherwise(F.col("ip_rate_1min"))
+                     .cast("bigint").alias("ip_rate_1min")))
 
 
 def ip_lookup(df: DataFrame, text_col: str = "event_clean") -> DataFrame:
     """One row per (src_ip, ts_sec) with every per-IP feature."""
-    counts = ip_second_counts(df)
-    rate = ip_rate(counts)
-    keys = counts.select("src_ip", "ts_sec")
-    joined = keys.join(rate, ["src_ip", "ts_sec"], "left")
-    return (joined.join(ip_profile(df, text_col), "src_ip", "left")
-            .withColumn("ip_rate_1min", F.coalesce(F.col("ip_rate_1min"), F.lit(0)).cast("bigint")))
+    rate = ip_rate(ip_second_counts(df))
+    return rate.join(ip_profile(df, text_col), "src_ip", "left")
 
 
 def event_features(df: DataFrame, text_col: str = "event_clean") -> DataFrame:
