@@ -144,6 +144,17 @@ KV_PATTERNS = (
     ("status", r"\b(?:status|code)[:=]\s*(\d{3})"),
 )
 KV_USER_RE = r"\b(?:user|username|account|login)[:=]\s*([\w.@-]{1,64})"
+# Literal substrings without which a key=value pattern cannot match (a cheap
+# guard run before the regex).
+KV_KEYWORDS = {
+    "src_ip": ("src", "source", "client", "remote"),
+    "dst_ip": ("dst", "dest", "server"),
+    "dst_port": ("port",),
+    "bytes": ("bytes", "size", "len"),
+    "duration": ("duration", "elapsed"),
+    "status": ("status", "code"),
+    "username": ("user", "account", "login"),
+}
 
 # Timestamp routes.
 NOYEAR_TS_RE = r"^[A-Za-z]{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}$"

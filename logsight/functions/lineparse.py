@@ -17,18 +17,33 @@ from logsight.functions.text import (first_ipv4, first_match, regexp_groups, rem
 KV = dict(C.KV_PATTERNS)
 
 
+def _mentions(text: Column, words) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | text.contains(w)
+    return out
+
+
 def _kv(text: Column, field: str) -> Column:
-    return first_match(text, KV[field])
+    """key=value field, the regex run only when one of its keys occurs."""
+    return F.when(_mentions(text, C.KV_KEYWORDS[field]), first_match(text, KV[field]))
 
 
 def _kv_user(text: Column) -> Column:
-    return first_match(text, "(?U)" + C.KV_USER_RE)
+    return F.when(_mentions(text, C.KV_KEYWORDS["username"]), first_match(text, "(?U)" + C.KV_USER_RE))
 
 
 def line_format(s: Column) -> Column:
-    return (F.when(s.rlike(C.APACHE_RE), "apache")
-            .when(s.rlike(C.SYSLOG_RE), "syslog")
-            .when(s.rlike(C.ISO_RE), "iso")
+    """apache / syslog / iso / generic. Each pattern runs only when the line
+    has what the pattern needs literally ('[' and '"'; a leading month name;
+    a leading digit), so most lines cost one regex."""
+    months = C.MONTHS.split("|")
+    maybe_apache = s.contains("[") & s.contains('"')
+    maybe_syslog = F.substring(s, 1, 3).isin(*months)
+    maybe_iso = F.substring(s, 1, 1).between("0", "9")
+    return (F.when(maybe_apache & s.rlike(C.APACHE_RE), "apache")
+            .when(maybe_syslog & s.rlike(C.SYSLOG_RE), "syslog")
+            .when(maybe_iso & s.rlike(C.ISO_RE), "iso")
             .otherwise("generic"))
 
 
@@ -56,7 +71,9 @@ def parse_lines(df: DataFrame, col: str = "value") -> DataFrame:
                                                regexp_groups(s, C.SYSLOG_RE, 4),
                                                regexp_groups(s, C.ISO_RE, 3),
                                                F.array()))
-    gen_ts = F.coalesce(*[F.regexp_substr(s, F.lit(p)) for p in C.GENERIC_TS_RES])
+    # generic timestamp patterns in order; each guarded by a literal it needs
+    guards = (s.contains("-") & s.contains(":"), s.contains(":"), s.contains("/"), F.lit(True))
+    gen_ts = F.coalesce(*[F.when(g, F.regexp_substr(s, F.lit(p))) for g, p in zip(guards, C.GENERIC_TS_RES)])
     staged = staged.select(
         *keep, "_s", "format", "_g",
         by_format(g[2], g[0], g[0], gen_ts).alias("ts_raw"),

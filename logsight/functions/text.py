@@ -21,9 +21,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+WHITESPACE = " \t\n\r\x0b\x0c"  # the regex class \s
+
+
 def strip_ws(col: Column | str) -> Column:
-    """Trim whitespace of any kind at both ends (``trim`` only removes spaces)."""
-    return F.regexp_replace(_c(col), r"^\s+|\s+$", "")
+    """Trim whitespace (space, tab, CR, LF, VT, FF) at both ends — a character
+    set trim, no regex."""
+    return F.trim(_c(col), F.lit(WHITESPACE))
 
 
 def blank_to_null(col: Column | str) -> Column:
