@@ -54,7 +54,7 @@ def remove_duplicates(df: DataFrame, subset: list[str] | None = None, order_col:
     """DD3L: drop rows equal to an earlier one on ``subset`` (all columns but
     ``order_col`` when None), keeping the first — grouped min + semi-join."""
     key = subset or [c for c in df.columns if c != order_col]
-    firsts = (df.groupBy(*key).agg(F.min(order_col).alias(order_col)).select(order_col))
+    firsts = (df.groupBy(*key).agg(F.min(order_col).alias("_first")).select(F.col("_first").alias(order_col)))
     return df.join(firsts, order_col, "left_semi")
 
 
@@ -111,3 +111,30 @@ def attack_distribution(df: DataFrame, category: str = "category", severity: str
                      F.coalesce(F.col(severity), F.lit(C.LEGACY_SEVERITY_DEFAULT)).alias("name")).agg(
         F.count(F.lit(1)).alias("count"))
     return cats.unionByName(sevs)
+
+
+def normalize_timestamps(df: DataFrame, column: str = "timestamp") -> DataFrame:
+    """TS9L as a frame operator: adds ``normalized_timestamp`` (TIMESTAMP_NTZ, UTC)."""
+    from logsight.functions.timestamps import ntz_from_seconds
+    if column not in df.columns:
+        return df
+    return df.withColumn("normalized_timestamp", ntz_from_seconds(legacy_normalise_timestamp(column)))
+
+
+def preprocess_data(df: DataFrame, now: str, order_col: str = "line_number") -> DataFrame:
+    """PIPE1L: full-row dedupe (keep first) -> legacy timestamps -> generic fill
+    (``now`` fills missing timestamps; it is a parameter, not the wall clock)."""
+    # full-row duplicates compare every column, the line number included (so a
+    # log frame never loses a line); the line number still orders keep-first
+    deduped = remove_duplicates(df, list(df.columns), order_col)
+    return fill_missing_generic(normalize_timestamps(deduped), "fill", now)
+
+
+def preprocessing_stats(original: DataFrame, processed: DataFrame) -> DataFrame:
+    """AGG18L: original vs processed row counts, their difference, the columns."""
+    a = original.agg(F.count(F.lit(1)).alias("original_rows")).withColumn("_k", F.lit(1))
+    b = processed.agg(F.count(F.lit(1)).alias("processed_rows")).withColumn("_k", F.lit(1))
+    # two one-row aggregates
+    return (a.join(b, "_k").drop("_k")
+             .withColumn("duplicates_removed", F.col("original_rows") - F.col("processed_rows"))
+             .withColumn("columns", F.array(*[F.lit(c) for c in processed.columns])))

@@ -214,3 +214,27 @@ def load_model(path: str) -> PipelineModel:
         return PipelineModel.load(path)
     except Exception as exc:  # noqa: BLE001
         raise FileNotFoundError(f"no trained model at {path}: train one first") from exc
+
+
+def model_card(model: PipelineModel, train_df: DataFrame, test_df: DataFrame,
+               label: str = "label_original") -> DataFrame:
+    """SNK4: one-row metrics record — accuracy, per-class precision / recall /
+    F1 / support, row counts, features — ready to write as JSON."""
+    from logsight.operators.evaluation import classification_report
+    pred = IndexToString(inputCol="prediction", outputCol="_pred", labels=class_labels(model)).transform(
+        model.transform(test_df))
+    per_class = classification_report(pred, label, "_pred", digits=3)
+    acc = pred.agg(F.round(F.avg((F.col(label) == F.col("_pred")).cast("double")), 4).alias("accuracy"),
+                   F.count(F.lit(1)).alias("test_rows"))
+    classes = per_class.agg(F.sort_array(F.collect_list(F.struct("class", "precision", "recall", "f1",
+                                                                 "support"))).alias("per_class"))
+    n_train = train_df.agg(F.count(F.lit(1)).alias("train_rows"))
+    one = [acc, classes, n_train]
+    out = one[0].withColumn("_k", F.lit(1))
+    for o in one[1:]:
+        # each side is a single-row global aggregate
+        out = out.join(o.withColumn("_k", F.lit(1)), "_k")
+    return (out.drop("_k")
+               .withColumn("model", F.lit("TF-IDF (word 1-2g + char_wb 3-5g) + scaled numeric + LogisticRegression"))
+               .withColumn("numeric_features", F.array(*[F.lit(c) for c in C.MODEL_NUMERIC_FEATURES]))
+               .withColumn("text_feature", F.lit(C.TEXT_FEATURE)))

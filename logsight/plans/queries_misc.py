@@ -443,3 +443,47 @@ def q_log_roundtrip(spark, sf_dir):
 def q_file_check(spark, sf_dir):
     """SRC5: admission verdicts for every file in the input folder."""
     return check_files(spark, sf_dir)
+
+
+# ---- legacy preprocessing, preview, summary ---------------------------------------------
+_LEGACY_NOW = "2026-01-01 00:00:00"  # fill value for missing timestamps (a parameter, not the clock)
+_KW_TEXT = ["raw_line", "timestamp", "ip_addresses", "source_ip", "username", "event_keywords", "event_description"]
+
+
+def _legacy_pre(spark, sf_dir):
+    return LG.preprocess_data(_kw_frame(spark, sf_dir), _LEGACY_NOW)
+
+
+@register("legacy_preprocess", f"""WITH {_legacy_kw_sql()},
+t AS (SELECT *, {_legacy_ts_sql(S.strip_sql('timestamp'))} AS sec FROM kw)
+SELECT line_number, {', '.join(f"coalesce({c}, 'unknown') AS {c}" for c in _KW_TEXT)},
+       coalesce({S.fmt_sec('sec')}, '{_LEGACY_NOW}') AS normalized_timestamp FROM t""")
+def q_legacy_preprocess(spark, sf_dir):
+    """PIPE1L: full-row dedupe -> legacy timestamps -> generic fill."""
+    out = _legacy_pre(spark, sf_dir)
+    return out.select(F.col("line_number").cast("bigint"), *_KW_TEXT,
+                      F.date_format("normalized_timestamp", "yyyy-MM-dd HH:mm:ss").alias("normalized_timestamp"))
+
+
+@register("legacy_preprocessing_stats", f"""WITH {_legacy_kw_sql()}
+SELECT count(*) AS original_rows, count(*) AS processed_rows, CAST(0 AS BIGINT) AS duplicates_removed,
+       {len(_KW_TEXT) + 2} AS n_columns FROM kw""")
+def q_legacy_preprocessing_stats(spark, sf_dir):
+    """AGG18L: rows before/after the legacy preprocessing (a log frame carries
+    line numbers, so full-row dedupe removes nothing)."""
+    st = LG.preprocessing_stats(_kw_frame(spark, sf_dir), _legacy_pre(spark, sf_dir))
+    return st.select("original_rows", "processed_rows", "duplicates_removed",
+                     F.size("columns").alias("n_columns"))
+
+
+@register("dataset_preview")
+def q_dataset_preview(spark, sf_dir):
+    """AGG19L: columns, types and null counts of the legacy keyword frame."""
+    return PF.dataset_preview(_kw_frame(spark, sf_dir), order_col="line_number")["columns"]
+
+
+@register("summary_sentences")
+def q_summary_sentences(spark, sf_dir):
+    """STR8: plain-language summary paragraphs from the scored fixture."""
+    from logsight.operators.report import summary_sentences
+    return summary_sentences(scored(spark, sf_dir), "events")

@@ -127,3 +127,11 @@ def q_analyse_categories(spark, sf_dir):
     model, _, _ = trained(spark, sf_dir)
     result = analyse(canonical_lines(spark, sf_dir), model, assume_year=FIXTURE_YEAR, with_report=False)
     return result.figures["category_breakdown"]
+
+
+@register("model_card")
+def q_model_card(spark, sf_dir):
+    """SNK4: metrics record of the fitted classifier."""
+    model, test, data = trained(spark, sf_dir)
+    train_df, _ = M.stratified_split(data)
+    return M.model_card(model, train_df, test)

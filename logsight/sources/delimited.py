@@ -87,7 +87,8 @@ def unique_names(header: list[str]) -> list[str]:
 
 
 def read_delimited(spark: SparkSession, paths: list[str] | str, sep: str | None = None,
-                   encoding: str | None = None, dense_ids: bool = False) -> tuple[DataFrame, dict]:
+                   encoding: str | None = None, dense_ids: bool = False,
+                   max_rows_per_file: int | None = None) -> tuple[DataFrame, dict]:
     """(DataFrame of string columns + row_id, metadata). All files share the
     first file's header, encoding and separator."""
     paths = [paths] if isinstance(paths, str) else list(paths)
@@ -105,7 +106,7 @@ def read_delimited(spark: SparkSession, paths: list[str] | str, sep: str | None
             "files": [os.path.basename(p) for p in paths]}
     if dense_ids:
         from logsight.session import stage
-        return dense_row_id(stage(df, "delimited")), meta
+        return dense_row_id(stage(df, "delimited"), max_rows_per_file=max_rows_per_file), meta
     return df.withColumnRenamed("_mono", "row_id").drop("_file", "_split"), meta
 
 

@@ -15,7 +15,7 @@ from logsight.sources.rowid import dense_row_id, with_row_key
 
 
 def read_log_lines(spark: SparkSession, paths: list[str] | str, latin1_fallback: bool = True,
-                   dense_ids: bool = True) -> DataFrame:
+                   dense_ids: bool = True, max_rows_per_file: int | None = None) -> DataFrame:
     """(row_id, value, file_path): non-blank lines in file order.
 
     With ``dense_ids`` the keyed lines are staged once and numbered 1..n
@@ -41,4 +41,4 @@ def read_log_lines(spark: SparkSession, paths: list[str] | str, latin1_fallback:
     if not dense_ids:
         return lines.select(F.col("_mono").alias("row_id"), "value", F.col("_file").alias("file_path"))
     staged = stage(lines.withColumn("file_path", F.col("_file")), "log-lines")
-    return dense_row_id(staged).select("row_id", "value", "file_path")
+    return dense_row_id(staged, max_rows_per_file=max_rows_per_file).select("row_id", "value", "file_path")

@@ -117,3 +117,40 @@ def test_admission(spark, tmpdir_path):
     assert v["report.pdf"] == (False, "extension not allowed")
     assert v["macro.xlsx"] == (False, "contains macros")
     assert v["fake.xlsx"] == (False, "not a zip archive")
+
+
+def test_read_events_dispatch_and_row_cap(spark, tmpdir_path):
+    from logsight.sources.dispatch import read_events
+    log = _write(os.path.join(tmpdir_path, "auth.log"),
+                 "Aug 14 10:22:31 h sshd[1]: Failed password for root from 10.0.0.1 port 22 ssh2\n"
+                 "Aug 14 10:22:32 h sshd[1]: Failed password for root from 10.0.0.1 port 22 ssh2\n"
+                 "Aug 14 10:22:33 h sshd[1]: Accepted password for bob from 10.0.0.2 port 22 ssh2\n")
+    csvp = _write(os.path.join(tmpdir_path, "t.csv"), "timestamp,source ip,message\n2026-08-14 10:00:00,1.1.1.1,hi\n")
+    ev, meta = read_events(spark, [log, csvp])
+    got = sorted((r["detected_type"], r["src_ip"]) for r in ev.collect())
+    assert got == [("CSV / tabular (.csv)", "1.1.1.1"), ("Raw log (.log)", "10.0.0.1"),
+                   ("Raw log (.log)", "10.0.0.1"), ("Raw log (.log)", "10.0.0.2")]
+    assert meta[".csv"]["column_mapping"]["src_ip"] == "source ip"
+    capped = read_log_lines(spark, log, max_rows_per_file=2).orderBy("row_id").collect()
+    assert [r["row_id"] for r in capped] == [1, 2] and "Accepted" not in capped[-1]["value"]
+
+
+def test_mitigations_json_and_training_frame(spark, tmpdir_path):
+    import json
+    from logsight.sources.dispatch import training_frame
+    from logsight.sources.mitigations import attach_mitigations, load_mitigations
+    p = _write(os.path.join(tmpdir_path, "m.json"), json.dumps(
+        {"Port Scan": {"summary": "s", "steps": ["a", "b"], "mitre": ["T1046"]}}))
+    table = load_mitigations(spark, p)
+    df = spark.createDataFrame([("Port Scan",), ("Other",)], "predicted_category string")
+    rows = {r["predicted_category"]: r for r in attach_mitigations(df, table).collect()}
+    assert rows["Port Scan"]["steps"] == ["a", "b"] and rows["Other"]["steps"] == [] and rows["Other"]["summary"] == ""
+    tf = training_frame(spark.createDataFrame([(1, "x", "Normal")], "row_id long, event string, label string"))
+    assert "label_original" in tf.columns and tf.schema["dst_port"].dataType.simpleString() == "double"
+
+
+def test_read_table_plain(spark, tmpdir_path):
+    from logsight.sources.delimited import read_table_plain
+    p = _write(os.path.join(tmpdir_path, "plain.csv"), "a,b\n1,x\n2,y\n")
+    df = read_table_plain(spark, p)
+    assert df.schema["a"].dataType.simpleString() == "int" and df.count() == 2
