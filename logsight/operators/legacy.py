@@ -58,30 +58,76 @@ def remove_duplicates(df: DataFrame, subset: list[str] | None = None, order_col:
     return df.join(firsts, order_col, "left_semi")
 
 
+SMALL_BAND = 200_000
+
+
+def _kth(x: DataFrame, k: int, n: int) -> float:
+    """k-th smallest (0-based) of column ``x`` by band narrowing: a quantile
+    sketch brackets rank k, rows below the band are counted, and the band is
+    re-bracketed until it holds few enough values to sort exactly. Every
+    step is a distributed aggregate; at most SMALL_BAND values reach the
+    driver."""
+    below, cur, m = 0, x, n
+    while m > SMALL_BAND:
+        eps = max(2.0 * SMALL_BAND ** -1, 1e-4)
+        p = (k - below) / m
+        lo, hi = cur.approxQuantile("x", [max(0.0, p - eps), min(1.0, p + eps)], eps / 4)
+        stats = cur.agg(F.count_if(F.col("x") < lo).alias("b"),
+                        F.count_if(F.col("x").between(lo, hi)).alias("m")).first()
+        if lo == hi:  # every value in the band is the same
+            return lo
+        if stats["m"] >= m:  # no progress (heavy ties): walk the band's value counts
+            return _kth_by_counts(cur.filter(F.col("x").between(lo, hi)), k - below - stats["b"])
+        below, m = below + stats["b"], stats["m"]
+        cur = cur.filter(F.col("x").between(lo, hi))
+    vals = sorted(r[0] for r in cur.collect())
+    return vals[k - below]
+
+
+def _kth_by_counts(x: DataFrame, k: int) -> float:
+    """k-th smallest from (value, count) pairs streamed in value order."""
+    seen = 0
+    for row in x.groupBy("x").count().orderBy("x").toLocalIterator():
+        seen += row["count"]
+        if seen > k:
+            return row["x"]
+    raise ValueError("rank beyond the data")
+
+
+def exact_median(df: DataFrame, column: str) -> float | None:
+    """Exact median (mean of the two middle values for an even count) of a
+    numeric column without gathering the column in one task."""
+    x = df.select(F.col(column).cast("double").alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
+    n = x.count()
+    if n == 0:
+        return None
+    lo_k, hi_k = (n - 1) // 2, n // 2
+    a = _kth(x, lo_k, n)
+    return a if lo_k == hi_k else (a + _kth(x, hi_k, n)) / 2.0
+
+
 def fill_missing_generic(df: DataFrame, strategy: str = "fill", now: str | None = None,
                          approx: bool = False) -> DataFrame:
     """PRJ8: ``fill`` -> text 'unknown', numbers the column median (0 when all
     null), timestamps ``now``; ``drop`` -> drop rows with any null.
 
-    The exact median keeps a value->count map per column (memory grows with
-    distinct values, not rows); ``approx=True`` uses a bounded sketch."""
+    The exact median is found by distributed band narrowing
+    (:func:`exact_median`); ``approx=True`` uses one quantile sketch."""
     if strategy == "drop":
         return df.na.drop("any")
     nums = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.IntegerType, T.LongType, T.DoubleType,
                                                                          T.FloatType, T.ShortType))]
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     times = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))]
-    out = df
     if nums:
-        def med(c):
-            x = F.col(c).cast("double")
-            return F.percentile_approx(x, 0.5) if approx else F.median(x)
-        stats = (df.agg(*[F.coalesce(med(c), F.lit(0.0)).alias(f"_m_{c}") for c in nums])
-                   .withColumn("_k", F.lit(1)))
-        # one-row statistics table, attached by a broadcast constant-key join
-        out = out.withColumn("_k", F.lit(1)).join(F.broadcast(stats), "_k").drop("_k")
-        for c in nums:
-            out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}"))).drop(f"_m_{c}")
+        # one pass per median plus the fill itself: read a staged copy
+        from logsight.session import stage
+        df = stage(df, "generic-fill")
+    out = df
+    for c in nums:
+        m = exact_median(df, c) if not approx else df.agg(
+            F.percentile_approx(F.col(c).cast("double"), 0.5)).first()[0]
+        out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(0.0 if m is None else float(m))))
     if texts:
         out = out.na.fill("unknown", subset=texts)
     if times and now is not None:

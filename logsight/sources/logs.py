@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logsight import constants as C
 from logsight.functions.text import strip_ws
 from logsight.session import stage
 from logsight.sources.rowid import dense_row_id, with_row_key
@@ -28,7 +29,9 @@ def read_log_lines(spark: SparkSession, paths: list[str] | str, latin1_fallback:
     if latin1_fallback:
         bad = lines.filter(~F.is_valid_utf8("value")).select("_file").distinct()
         good = lines.join(bad, "_file", "left_anti")
+        # a fallback file is decoded whole in one task: bounded by the admission size limit
         raw = (spark.read.format("binaryFile").load(paths)
+               .filter(F.col("length") <= C.MAX_UPLOAD_BYTES)
                .select(F.col("path").alias("_file"), "content")
                .join(bad, "_file", "left_semi"))
         kept = F.filter(F.split(F.decode("content", "ISO-8859-1"), r"\r\n|\r|\n", -1),
