@@ -135,3 +135,20 @@ def q_model_card(spark, sf_dir):
     model, test, data = trained(spark, sf_dir)
     train_df, _ = M.stratified_split(data)
     return M.model_card(model, train_df, test)
+
+
+_CHAR_SQL = f"""WITH {S.clean_events_cte(FIXTURE_YEAR)},
+w AS (SELECT row_id, ' ' || unnest(list_filter(regexp_split_to_array(event_clean, '\\s+'), lambda x: x <> '')) || ' '
+             AS pw FROM clean WHERE length(event_clean) > 0),
+g AS (SELECT row_id, unnest(flatten(list_transform(range(3, 6), lambda n: list_transform(
+             range(1, length(pw) - n + 2), lambda i: substr(pw, i, n))))) AS gram FROM w)
+SELECT gram, count(DISTINCT row_id) AS df FROM g GROUP BY gram HAVING count(DISTINCT row_id) >= 3"""
+
+
+@register("char_ngrams", _CHAR_SQL)
+def q_char_ngrams(spark, sf_dir):
+    """STR11 + ML1: character 3-5-grams inside space-padded words, document
+    frequency (minDF 3) — the char_wb vocabulary of the classifier."""
+    df = M.trainable_rows(clean_lines(spark, sf_dir, with_features=False)).select("row_id", C.TEXT_FEATURE)
+    grams = df.select("row_id", F.explode(F.array_distinct(F.expr(M.char_wb_expr(C.TEXT_FEATURE)))).alias("gram"))
+    return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= 3)
