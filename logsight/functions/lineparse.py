@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsight import constants as C
-from logsight.functions.text import (first_ipv4, first_match, regexp_groups, remove_first_occurrence,
+from logsight.functions.text import (first_ipv4, first_match, let, regexp_groups, remove_first_occurrence,
                                      strip_ws)
 
 KV = dict(C.KV_PATTERNS)
@@ -47,73 +47,86 @@ def line_format(s: Column) -> Column:
             .otherwise("generic"))
 
 
+PARSED_FIELDS = ["format", "ts_raw", "src_ip", "dst_ip", "dst_port", "username", "event", "bytes",
+                 "duration", "status", "host", "prog", "parse_ok"]
+
+
+def _parse_struct(s: Column) -> Column:
+    """All fields of one trimmed, non-blank line as a struct.
+
+    Intermediate values (format, the capture groups of the line's format,
+    the message body, the raw timestamp) are bound once each with ``let``:
+    a filter the optimizer pushes onto any output field then carries this
+    one expression, not a copy of every intermediate per reference."""
+    def by_format(fmt, apache, syslog, iso, generic):
+        return (F.when(fmt == "apache", apache).when(fmt == "syslog", syslog)
+                 .when(fmt == "iso", iso).otherwise(generic))
+
+    def with_format(fmt):
+        # one regex run per format yields all of its groups
+        groups = by_format(fmt, regexp_groups(s, C.APACHE_RE, 6), regexp_groups(s, C.SYSLOG_RE, 4),
+                           regexp_groups(s, C.ISO_RE, 3), F.array())
+        return let(groups, lambda g: with_groups(fmt, g))
+
+    def with_groups(fmt, g):
+        # generic timestamp patterns in order; each guarded by a literal it needs
+        guards = (s.contains("-") & s.contains(":"), s.contains(":"), s.contains("/"), F.lit(True))
+        gen_ts = F.coalesce(*[F.when(c, F.regexp_substr(s, F.lit(p))) for c, p in zip(guards, C.GENERIC_TS_RES)])
+        ts_raw = by_format(fmt, g[2], g[0], g[0], gen_ts)
+        # text the key=value rules read: syslog message / ISO rest / whole line
+        body = by_format(fmt, F.lit(None).cast("string"), g[3], g[2], s)
+        return let(F.struct(ts_raw.alias("t"), body.alias("b")),
+                   lambda tb: fields(fmt, g, tb["t"], tb["b"]))
+
+    def fields(fmt, g, ts_raw, body):
+        is_ap, is_sy = fmt == "apache", fmt == "syslog"
+        req = g[3]
+        url = regexp_groups(s, "^.*?" + C.URL_RE, 2)  # leftmost quoted "METHOD url ..."
+        ap_event = F.when(url[0] != s, F.concat(url[0], F.lit(" "), url[1])).otherwise(req)
+        for_user = first_match(body, "(?U)" + C.SYSLOG_FOR_USER_RE)
+        sy_user = F.coalesce(_kv_user(body),
+                             F.when(~F.lower(for_user).isin(*C.SYSLOG_FOR_USER_EXCLUDED), for_user))
+        sy_user = F.when(F.lower(body).contains("invalid user"),
+                         F.coalesce(first_match(body, C.INVALID_USER_RE), sy_user)).otherwise(sy_user)
+        gen_cut = strip_ws(remove_first_occurrence(s, ts_raw))
+        gen_event = F.when(ts_raw.isNull() | (gen_cut == ""), s).otherwise(gen_cut)
+        ip_body = first_ipv4(body)
+        kv_src = _kv(body, "src_ip")
+        src_ip = by_format(fmt, g[0], F.coalesce(kv_src, ip_body), F.coalesce(kv_src, ip_body),
+                           F.coalesce(ip_body, kv_src))
+        event = by_format(fmt, ap_event, F.concat(g[2], F.lit(": "), g[3]), g[2], gen_event)
+        return F.struct(
+            fmt.alias("format"), ts_raw.alias("ts_raw"), src_ip.alias("src_ip"),
+            _kv(body, "dst_ip").alias("dst_ip"),
+            by_format(fmt, first_match(req, C.APACHE_PORT_RE),
+                      F.coalesce(_kv(body, "dst_port"), first_match(body, C.SYSLOG_PORT_RE)),
+                      _kv(body, "dst_port"), _kv(body, "dst_port")).try_cast("double").alias("dst_port"),
+            by_format(fmt, F.when(g[1] != "-", g[1]), sy_user, _kv_user(body),
+                      F.coalesce(_kv_user(body), first_match(s, C.GENERIC_USER_RE))).alias("username"),
+            event.alias("event"),
+            F.when(is_ap, F.when(g[5].rlike(r"^[0-9]+$"), g[5]))
+             .otherwise(_kv(body, "bytes")).try_cast("double").alias("bytes"),
+            _kv(body, "duration").try_cast("double").alias("duration"),
+            F.when(is_ap, g[4]).otherwise(_kv(body, "status")).alias("status"),
+            F.when(is_sy, g[1]).alias("host"),
+            F.when(is_sy, g[2]).alias("prog"),
+            (event.isNotNull() & (ts_raw.isNotNull() | src_ip.isNotNull())).alias("parse_ok"))
+
+    return let(line_format(s), with_format)
+
+
 def parse_lines(df: DataFrame, col: str = "value") -> DataFrame:
     """Add parsed fields to a DataFrame of log lines.
 
     Blank lines are dropped. Output keeps the input columns and adds
     ``format, ts_raw, src_ip, dst_ip, dst_port, username, event, bytes,
-    duration, status, host, prog, parse_ok``. Row-local: no shuffle.
+    duration, status, host, prog, parse_ok``. Row-local: no shuffle, no
+    Python; the whole parse is one expression per line.
     """
     keep = list(df.columns)
-    s, fmt = F.col("_s"), F.col("format")
-    is_ap, is_sy, is_iso = fmt == "apache", fmt == "syslog", fmt == "iso"
-
-    def by_format(apache, syslog, iso, generic):
-        return F.when(is_ap, apache).when(is_sy, syslog).when(is_iso, iso).otherwise(generic)
-
-    # 1. classify once
-    staged = (df.withColumn("_s", strip_ws(F.col(col)))
-              .filter(F.col("_s") != "")
-              .withColumn("format", line_format(s)))
-    # 2. one regex run per format yields all of its groups
-    g = F.col("_g")
-    staged = staged.withColumn("_g", by_format(regexp_groups(s, C.APACHE_RE, 6),
-                                               regexp_groups(s, C.SYSLOG_RE, 4),
-                                               regexp_groups(s, C.ISO_RE, 3),
-                                               F.array()))
-    # generic timestamp patterns in order; each guarded by a literal it needs
-    guards = (s.contains("-") & s.contains(":"), s.contains(":"), s.contains("/"), F.lit(True))
-    gen_ts = F.coalesce(*[F.when(g, F.regexp_substr(s, F.lit(p))) for g, p in zip(guards, C.GENERIC_TS_RES)])
-    staged = staged.select(
-        *keep, "_s", "format", "_g",
-        by_format(g[2], g[0], g[0], gen_ts).alias("ts_raw"),
-        # text the key=value rules read: syslog message / ISO rest / whole line
-        by_format(F.lit(None).cast("string"), g[3], g[2], s).alias("_body"))
-    body = F.col("_body")
-    # 3. per-field extraction
-    req = g[3]
-    url = F.when(is_ap, regexp_groups(s, "^[^\"]*?" + C.URL_RE, 2))
-    ap_event = F.when(url[0] != s, F.concat(url[0], F.lit(" "), url[1])).otherwise(req)
-    for_user = first_match(body, "(?U)" + C.SYSLOG_FOR_USER_RE)
-    sy_user = F.coalesce(_kv_user(body),
-                         F.when(~F.lower(for_user).isin(*C.SYSLOG_FOR_USER_EXCLUDED), for_user))
-    sy_user = F.when(F.lower(body).contains("invalid user"),
-                     F.coalesce(first_match(body, C.INVALID_USER_RE), sy_user)).otherwise(sy_user)
-    gen_cut = strip_ws(remove_first_occurrence(s, F.col("ts_raw")))
-    gen_event = F.when(F.col("ts_raw").isNull() | (gen_cut == ""), s).otherwise(gen_cut)
-    ip_body = first_ipv4(body)
-    kv_src = _kv(body, "src_ip")
-
-    parsed = staged.select(
-        *keep, "format", "ts_raw",
-        by_format(g[0], F.coalesce(kv_src, ip_body), F.coalesce(kv_src, ip_body),
-                  F.coalesce(ip_body, kv_src)).alias("src_ip"),
-        _kv(body, "dst_ip").alias("dst_ip"),
-        by_format(first_match(req, C.APACHE_PORT_RE),
-                  F.coalesce(_kv(body, "dst_port"), first_match(body, C.SYSLOG_PORT_RE)),
-                  _kv(body, "dst_port"), _kv(body, "dst_port")).try_cast("double").alias("dst_port"),
-        by_format(F.when(g[1] != "-", g[1]), sy_user, _kv_user(body),
-                  F.coalesce(_kv_user(body), first_match(s, C.GENERIC_USER_RE))).alias("username"),
-        by_format(ap_event, F.concat(g[2], F.lit(": "), g[3]), g[2], gen_event).alias("event"),
-        F.when(is_ap, F.when(g[5].rlike(r"^[0-9]+$"), g[5]))
-         .otherwise(_kv(body, "bytes")).try_cast("double").alias("bytes"),
-        _kv(body, "duration").try_cast("double").alias("duration"),
-        F.when(is_ap, g[4]).otherwise(_kv(body, "status")).alias("status"),
-        F.when(is_sy, g[1]).alias("host"),
-        F.when(is_sy, g[2]).alias("prog"),
-    )
-    return parsed.withColumn(
-        "parse_ok", F.col("event").isNotNull() & (F.col("ts_raw").isNotNull() | F.col("src_ip").isNotNull()))
+    trimmed = df.withColumn("_s", strip_ws(F.col(col))).filter(F.col("_s") != "")
+    parsed = trimmed.withColumn("_p", let(F.col("_s"), _parse_struct))
+    return parsed.select(*keep, *[F.col("_p")[f].alias(f) for f in PARSED_FIELDS])
 
 
 def to_canonical_events(parsed: DataFrame, row_id: str = "row_id") -> DataFrame:
