@@ -26,3 +26,12 @@ def test_parquet_scan_is_pruned(spark):
     scan = [ln for ln in plan.splitlines() if "FileScan parquet" in ln][0]
     assert "value" not in scan.split("ReadSchema")[1]
     assert "props" not in scan.split("ReadSchema")[1]
+
+
+def test_filter_on_parsed_fields_stays_small(spark):
+    # a pushed-down filter carries one parse expression, not a copy per reference
+    df = parsed_lines(spark, SMOKE)
+    n = df.filter("parse_ok AND src_ip IS NOT NULL AND username IS NOT NULL").count()
+    assert 0 < n <= df.count()
+    plan = df.filter("parse_ok")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 200_000
