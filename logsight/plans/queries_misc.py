@@ -344,8 +344,10 @@ UNION ALL SELECT 'mitigations', 0, predicted_category, CASE predicted_category {
 
 @register("report_tables", _report_sql())
 def q_report_tables(spark, sf_dir):
-    """SNK5: ordered incident-report tables as one long table."""
-    return report_tables(scored(spark, sf_dir))
+    """SNK5: ordered incident-report tables as one long table (the scored
+    table is staged once; the five sections each scan it)."""
+    from logsight.session import stage
+    return report_tables(stage(scored(spark, sf_dir), "scored"))
 
 
 # ---- sources: tabular and log round trips through the shared stage folder ----------------
