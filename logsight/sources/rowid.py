@@ -30,14 +30,14 @@ def dense_row_id(keyed: DataFrame, name: str = "row_id", max_rows_per_file: int
     in_file = Window.partitionBy("_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (splits.withColumn("_off", F.coalesce(F.sum("_n").over(order), F.lit(0)))
                      .withColumn("_file_off", F.coalesce(F.sum("_n").over(in_file), F.lit(0))))
-    out = keyed.join(F.broadcast(offsets.select("_file", "_split", "_off", "_file_off", "_lo")),
-                     ["_file", "_split"])
+    # one row per split: AQE broadcasts it when small, else a shuffle join
+    out = keyed.join(offsets.select("_file", "_split", "_off", "_file_off", "_lo"), ["_file", "_split"])
     if max_rows_per_file is not None:
         # SRC7: keep the first n rows of every file
         out = out.filter(F.col("_file_off") + (F.col("_mono") - F.col("_lo")) < max_rows_per_file)
         splits2 = out.groupBy("_file", "_split").agg(F.count(F.lit(1)).alias("_n2"))
         off2 = splits2.withColumn("_off2", F.coalesce(F.sum("_n2").over(order), F.lit(0)))
-        out = out.join(F.broadcast(off2.select("_file", "_split", "_off2")), ["_file", "_split"]).withColumn(
+        out = out.join(off2.select("_file", "_split", "_off2"), ["_file", "_split"]).withColumn(
             "_off", F.col("_off2")).drop("_off2")
     return (out.withColumn(name, F.col("_off") + (F.col("_mono") - F.col("_lo")) + 1)
                .drop("_file", "_split", "_mono", "_off", "_lo", "_file_off"))
