@@ -65,10 +65,10 @@ def page(df: DataFrame, key: str = "severity", ascending: bool = False, page_no:
     # the window spans one page (<= per_page rows)
     pos = F.row_number().over(Window.orderBy(*sort_keys(key, ascending))) + start
     return chunk.select(
-        pos.alias("pos"), "row_id", format_seconds("ts_sec").alias("timestamp"), "src_ip",
+        pos.cast("bigint").alias("pos"), "row_id", format_seconds("ts_sec").alias("timestamp"), "src_ip",
         F.coalesce("username", F.lit("")).alias("username"),
         F.col("predicted_category").alias("category"), "severity",
         F.round("confidence", 3).alias("confidence"),
         F.substring("event", 1, event_chars).alias("event"),
-        F.lit(total).cast("bigint").alias("total"), F.lit(p).alias("page"),
-        F.lit(last_page).alias("last_page"))
+        F.lit(total).cast("bigint").alias("total"), F.lit(p).cast("bigint").alias("page"),
+        F.lit(last_page).cast("bigint").alias("last_page"))

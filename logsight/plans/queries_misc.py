@@ -188,8 +188,8 @@ t AS (SELECT *, {_legacy_ts_sql(S.strip_sql('timestamp'))} AS sec FROM kw),
 k AS (SELECT *, CASE WHEN event_keywords IS NULL THEN 0 ELSE {' + '.join(
     f"CAST(contains(lower(event_keywords), {S.q(w)}) AS INTEGER)" for w in C.LEGACY_ATTACK_KEYWORDS)} END AS n_kw FROM t)
 SELECT line_number,
-  coalesce(hour(make_timestamp(sec * 1000000)), 0) AS hour,
-  coalesce(isodow(make_timestamp(sec * 1000000)) - 1, 0) AS day_of_week,
+  CAST(coalesce(hour(make_timestamp(sec * 1000000)), 0) AS INTEGER) AS hour,
+  CAST(coalesce(isodow(make_timestamp(sec * 1000000)) - 1, 0) AS INTEGER) AS day_of_week,
   CAST(coalesce(isodow(make_timestamp(sec * 1000000)) - 1, 0) >= 5 AS INTEGER) AS is_weekend,
   coalesce(TRY_CAST(split_part(coalesce(source_ip, 'None'), '.', 1) AS INTEGER), 0) AS ip_first_octet,
   coalesce(TRY_CAST(nullif(split_part(coalesce(source_ip, 'None'), '.', 2), '') AS INTEGER), 0) AS ip_second_octet,
