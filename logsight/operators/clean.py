@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsight import constants as C
 from logsight.functions.text import clean_text, url_decode_lenient
 from logsight.functions.timestamps import ntz_from_seconds, with_ts_seconds
 from logsight.session import stage

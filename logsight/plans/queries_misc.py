@@ -18,7 +18,7 @@ from logsight.operators.report import report_tables
 from logsight.plans import sql_blocks as S
 from logsight.plans.catalog import register
 from logsight.plans.inputs import canonical_lines
-from logsight.plans.queries_stats import SCORED, _level_name_sql, _pct_sql, _rank_sql, scored
+from logsight.plans.queries_stats import SCORED, _pct_sql, _rank_sql, scored
 from logsight.session import ensure_checkpoint_dir, read_table, spread
 from logsight.sources.admission import check_files
 from logsight.sources.delimited import read_delimited
@@ -80,9 +80,6 @@ def q_duplicate_estimate(spark, sf_dir):
                       F.col("duplicates_detected").cast("bigint"))
 
 
-_ROLE = {c: PF.ROLES.get(c) for c in _CANON_COLS}
-
-
 @register("column_profile", _CANON_SQL + "\nSELECT * FROM (" + " UNION ALL ".join(
     f"SELECT {i} AS position, '{c}' AS \"column\", "
     f"{S.q(PF.ROLES.get(c, 'numeric' if c in ('dst_port', 'bytes', 'duration') else 'text'))} AS role, "

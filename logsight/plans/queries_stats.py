@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logsight import constants as C
-from logsight.functions.timestamps import format_seconds
 from logsight.operators import detections as DT
 from logsight.operators import severity as SV
 from logsight.operators import stats as ST

@@ -11,7 +11,6 @@ with ``events``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from logsight.session import read_table, spread
 
