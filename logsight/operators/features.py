@@ -45,6 +45,21 @@ def ip_second_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("src_ip", "ts_sec").agg(F.count(F.lit(1)).alias("n"))
 
 
+def place_in_buckets(counts: DataFrame, window: int = C.RATE_WINDOW_SECONDS,
+                     bucket: int = RATE_BUCKET_SECONDS) -> DataFrame:
+    """(src_ip, ts_sec, n, _b, _home): each row in its hour bucket, plus a ghost
+    copy in the neighbouring bucket when within ``window`` of the edge."""
+    b = F.floor(F.col("ts_sec") / bucket)
+    targets = F.array_compact(F.array(
+        F.struct(b.alias("_b"), F.lit(True).alias("_home")),
+        F.when(F.col("ts_sec") >= (b + 1) * bucket - window,
+               F.struct((b + 1).alias("_b"), F.lit(False).alias("_home"))),
+        F.when(F.col("ts_sec") < b * bucket + window,
+               F.struct((b - 1).alias("_b"), F.lit(False).alias("_home")))))
+    return counts.select("src_ip", "ts_sec", "n", F.explode(targets).alias("_t")).select(
+        "src_ip", "ts_sec", "n", "_t._b", "_t._home")
+
+
 def ip_rate(counts: DataFrame, window: int = C.RATE_WINDOW_SECONDS,
             bucket: int = RATE_BUCKET_SECONDS) -> DataFrame:
     """(src_ip, ts_sec, ip_rate_1min) for every (src_ip, ts_sec) of ``counts``:
@@ -55,15 +70,7 @@ def ip_rate(counts: DataFrame, window: int = C.RATE_WINDOW_SECONDS,
     of a bucket edge, also to the neighbouring bucket as a ghost (one
     ``explode``, no union: the counts are computed once). The window sums
     counts inside (src_ip, bucket); ghosts are dropped afterwards."""
-    b = F.floor(F.col("ts_sec") / bucket)
-    targets = F.array_compact(F.array(
-        F.struct(b.alias("_b"), F.lit(True).alias("_home")),
-        F.when(F.col("ts_sec") >= (b + 1) * bucket - window,
-               F.struct((b + 1).alias("_b"), F.lit(False).alias("_home"))),
-        F.when(F.col("ts_sec") < b * bucket + window,
-               F.struct((b - 1).alias("_b"), F.lit(False).alias("_home")))))
-    placed = counts.select("src_ip", "ts_sec", "n", F.explode(targets).alias("_t")).select(
-        "src_ip", "ts_sec", "n", "_t._b", "_t._home")
+    placed = place_in_buckets(counts, window, bucket)
     w = Window.partitionBy("src_ip", "_b").orderBy("ts_sec").rangeBetween(-window, window)
     return (placed.withColumn("ip_rate_1min", F.sum("n").over(w))
             .filter(F.col("_home"))

@@ -41,3 +41,17 @@ def test_ip_profile(spark):
     assert p["a"]["ip_unique_users"] == 2  # '' counts as a user
     assert abs(p["a"]["ip_fail_ratio"] - 2 / 3) < 1e-9
     assert p["b"]["ip_fail_ratio"] == 0.0
+
+
+def test_hot_key_window_partitions_stay_bounded(spark):
+    """Every event on one IP (the 'unknown' case): the RANGE window still
+    sees at most one hour of distinct seconds plus the ghost margins."""
+    from logsight.operators.features import RATE_BUCKET_SECONDS, ip_second_counts, place_in_buckets
+    from logsight.plans.queries_stats import scored
+    hot = scored(spark, "/root/testdata/sf0.01").withColumn("src_ip", F.lit("unknown")).withColumn(
+        "ts_sec", F.col("event_sec"))
+    placed = place_in_buckets(ip_second_counts(hot))
+    biggest = placed.groupBy("src_ip", "_b").count().agg(F.max("count")).first()[0]
+    assert biggest <= RATE_BUCKET_SECONDS + 2 * 30
+    total_events = placed.filter("_home").agg(F.sum("n")).first()[0]
+    assert total_events == hot.count()
