@@ -54,12 +54,12 @@ def _squash(c: Column) -> Column:
 
 def _iso_seconds(text: Column) -> Column:
     dotted = F.replace(text, F.lit(","), F.lit("."))
-    has_zone = text.rlike(r"(Z|[+-]\d{2}(?::?\d{2})?)$") & text.rlike(r"\d[T ]\d")
-    zoned = F.when(has_zone | ~text.rlike(r"\d[T ]\d"), dotted).otherwise(F.concat(dotted, F.lit("Z")))
-    # date-only text: cast as date at UTC midnight
-    as_ts = F.when(text.rlike(r"[T ]"), zoned.try_cast("timestamp"))
-    date_only = F.when(~text.rlike(r"[T ]"), F.unix_date(text.try_cast("date")).cast("bigint") * 86400)
-    return F.coalesce(F.unix_seconds(as_ts), date_only)
+    has_time = text.contains("T") | text.contains(" ")
+    has_zone = text.endswith("Z") | text.rlike(r"\d[+-]\d{2}(?::?\d{2})?$")
+    zoned = F.when(has_zone, dotted).otherwise(F.concat(dotted, F.lit("Z")))
+    # date-only text: the UTC midnight of that date
+    return F.when(has_time, F.unix_seconds(zoned.try_cast("timestamp"))).otherwise(
+        F.unix_date(text.try_cast("date")).cast("bigint") * 86400)
 
 
 def normalise_timestamp(raw: Column | str, assume_year: int | None = None) -> Column:
@@ -81,12 +81,14 @@ def _normalise_stripped(text: Column, assume_year: int | None) -> Column:
     year = assume_year if assume_year is not None else _dt.date.today().year
     num = text.try_cast("double")
     is_epoch = num.between(C.EPOCH_MIN, C.EPOCH_MAX)
-    noyear = text.rlike(C.NOYEAR_TS_RE)
-    apache = text.rlike(C.APACHE_TS_RE)
+    # each route's regex runs only when the text has what the route needs
+    first = F.upper(F.substring(text, 1, 1))
+    noyear = first.between("A", "Z") & text.rlike(C.NOYEAR_TS_RE)
+    apache = text.contains("/") & text.rlike(C.APACHE_TS_RE)
     noyear_sec = F.unix_seconds(F.try_to_timestamp(
         F.concat(F.lit(f"{year} "), _squash(text), F.lit(" +0000")), F.lit("yyyy MMM d HH:mm:ss Z")))
     apache_sec = F.unix_seconds(F.try_to_timestamp(_squash(text), F.lit("d/MMM/yyyy:HH:mm:ss Z")))
-    direct = F.when(text.rlike(ISO_DIRECT_RE), _iso_seconds(text))
+    direct = F.when((F.substring(text, 5, 1) == "-") & text.rlike(ISO_DIRECT_RE), _iso_seconds(text))
     for guard, fmt in DIRECT_FORMATS:
         direct = direct.when(text.rlike(guard), F.unix_seconds(
             F.try_to_timestamp(F.concat(text, F.lit(" +0000")), F.lit(fmt))))
