@@ -475,7 +475,15 @@ def q_legacy_preprocessing_stats(spark, sf_dir):
                      F.size("columns").alias("n_columns"))
 
 
-@register("dataset_preview")
+_KW_TYPES = [("line_number", "bigint"), ("raw_line", "string"), ("timestamp", "string"),
+             ("ip_addresses", "string"), ("source_ip", "string"), ("username", "string"),
+             ("event_keywords", "string"), ("event_description", "string")]
+
+
+@register("dataset_preview", f"""WITH {_legacy_kw_sql()}
+SELECT * FROM (""" + " UNION ALL ".join(
+    f"SELECT {i} AS position, '{c}' AS \"column\", '{t}' AS dtype, count(*) FILTER (WHERE {c} IS NULL) AS missing "
+    f"FROM kw" for i, (c, t) in enumerate(_KW_TYPES)) + ")")
 def q_dataset_preview(spark, sf_dir):
     """AGG19L: columns, types and null counts of the legacy keyword frame."""
     return PF.dataset_preview(_kw_frame(spark, sf_dir), order_col="line_number")["columns"]
