@@ -489,8 +489,37 @@ def q_dataset_preview(spark, sf_dir):
     return PF.dataset_preview(_kw_frame(spark, sf_dir), order_col="line_number")["columns"]
 
 
-@register("summary_sentences")
+def _summary_sql():
+    def num(x):
+        return "format('{:,}', " + x + ")"
+    return f"""WITH {SCORED},
+t AS (SELECT count(*) AS total_records, count(*) FILTER (WHERE predicted_category <> 'Normal') AS total_attacks,
+             count(*) FILTER (WHERE low_confidence) AS low_confidence_count FROM scored),
+t2 AS (SELECT *, {_pct_sql('total_attacks', 'total_records')} AS attack_pct FROM t),
+d AS (SELECT {S.fmt_sec('ts_sec')} AS ts, src_ip, predicted_category, severity FROM scored
+      WHERE predicted_category <> 'Normal' ORDER BY {_rank_sql('severity')} DESC, confidence DESC, row_id LIMIT 1),
+c AS (SELECT predicted_category AS top_category, count(*) AS top_count FROM scored
+      WHERE predicted_category <> 'Normal' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1),
+p AS (SELECT CASE WHEN total_attacks = 0 THEN [
+          printf('Analysed %s records from %s; none matched a known attack category.',
+                 {num('total_records')}, 'events'),
+          'An empty result is not proof of safety: only six attack categories are modelled.']
+        ELSE list_filter([
+          printf('Analysed %s records from %s: %s (%.1f%%) look like attacks, mostly %s (%d events).',
+                 {num('total_records')}, 'events', {num('total_attacks')}, attack_pct, top_category,
+                 top_count),
+          CASE WHEN d.severity IS NOT NULL THEN concat('Most severe: ', d.severity, ' ', d.predicted_category,
+               ' from ', d.src_ip, CASE WHEN d.ts IS NOT NULL THEN concat(' at ', d.ts) ELSE '' END, '.') END,
+          CASE WHEN low_confidence_count > 0 THEN printf('%d more events were low-confidence attack calls, '
+               || 'counted as normal.', low_confidence_count) END], lambda x: x IS NOT NULL) END AS l
+      FROM t2 LEFT JOIN d ON true LEFT JOIN c ON true)
+SELECT unnest(generate_series(0, len(l) - 1)) AS ord, unnest(l) AS paragraph FROM p"""
+
+
+@register("summary_sentences", _summary_sql())
 def q_summary_sentences(spark, sf_dir):
-    """STR8: plain-language summary paragraphs from the scored fixture."""
+    """STR8: plain-language summary paragraphs from the scored fixture, one row each."""
     from logsight.operators.report import summary_sentences
-    return summary_sentences(scored(spark, sf_dir), "events")
+    out = summary_sentences(scored(spark, sf_dir), "events")
+    return out.select(F.posexplode("paragraphs").alias("ord", "paragraph")).select(
+        F.col("ord").cast("bigint"), "paragraph")
