@@ -9,7 +9,8 @@ from logsight.session import TABLES
 
 SMOKE = "/root/testdata/sf0.001"
 FAST = ["parse_lines", "normalise_ts", "severity", "top_ips", "timeline", "detections_page", "legacy_keywords",
-        "category_breakdown", "mitigations", "spreadsheet_safe"]
+        "category_breakdown", "mitigations", "spreadsheet_safe", "summary_sentences", "dataset_preview",
+        "legacy_preprocess", "csv_roundtrip", "stream_bursts", "char_ngrams", "features"]
 
 
 def _norm(v):
