@@ -64,8 +64,16 @@ def flag_duplicates(df: DataFrame, order_col: str = "row_id") -> DataFrame:
 
 
 def dedupe_events(df: DataFrame, order_col: str = "row_id") -> DataFrame:
-    """Keep the first row of every duplicate group (DD1)."""
-    return df.join(first_rows(df, order_col), order_col, "left_semi")
+    """Keep the first row of every duplicate group (DD1).
+
+    One grouped ``min_by(row, row_id)``: each map task keeps one row per
+    key before the shuffle (a hot key collapses early), and the surviving
+    rows come out of the aggregate itself — one shuffle, no join back."""
+    cols = df.columns
+    return (df.select(*_dup_key(df), F.struct(*cols).alias("_row"), F.col(order_col).alias("_o"))
+              .groupBy("_keyed", "_k_ts", "_k_ip", "_k_ev", "_k_rest")
+              .agg(F.min_by("_row", "_o").alias("_row"))
+              .select("_row.*"))
 
 
 def fill_missing(df: DataFrame) -> DataFrame:
