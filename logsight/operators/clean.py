@@ -100,10 +100,8 @@ def preprocess(events: DataFrame, assume_year: int | None = None,
     """The full cleaning pass over canonical events (PIPE1)."""
     from logsight.operators.features import add_behavioural_features
 
-    # the parse feeds four passes (dedupe key, its join, feature aggregates,
-    # feature join): materialise it once
-    df = stage(ensure_canonical(events), "canonical")
-    df = dedupe_events(df)
+    # the input (typically a parse) is read once, by the dedupe aggregate
+    df = dedupe_events(ensure_canonical(events))
     df = normalise(df, assume_year)
     df = add_text_columns(fill_missing(df))
     if not with_features:

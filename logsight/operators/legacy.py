@@ -52,10 +52,13 @@ def extract_features(df: DataFrame) -> DataFrame:
 
 def remove_duplicates(df: DataFrame, subset: list[str] | None = None, order_col: str = "line_number") -> DataFrame:
     """DD3L: drop rows equal to an earlier one on ``subset`` (all columns but
-    ``order_col`` when None), keeping the first — grouped min + semi-join."""
+    ``order_col`` when None), keeping the first — one grouped ``min_by``."""
     key = subset or [c for c in df.columns if c != order_col]
-    firsts = (df.groupBy(*key).agg(F.min(order_col).alias("_first")).select(F.col("_first").alias(order_col)))
-    return df.join(firsts, order_col, "left_semi")
+    cols = df.columns
+    return (df.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)],
+                      F.struct(*cols).alias("_row"), F.col(order_col).alias("_o"))
+              .groupBy(*[f"_k{i}" for i in range(len(key))])
+              .agg(F.min_by("_row", "_o").alias("_row")).select("_row.*"))
 
 
 SMALL_BAND = 200_000
