@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logsight.llm import chat, pii, quality, secrets, warc
+from logsight.llm import chat, packing, pii, quality, secrets, warc
 from logsight.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,8 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_pii")
 def pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(read_table(spark, sf_dir, "documents"))
+
+
+@query("op10_best_fit_packing")
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"))
