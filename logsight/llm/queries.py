@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logsight.llm import chat, packing, pii, quality, secrets, warc
+from logsight.llm import chat, decontaminate, packing, pii, quality, secrets, simhash, warc
 from logsight.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,24 @@ def pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_best_fit_packing")
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
+
+
+@query("op2_simhash_dedup")
+def simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(read_table(spark, sf_dir, "documents"))
+
+
+@query("op8_decontamination", r"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+bw as (select distinct item_id, least(len(w), 10) as n, w[k:k + least(len(w), 10) - 1] as win
+  from (select *, unnest(range(1, len(w) - least(len(w), 10) + 2)) as k from b where len(w) > 0)),
+sizes as (select distinct n from bw),
+dw as (select doc_id, n, k, w[k:k + n - 1] as win from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as k from d, sizes where len(w) >= n)),
+o as (select distinct dw.doc_id, dw.k, dw.n, bw.item_id from dw join bw using (n, win)),
+hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(k, k + n)) as p from o) group by doc_id),
+it as (select doc_id, count(*) as n_items, string_agg(i, ',' order by i) as items from (select distinct doc_id, item_id::varchar as i from o) group by doc_id)
+select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, n_hit is not null as contaminated
+from d left join hit using (doc_id) left join it using (doc_id)""")
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
