@@ -173,31 +173,25 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n - width + 1], ahead[width - 1:n])
 
 
-def anchors(grams: np.ndarray, rows: np.ndarray, width: int, position_bits: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Content-defined anchors: in each window of ``width`` consecutive grams of
-    one row the gram with the least hash, the leftmost of equals. Equal windows
-    have the same anchor gram at the same offset. Returns the position of each
-    anchor and the first and last window (by its first gram) that it serves."""
-    n = len(grams)
+def anchors(grams: np.ndarray, width: int, whole: np.ndarray, position_bits: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Content-defined anchors: in each window of ``width`` consecutive grams
+    the gram with the least hash, the leftmost of equals. Equal windows have
+    the same anchor gram at the same place. ``whole`` lists the windows (by
+    their first gram) that count. Returns the position of each anchor and the
+    first and last window that it serves; a window has one anchor."""
     none = np.zeros(0, np.int64)
-    if n < width:
+    n = len(grams)
+    if n < width or not len(whole):
         return none, none, none
-    if n >> position_bits:
-        position_bits = int(n).bit_length()
+    position_bits = max(position_bits, int(n).bit_length())
     keep = _U((1 << position_bits) - 1)
-    least = sliding_min((grams & ~keep) | np.arange(n, dtype=np.uint64), width)
-    at = (least & keep).astype(np.int64)
-    whole = np.flatnonzero(rows[:n - width + 1] == rows[width - 1:])
-    if not len(whole):
-        return none, none, none
-    at = at[whole]
-    # an anchor serves one stretch of windows: windows of another row have other anchors
-    new = np.empty(len(at), bool)
+    least = sliding_min((grams & ~keep) | np.arange(n, dtype=np.uint64), width)[whole]
+    new = np.empty(len(least), bool)
     new[0] = True
-    new[1:] = at[1:] != at[:-1]
+    new[1:] = (least[1:] != least[:-1]) | (whole[1:] != whole[:-1] + 1)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(at)) - 1
-    return at[first], whole[first], whole[last]
+    last = np.append(first[1:], len(least)) - 1
+    return (least[first] & keep).astype(np.int64), whole[first], whole[last]
 
 
 def signed(x: np.ndarray) -> np.ndarray:
