@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logsight.llm import chat, decontaminate, packing, pii, quality, secrets, simhash, substring, warc
+from logsight.llm import chat, decontaminate, packing, pii, quality, secrets, simhash, substring, suffixes, warc
 from logsight.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,8 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_substring_dedup")
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_dedup(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query("op3_suffix_dedup")
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.suffix_dedup(read_table(spark, sf_dir, "documents")).drop("kept")
