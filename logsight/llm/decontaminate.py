@@ -185,7 +185,15 @@ def decontaminate(
     n_hit = spans.groupBy("id").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("begin", "seen"))).cast("long").alias("n_hit"))
     items = found.select("id", "text").distinct().join(windows.select("item", "text").distinct(), "text").select("id", "item").distinct()
     items = items.groupBy("id").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    rows = first.select("id", "n_words").join(n_hit, "id", "left").join(items, "id", "left")
+    rows = first.select("id", "n_words").join(n_hit.withColumnRenamed("id", "h_id"), F.expr("id <=> h_id"), "left")
+    rows = rows.join(items.withColumnRenamed("id", "i_id"), F.expr("id <=> i_id"), "left")
     return rows.select(
         F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.greatest(F.coalesce(F.size("items"), F.lit(0)), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.concat_ws(",", "items"), F.lit("")), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
+    """``docs`` without those that hold a window of a benchmark item."""
+    found = decontaminate(docs, benchmark, id_col, text_col, **limits)
+    gone = found.filter("contaminated").select(F.col(id_col).alias("__id__")).distinct()
+    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["__id__"]), "left_anti")

@@ -99,6 +99,34 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["id", "host", *got, "lines", "words"])
 
 
+def _judge(
+    docs: DataFrame, id_col: str, text_col: str, host_col: str, min_words: int, max_repeat_percent: int, max_line_documents: int, max_line_percent: float, min_kept_percent: int,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(verdicts, frequent lines, the lines each document loses)."""
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
+    facts = stage(source.mapInArrow(_facts, _FACTS), "quality")
+    hosted = F.coalesce(F.col("host"), F.lit("")).alias("host")
+    lines = facts.select("id", hosted, "sketch", F.explode(F.arrays_zip("lines", "words")).alias("l"))
+    lines = lines.select("id", "host", "sketch", F.col("l.lines").alias("line"), F.col("l.words").alias("words"))
+    sizes = facts.groupBy(hosted).agg((F.count("*") * max_line_percent / 100).alias("share"))
+    common = (
+        lines.groupBy("host", "line", "sketch").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("n_docs"))
+        .filter(F.col("n_docs") > max_line_documents).join(sizes, "host").filter(F.col("n_docs") > F.col("share"))
+    )
+    common = stage(common.select("host", "line", "n_docs"), "common-lines")
+    hit = lines.join(common.select("host", "line"), ["host", "line"])
+    # rows that repeat an id are measured together: each has its share of the words on frequent lines
+    per_id = facts.groupBy("id").agg(F.count("*").alias("n_rows"))
+    removed = hit.groupBy("id").agg(F.sum("words").alias("n_removed_words")).alias("r").join(per_id.alias("p"), F.expr("r.id <=> p.id"))
+    removed = removed.select(F.col("r.id").alias("key"), (F.col("n_removed_words") / F.col("n_rows")).cast("long").alias("n_removed_words"))
+    rows = facts.drop("lines", "words", "sketch", "host").join(removed, F.expr("id <=> key"), "left").drop("key")
+    rows = rows.withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long"))
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+    left = F.col("n_words") - F.col("n_removed_words")
+    depleted = (left < min_words) | (100 * left < min_kept_percent * F.col("n_words"))
+    return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted), common, hit
+
+
 def quality_rules(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", *,
     min_words: int = 20, max_repeat_percent: int = 30, max_line_documents: int = 10, max_line_percent: float = 1.0, min_kept_percent: int = 30,
@@ -114,28 +142,47 @@ def quality_rules(
     boilerplate. A document is depleted, and rejected, if fewer than
     ``min_words`` words or ``min_kept_percent`` of its words remain.
 
-    Null texts have no words and fail the base rule; a null host is a host of
-    its own; rows that repeat an id share one verdict row each; an empty table gives an
-    empty result; other columns are not read.
+    Null texts have no words and fail the base rule; a null host is one host,
+    together with the empty one; rows that repeat an id keep a verdict each; an empty
+    table gives an empty result; other columns are not read.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
-    facts = stage(source.mapInArrow(_facts, _FACTS), "quality")
-    hosted = F.coalesce(F.col("host"), F.lit("")).alias("host")
-    lines = facts.select("id", hosted, "sketch", F.explode(F.arrays_zip("lines", "words")).alias("l"))
-    lines = lines.select("id", "host", "sketch", F.col("l.lines").alias("line"), F.col("l.words").alias("words"))
-    sizes = facts.groupBy(hosted).agg((F.count("*") * max_line_percent / 100).alias("share"))
-    common = (
-        lines.groupBy("host", "line", "sketch").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("n_docs"))
-        .filter(F.col("n_docs") > max_line_documents).join(sizes, "host").filter(F.col("n_docs") > F.col("share"))
-    )
-    common = stage(common.select("host", "line", "n_docs"), "common-lines")
-    removed = lines.join(common.select("host", "line"), ["host", "line"]).groupBy("id").agg(F.sum("words").alias("n_removed_words"))
-    # rows that repeat an id: each of them measured alike, their lines summed
-    per_id = facts.groupBy("id").agg(F.count("*").alias("_rows"))
-    rows = facts.drop("lines", "words", "sketch", "host").join(removed.join(per_id, "id").select("id", (F.col("n_removed_words") / F.col("_rows")).cast("long").alias("n_removed_words")), "id", "left")
-    rows = rows.withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long"))
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    left = F.col("n_words") - F.col("n_removed_words")
-    depleted = (left < min_words) | (100 * left < min_kept_percent * F.col("n_words"))
-    rows = rows.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
+    rows, common, _ = _judge(docs, id_col, text_col, host_col, min_words, max_repeat_percent, max_line_documents, max_line_percent, min_kept_percent)
     return rows.withColumnRenamed("id", id_col), common
+
+
+def _without(text: str, gone: set[int]) -> str:
+    """The text without its lines whose normalised hash is in ``gone``."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    starts, ends, _ = A.runs(data, np.array([0, len(data)]), A.WORD_BYTES)
+    low = A.Rolling(A.hash_runs(data, starts, ends, A.LOWER))
+    breaks = np.flatnonzero(data == 10)
+    begin, stop = np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(data)]])
+    first, last = np.searchsorted(starts, begin), np.searchsorted(starts, stop)
+    names = A.signed(low.spans(first, last)).tolist()
+    whole = data.tobytes()
+    return b"\n".join(whole[a:b] for a, b, n, p, q in zip(begin.tolist(), stop.tolist(), names, first.tolist(), last.tolist()) if p == q or n not in gone).decode()
+
+
+def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", length_col: str | None = None, **limits) -> DataFrame:
+    """The documents that the rules keep, without their lines over the limit;
+    columns as in ``docs``, ``length_col`` set anew where lines went. Rows that
+    repeat an id stay if one of them passes."""
+    defaults = dict(min_words=20, max_repeat_percent=30, max_line_documents=10, max_line_percent=1.0, min_kept_percent=30)
+    rows, _, hit = _judge(docs, id_col, text_col, host_col, **(defaults | limits))
+    gone = hit.groupBy("id").agg(F.collect_set("line").alias("gone")).withColumnRenamed("id", "key")
+    kept = rows.filter("kept").select("id").distinct().join(gone, F.expr("id <=> key"), "left").select(F.col("id").alias("__id__"), F.col("gone").alias("__gone__"))
+    kept = stage(kept, "kept")
+    at, size = docs.columns.index(text_col), docs.columns.index(length_col) if length_col else -1
+    both = docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["__id__"])).drop("__id__")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = list(batch.columns)
+            gone, old = columns.pop(), batch.column(at).to_pylist()
+            new = [_without(t, set(g)) if t and g else t for t, g in zip(old, gone.to_pylist())]
+            columns[at] = pa.array(new, columns[at].type)
+            if size >= 0:
+                columns[size] = pa.array([n if a == b else len(b) for n, a, b in zip(columns[size].to_pylist(), old, new)], columns[size].type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    return both.mapInArrow(work, docs.schema)

@@ -217,3 +217,11 @@ def simhash_components(
     least = stage(labels.groupBy("label").agg(F.min("least").alias("component_id")), "components")
     by_print = stage(labels.select("fp", "label").join(least, "label").select("fp", "component_id"), "print-components")
     return prints.join(by_print, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
+    """``docs`` with the document of the least id of each component. Rows that repeat
+    that id all stay; null ids stay if their component has no other."""
+    found = simhash_components(docs, id_col, text_col, **limits)
+    stay = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id__")).distinct()
+    return docs.join(stay, docs[id_col].cast("long").eqNullSafe(stay["__id__"]), "left_semi")
