@@ -75,16 +75,25 @@ def is_der_key(data: bytes) -> bool:
 
 
 def is_openssh_key(data: bytes) -> bool:
-    """The magic, then cipher, kdf and options as length-prefixed strings."""
+    """The magic, then length-prefixed fields that end with the data: cipher,
+    kdf, options, a number of public keys, and the private block."""
     magic = b"openssh-key-v1\0"
     if not data.startswith(magic):
         return False
+
+    def number(at: int) -> int:
+        return int.from_bytes(data[at:at + 4], "big") if at + 4 <= len(data) else len(data)
+
     at = len(magic)
     for _ in range(3):
-        if len(data) - at < 4:
-            return False
-        at += 4 + int.from_bytes(data[at:at + 4], "big")
-    return at + 4 <= len(data) and 1 <= int.from_bytes(data[at:at + 4], "big") <= 64
+        at += 4 + number(at)
+    keys = number(at)
+    if not 1 <= keys <= 64:
+        return False
+    at += 4
+    for _ in range(keys + 1):
+        at += 4 + number(at)
+    return at == len(data)
 
 
 def _decode64(text: str) -> bytes | None:
