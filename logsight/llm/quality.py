@@ -100,7 +100,7 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _judge(
-    docs: DataFrame, id_col: str, text_col: str, host_col: str, min_words: int, max_repeat_percent: int, max_line_documents: int, max_line_percent: float, min_kept_percent: int,
+    docs: DataFrame, id_col: str, text_col: str, host_col: str, min_words: int, max_repeat_percent: int, max_line_documents: int, max_line_percent: float, min_kept_percent: int, min_kept_words: int,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(verdicts, frequent lines, the lines each document loses)."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
@@ -123,13 +123,13 @@ def _judge(
     rows = rows.withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     left = F.col("n_words") - F.col("n_removed_words")
-    depleted = (left < min_words) | (100 * left < min_kept_percent * F.col("n_words"))
+    depleted = (left < min_kept_words) | (100 * left < min_kept_percent * F.col("n_words"))
     return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted), common, hit
 
 
 def quality_rules(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", *,
-    min_words: int = 20, max_repeat_percent: int = 30, max_line_documents: int = 10, max_line_percent: float = 1.0, min_kept_percent: int = 30,
+    min_words: int = 20, max_repeat_percent: int = 30, max_line_documents: int = 10, max_line_percent: float = 1.0, min_kept_percent: int = 30, min_kept_words: int = 10,
 ) -> tuple[DataFrame, DataFrame]:
     """(verdicts, frequent lines).
 
@@ -140,13 +140,13 @@ def quality_rules(
     documents. Copies count as one document: documents are told apart by
     their least 3-word shingle, so a mirrored page does not make its own lines
     boilerplate. A document is depleted, and rejected, if fewer than
-    ``min_words`` words or ``min_kept_percent`` of its words remain.
+    ``min_kept_words`` words or ``min_kept_percent`` of its words remain.
 
     Null texts have no words and fail the base rule; a null host is one host,
     together with the empty one; rows that repeat an id keep a verdict each; an empty
     table gives an empty result; other columns are not read.
     """
-    rows, common, _ = _judge(docs, id_col, text_col, host_col, min_words, max_repeat_percent, max_line_documents, max_line_percent, min_kept_percent)
+    rows, common, _ = _judge(docs, id_col, text_col, host_col, min_words, max_repeat_percent, max_line_documents, max_line_percent, min_kept_percent, min_kept_words)
     return rows.withColumnRenamed("id", id_col), common
 
 
@@ -167,7 +167,7 @@ def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The documents that the rules keep, without their lines over the limit;
     columns as in ``docs``, ``length_col`` set anew where lines went. Rows that
     repeat an id stay if one of them passes."""
-    defaults = dict(min_words=20, max_repeat_percent=30, max_line_documents=10, max_line_percent=1.0, min_kept_percent=30)
+    defaults = dict(min_words=20, max_repeat_percent=30, max_line_documents=10, max_line_percent=1.0, min_kept_percent=30, min_kept_words=10)
     rows, _, hit = _judge(docs, id_col, text_col, host_col, **(defaults | limits))
     gone = hit.groupBy("id").agg(F.collect_set("line").alias("gone")).withColumnRenamed("id", "key")
     kept = rows.filter("kept").select("id").distinct().join(gone, F.expr("id <=> key"), "left").select(F.col("id").alias("__id__"), F.col("gone").alias("__gone__"))
