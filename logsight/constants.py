@@ -8,8 +8,6 @@ Spark's ``regexp_extract`` addresses groups by index.
 """
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 # ---------------------------------------------------------------------------
 # FIXED VALUES — must match the reference behaviour exactly.
 # ---------------------------------------------------------------------------
@@ -99,10 +97,13 @@ MODEL_NUMERIC_FEATURES = [
 ]
 TEXT_FEATURE = "event_clean"
 
+# Text that a reader takes for a missing value.
+NULL_MARKERS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+                "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+
 # Admission limits.
 ALLOWED_EXTENSIONS = (".csv", ".xlsx", ".log")
 MAX_UPLOAD_BYTES = 20 * 1024 * 1024
-MAX_ROWS = 500_000
 MAX_XLSX_DECOMPRESSED = 200 * 1024 * 1024
 BINARY_HEAD_BYTES = 8192
 NON_PRINTABLE_RATIO_LIMIT = 0.10
@@ -198,21 +199,3 @@ LEGACY_TS_FORMATS = [
     "dd/MMM/yyyy:HH:mm:ss Z",
     "MMM dd HH:mm:ss",
 ]
-
-# ---------------------------------------------------------------------------
-# Schemas
-# ---------------------------------------------------------------------------
-
-CANONICAL_SCHEMA = T.StructType([
-    T.StructField("row_id", T.LongType()),
-    T.StructField("ts_raw", T.StringType()),
-    T.StructField("src_ip", T.StringType()),
-    T.StructField("dst_ip", T.StringType()),
-    T.StructField("dst_port", T.DoubleType()),
-    T.StructField("username", T.StringType()),
-    T.StructField("event", T.StringType()),
-    T.StructField("bytes", T.DoubleType()),
-    T.StructField("duration", T.DoubleType()),
-    T.StructField("status", T.StringType()),
-    T.StructField("label_original", T.StringType()),
-])

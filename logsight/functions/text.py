@@ -30,11 +30,6 @@ def strip_ws(col: Column | str) -> Column:
     return F.trim(_c(col), F.lit(WHITESPACE))
 
 
-def blank_to_null(col: Column | str) -> Column:
-    c = _c(col)
-    return F.when(c == "", F.lit(None).cast("string")).otherwise(c)
-
-
 def first_match(col: Column | str, pattern: str, group: int = 1) -> Column:
     """Group ``group`` of the first match, or null when the pattern is absent.
 

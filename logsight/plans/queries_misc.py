@@ -434,7 +434,7 @@ def q_log_roundtrip(spark, sf_dir):
     folder, read back in parallel (dense file-order ids) and parsed."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/logsight-stage/log-{_uid()}"
     log_lines(spark, sf_dir).orderBy("row_id").select("value").write.text(path)
-    lines = read_log_lines(spark, path)
+    lines = read_log_lines(spark, path, dense_ids=True)
     return to_canonical_events(parse_lines(lines)).select(*_PARSE_OUT)
 
 

@@ -77,10 +77,3 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{base}/logsight-stage/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` into the shared checkpoint folder (reliable, survives
-    executor loss) and return a DataFrame reading it back."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logsight.session import stage
+
 
 def with_row_key(df: DataFrame) -> DataFrame:
     """Add ``_file``, ``_split`` and ``_mono`` (sortable into file order)."""
@@ -41,3 +43,21 @@ def dense_row_id(keyed: DataFrame, name: str = "row_id", max_rows_per_file: int
             "_off", F.col("_off2")).drop("_off2")
     return (out.withColumn(name, F.col("_off") + (F.col("_mono") - F.col("_lo")) + 1)
                .drop("_file", "_split", "_mono", "_off", "_lo", "_file_off"))
+
+
+def dense_numbers(df: DataFrame, order: list[str], name: str = "row_id") -> DataFrame:
+    """Number the rows of a staged frame 1..n by ``order``: range partitions,
+    their counts (one row each), and a running number inside each."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stage(ranged.withColumn("_pos", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_pos", 33)
+    counts = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, starts = 0, []
+    for p in sorted(counts):
+        starts.append((p, before))
+        before += counts[p]
+    offsets = df.sparkSession.createDataFrame(starts, "_part_no long, _before long")
+    # one row per partition
+    out = placed.withColumn("_part_no", part.cast("bigint")).join(F.broadcast(offsets), "_part_no")
+    number = F.col("_before") + F.col("_pos").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return out.withColumn(name, number).drop("_pos", "_part_no", "_before")

@@ -102,15 +102,15 @@ def _parse_batches(batches):
         for path, content in zip(pdf["path"], pdf["content"]):
             try:
                 recs.extend(read_workbook_bytes(path, bytes(content)))
-            except (zipfile.BadZipFile, KeyError, ET.ParseError):
-                continue
+            except (zipfile.BadZipFile, KeyError, ET.ParseError) as exc:
+                raise ValueError(f"cannot read workbook {path}: {exc}") from exc
         yield pd.DataFrame(recs, columns=["file_path", "sheet", "n_sheets", "row_no", "cells"])
 
 
-def read_workbooks(spark: SparkSession, path: str, glob: str = "*.xlsx") -> DataFrame:
-    """SRC2: every workbook under ``path`` -> rows of its first non-empty sheet."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-             .filter(F.col("length") <= C.MAX_UPLOAD_BYTES).select("path", "content"))
+def read_workbooks(spark: SparkSession, paths: list[str] | str, glob: str = "*.xlsx") -> DataFrame:
+    """SRC2: each workbook at or below ``paths`` -> rows of its first non-empty
+    sheet. A workbook that cannot be read is an error that names it."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(paths).select("path", "content")
     return files.mapInPandas(_parse_batches, ROW_SCHEMA)
 
 
@@ -119,7 +119,7 @@ def workbook_frame(rows: DataFrame) -> DataFrame:
     pass over the map keys, bounded by the number of columns)."""
     keys = [r[0] for r in rows.select(F.explode(F.map_keys("cells"))).distinct().collect()]
     order = sorted(keys)
-    return rows.select("file_path", "sheet", F.col("row_no").alias("row_id"),
+    return rows.select("file_path", "sheet", F.monotonically_increasing_id().alias("row_id"),
                        *[F.col("cells")[k].alias(k) for k in order])
 
 

@@ -55,7 +55,7 @@ def test_log_lines_file_order_and_latin1(spark, tmpdir_path):
     os.makedirs(d)
     _write(os.path.join(d, "a.log"), "first\n\n  \nsecond\nthird\n")
     _write(os.path.join(d, "b.log"), "caf\xe9 fourth\n", encoding="latin-1")
-    rows = read_log_lines(spark, d).orderBy("row_id").collect()
+    rows = read_log_lines(spark, d, dense_ids=True).orderBy("row_id").collect()
     assert [r["value"] for r in rows] == ["first", "second", "third", "café fourth"]
     assert [r["row_id"] for r in rows] == [1, 2, 3, 4]
 
@@ -128,8 +128,8 @@ def test_read_events_dispatch_and_row_cap(spark, tmpdir_path):
     csvp = _write(os.path.join(tmpdir_path, "t.csv"), "timestamp,source ip,message\n2026-08-14 10:00:00,1.1.1.1,hi\n")
     ev, meta = read_events(spark, [log, csvp])
     got = sorted((r["detected_type"], r["src_ip"]) for r in ev.collect())
-    assert got == [("CSV / tabular (.csv)", "1.1.1.1"), ("Raw log (.log)", "10.0.0.1"),
-                   ("Raw log (.log)", "10.0.0.1"), ("Raw log (.log)", "10.0.0.2")]
+    assert got == [("delimited text", "1.1.1.1"), ("log lines", "10.0.0.1"),
+                   ("log lines", "10.0.0.1"), ("log lines", "10.0.0.2")]
     assert meta[".csv"]["column_mapping"]["src_ip"] == "source ip"
     capped = read_log_lines(spark, log, max_rows_per_file=2).orderBy("row_id").collect()
     assert [r["row_id"] for r in capped] == [1, 2] and "Accepted" not in capped[-1]["value"]
@@ -154,3 +154,76 @@ def test_read_table_plain(spark, tmpdir_path):
     p = _write(os.path.join(tmpdir_path, "plain.csv"), "a,b\n1,x\n2,y\n")
     df = read_table_plain(spark, p)
     assert df.schema["a"].dataType.simpleString() == "int" and df.count() == 2
+
+
+def test_latin1_log_larger_than_a_split_keeps_every_line(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "big.log")
+    with open(p, "wb") as fh:
+        for k in range(118_300):
+            fh.write(b"caf\xe9 line %d " % k + b"x" * 170 + b"\n")
+    assert os.path.getsize(p) > 20 * 1024 * 1024
+    lines = read_log_lines(spark, p)
+    assert lines.count() == 118_300
+    assert lines.filter("value like 'café line %'").count() == 118_300
+    assert lines.select("row_id").distinct().count() == 118_300
+
+
+def test_latin1_byte_late_in_a_csv(spark, tmpdir_path):
+    body = "".join(f"{k},plain text number {k}\n" for k in range(6000)).encode() + b"6000,caf\xe9\n"
+    p = _write(os.path.join(tmpdir_path, "late.csv"), b"id,message\n" + body, "wb")
+    raw, meta = read_delimited(spark, p)
+    assert meta["encoding"] == "ISO-8859-1" and raw.count() == 6001
+    assert raw.filter("id = '6000'").first()["message"] == "café"
+
+
+def test_quotes_and_line_breaks(spark, tmpdir_path):
+    p = _write(os.path.join(tmpdir_path, "q.csv"), 'time,message\n1,"he said ""a"", then b"\n2,"two\nlines"\n3,plain\n')
+    rows = {r["time"]: r["message"] for r in read_delimited(spark, p)[0].collect()}
+    assert rows == {"1": 'he said "a", then b', "2": "two\nlines", "3": "plain"}
+
+
+def test_each_csv_has_its_own_layout(spark, tmpdir_path):
+    from logsight.sources.dispatch import read_events
+    a = _write(os.path.join(tmpdir_path, "a.csv"), "source ip,message,count\n1.1.1.1,first,7\nN/A,null,8\n")
+    b = _write(os.path.join(tmpdir_path, "b.csv"), "message;Src Addr\nsecond;2.2.2.2\n")
+    c = _write(os.path.join(tmpdir_path, "c file.csv"), "client_ip,msg\n3.3.3.3,caf\xe9\n", encoding="latin-1")
+    d = _write(os.path.join(tmpdir_path, "auth.log"), "Aug 14 10:22:31 h sshd[1]: Failed password for root from 10.0.0.1 port 22 ssh2\n")
+    wb = os.path.join(tmpdir_path, "wanted.xlsx")
+    _write(wb, _xlsx([("s", [["src_addr", "msg"], ["4.4.4.4", "x"], ["5.5.5.5", "y"]])]), "wb")
+    _write(os.path.join(tmpdir_path, "other.xlsx"), _xlsx([("s", [["src_addr", "msg"], ["9.9.9.9", "no"]])]), "wb")
+    for dense in (False, True):
+        ev, _ = read_events(spark, [a, b, c, d, wb], dense_ids=dense)
+        rows = ev.collect()
+        got = sorted((r["src_ip"] or "", r["event"] or "") for r in rows if r["detected_type"] != "log lines")
+        assert got == [("", ""), ("1.1.1.1", "first"), ("2.2.2.2", "second"), ("3.3.3.3", "café"), ("4.4.4.4", "x"), ("5.5.5.5", "y")]
+        ids = sorted(r["row_id"] for r in rows)
+        assert len(set(ids)) == len(rows) == 7 and (not dense or ids == list(range(1, 8)))
+        assert sorted(r["extra_count"] for r in rows if r["extra_count"] is not None) == [7.0, 8.0]
+
+
+def test_more_than_twenty_numeric_columns_stay(spark, tmpdir_path):
+    names = [f"n{k}" for k in range(30)]
+    p = _write(os.path.join(tmpdir_path, "w.csv"), ",".join(["message", *names]) + "\nhi," + ",".join(["1"] * 29 + ["N/A"]) + "\n")
+    canon, _ = to_canonical(read_delimited(spark, p)[0])
+    assert [c for c in canon.columns if c.startswith("extra_")] == [f"extra_{n}" for n in names]
+
+
+def test_workbook_errors_are_not_silent(spark, tmpdir_path):
+    import pytest
+    p = _write(os.path.join(tmpdir_path, "bad.xlsx"), b"no zip", "wb")
+    with pytest.raises(Exception, match="bad.xlsx"):
+        read_workbooks(spark, p).count()
+
+
+def test_training_rows_are_numbered(spark):
+    from logsight.sources.dispatch import training_frame
+    df = spark.createDataFrame([(f"e{k}", "Normal") for k in range(50)], "event string, label string").repartition(7)
+    assert sorted(r["row_id"] for r in training_frame(df).collect()) == list(range(1, 51))
+
+
+def test_plain_table_by_suffix(spark, tmpdir_path):
+    from logsight.sources.delimited import read_table_plain
+    spark.range(3).write.parquet(os.path.join(tmpdir_path, "t.parquet"))
+    assert read_table_plain(spark, os.path.join(tmpdir_path, "t.parquet")).count() == 3
+    p = _write(os.path.join(tmpdir_path, "t.csv"), 'a,b\n1,"x ""y"""\n')
+    assert [tuple(r) for r in read_table_plain(spark, p).collect()] == [(1, 'x "y"')]
