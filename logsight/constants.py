@@ -64,8 +64,6 @@ SERVICE_PORT_LIMIT = 49152            # ports below this are "service" ports
 TOP_DETECTIONS = 25
 TOP_K = 5
 PAGE_SIZE = 25
-EVENT_DECODE_CHARS = 2000
-EVENT_CLEAN_CHARS = 500
 EPOCH_MIN, EPOCH_MAX = 1e9, 1e11
 
 # Severity: ordered levels and base level per attack category (default Low).
@@ -187,7 +185,6 @@ LEGACY_ATTACK_KEYWORDS = [
     "injection", "malware", "dos", "ddos", "privilege", "escalation",
     "unauthorized", "denied", "blocked", "suspicious", "anomaly",
 ]
-LEGACY_EVENT_CHARS = 500
 # Legacy explicit timestamp formats, tried in order (Spark datetime patterns).
 LEGACY_TS_FORMATS = [
     "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXX",

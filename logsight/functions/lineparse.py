@@ -86,8 +86,9 @@ def _parse_struct(s: Column) -> Column:
         for_user = first_match(body, "(?U)" + C.SYSLOG_FOR_USER_RE)
         sy_user = F.coalesce(_kv_user(body),
                              F.when(~F.lower(for_user).isin(*C.SYSLOG_FOR_USER_EXCLUDED), for_user))
+        # "invalid user" names the user or nobody
         sy_user = F.when(F.lower(body).contains("invalid user"),
-                         F.coalesce(first_match(body, C.INVALID_USER_RE), sy_user)).otherwise(sy_user)
+                         first_match(body, "(?U)" + C.INVALID_USER_RE)).otherwise(sy_user)
         gen_cut = strip_ws(remove_first_occurrence(s, ts_raw))
         gen_event = F.when(ts_raw.isNull() | (gen_cut == ""), s).otherwise(gen_cut)
         ip_body = first_ipv4(body)
@@ -102,7 +103,7 @@ def _parse_struct(s: Column) -> Column:
                       F.coalesce(_kv(body, "dst_port"), first_match(body, C.SYSLOG_PORT_RE)),
                       _kv(body, "dst_port"), _kv(body, "dst_port")).try_cast("double").alias("dst_port"),
             by_format(fmt, F.when(g[1] != "-", g[1]), sy_user, _kv_user(body),
-                      F.coalesce(_kv_user(body), first_match(s, C.GENERIC_USER_RE))).alias("username"),
+                      F.coalesce(_kv_user(body), first_match(s, "(?U)" + C.GENERIC_USER_RE))).alias("username"),
             event.alias("event"),
             F.when(is_ap, F.when(g[5].rlike(r"^[0-9]+$"), g[5]))
              .otherwise(_kv(body, "bytes")).try_cast("double").alias("bytes"),

@@ -64,21 +64,22 @@ def to_number(col: Column | str) -> Column:
     return cleaned.try_cast("double")
 
 
-def url_decode_lenient(col: Column | str, max_chars: int = C.EVENT_DECODE_CHARS) -> Column:
-    """First ``max_chars`` characters, percent-decoded only when a '%' is present.
+def url_decode_lenient(col: Column | str, max_chars: int | None = None) -> Column:
+    """Percent-decode where a '%' is present; of the first ``max_chars`` characters, if given.
 
     '+' stays '+', and a '%' not followed by two hex digits is kept literally:
     both are escaped before handing the text to the strict JVM decoder."""
-    head = F.substring(_c(col), 1, max_chars)
+    head = _c(col) if max_chars is None else F.substring(_c(col), 1, max_chars)
     guarded = F.regexp_replace(F.replace(head, F.lit("+"), F.lit("%2B")),
                                r"%(?![0-9A-Fa-f]{2})", "%25")
     decoded = F.try_url_decode(guarded)
     return F.when(F.instr(head, "%") > 0, F.coalesce(decoded, head)).otherwise(head)
 
 
-def clean_text(col: Column | str, max_chars: int = C.EVENT_CLEAN_CHARS) -> Column:
-    """Lower-case, collapse whitespace runs to one space, keep ``max_chars``."""
-    return F.substring(F.regexp_replace(F.lower(_c(col)), r"\s+", " "), 1, max_chars)
+def clean_text(col: Column | str, max_chars: int | None = None) -> Column:
+    """Lower-case, collapse whitespace runs to one space; keep ``max_chars``, if given."""
+    text = F.regexp_replace(F.lower(_c(col)), r"\s+", " ")
+    return text if max_chars is None else F.substring(text, 1, max_chars)
 
 
 def has_any_token(col: Column | str, tokens: Iterable[str]) -> Column:

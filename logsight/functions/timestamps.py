@@ -13,8 +13,10 @@ Routes, mutually exclusive, in this order:
 * apache ``d/Mon/yyyy:hh:mm:ss +zzzz`` -> offset honoured;
 * direct: a closed list of formats replaces free-form guessing:
   ISO-8601 date or date-time (``T`` or space, ``.``/``,`` fraction, optional
-  ``Z``/``+hh:mm``/``+hhmm``/``+hh`` zone), ``d MMM yyyy HH:mm:ss``,
-  ``yyyy/MM/dd HH:mm:ss`` and ``MM/dd/yyyy HH:mm:ss``.
+  ``Z``/``+hh:mm``/``+hhmm``/``+hh`` zone), and those of DIRECT_FORMATS, with
+  a weekday before (``Fri, 14 Aug 2026 10:22:31 +0000``) or a zone after (``UTC``, ``GMT``, an
+  offset, a blank before it or not) where they have a time;
+* on request (``epoch_millis``) a number in [1e12, 1e14] is milliseconds.
 """
 from __future__ import annotations
 
@@ -28,12 +30,19 @@ from logsight.functions.text import _c, let, strip_ws
 
 ISO_DIRECT_RE = (r"^\d{4}-\d{1,2}-\d{1,2}(?:[T ]\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?)?"
                  r"(Z|[+-]\d{2}(?::?\d{2})?)?$")
-# (regex guard, Spark pattern applied to "<text> +0000")
+# (regex guard of the text without zone or weekday, Spark pattern)
 DIRECT_FORMATS = (
-    (r"^\d{1,2} [A-Za-z]{3} \d{4} \d{1,2}:\d{2}:\d{2}$", "d MMM yyyy H:mm:ss Z"),
-    (r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}:\d{2}$", "yyyy/M/d H:mm:ss Z"),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", "M/d/yyyy H:mm:ss Z"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4} \d{1,2}:\d{2}:\d{2}$", "d MMM yyyy H:mm:ss"),
+    (r"^[A-Za-z]{3} \d{1,2} \d{4} \d{1,2}:\d{2}:\d{2}$", "MMM d yyyy H:mm:ss"),
+    (r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}:\d{2}$", "yyyy/M/d H:mm:ss"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", "M/d/yyyy H:mm:ss"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", "M/d/yyyy H:mm"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2} [AP]M$", "M/d/yyyy h:mm:ss a"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2} [AP]M$", "M/d/yyyy h:mm a"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
+    (r"^(?:19|20)\d{6}$", "yyyyMMdd"),
 )
+ZONE_RE = r"\s*(?:UTC|GMT|Z|[+-]\d{2}:?\d{2})$"
 
 
 def ntz_from_seconds(sec: Column | str) -> Column:
@@ -62,13 +71,13 @@ def _iso_seconds(text: Column) -> Column:
         F.unix_date(text.try_cast("date")).cast("bigint") * 86400)
 
 
-def normalise_timestamp(raw: Column | str, assume_year: int | None = None) -> Column:
+def normalise_timestamp(raw: Column | str, assume_year: int | None = None, epoch_millis: bool = False) -> Column:
     """Raw timestamp text -> BIGINT seconds (UTC), null when unparsable.
 
     For wide plans prefer :func:`with_ts_seconds`, which materialises the
     trimmed text once instead of re-deriving it in every route."""
     return let(strip_ws(F.coalesce(_c(raw).cast("string"), F.lit(""))),
-               lambda t: _normalise_stripped(t, assume_year))
+               lambda t: _normalise_stripped(t, assume_year, epoch_millis))
 
 
 def with_ts_seconds(df: DataFrame, raw: str = "ts_raw", out: str = "ts_sec",
@@ -77,7 +86,23 @@ def with_ts_seconds(df: DataFrame, raw: str = "ts_raw", out: str = "ts_sec",
     return df.withColumn(out, normalise_timestamp(raw, assume_year))
 
 
-def _normalise_stripped(text: Column, assume_year: int | None) -> Column:
+def _direct(text: Column) -> Column:
+    """The other formats: the zone, if any, apart from the rest."""
+    zone = F.regexp_replace(F.regexp_extract(text, ZONE_RE, 0), r"[\s:]", "")
+    offset = F.when(zone.isin("", "UTC", "GMT", "Z"), F.lit("+0000")).otherwise(zone)
+    plain = F.regexp_replace(F.regexp_replace(text, ZONE_RE, ""), r"^[A-Za-z]{3},\s+", "")
+
+    def parsed(b):
+        out = F.lit(None).cast("bigint")
+        for guard, fmt in reversed(DIRECT_FORMATS):
+            ts = F.try_to_timestamp(F.concat(b["p"], F.lit(" "), b["z"]), F.lit(fmt + " Z"))
+            out = F.when(b["p"].rlike(guard), F.unix_seconds(ts)).otherwise(out)
+        return out
+
+    return let(F.struct(_squash(F.replace(plain, F.lit(","), F.lit(""))).alias("p"), offset.alias("z")), parsed)
+
+
+def _normalise_stripped(text: Column, assume_year: int | None, epoch_millis: bool = False) -> Column:
     year = assume_year if assume_year is not None else _dt.date.today().year
     num = text.try_cast("double")
     is_epoch = num.between(C.EPOCH_MIN, C.EPOCH_MAX)
@@ -88,12 +113,14 @@ def _normalise_stripped(text: Column, assume_year: int | None) -> Column:
     noyear_sec = F.unix_seconds(F.try_to_timestamp(
         F.concat(F.lit(f"{year} "), _squash(text), F.lit(" +0000")), F.lit("yyyy MMM d HH:mm:ss Z")))
     apache_sec = F.unix_seconds(F.try_to_timestamp(_squash(text), F.lit("d/MMM/yyyy:HH:mm:ss Z")))
-    direct = F.when((F.substring(text, 5, 1) == "-") & text.rlike(ISO_DIRECT_RE), _iso_seconds(text))
-    for guard, fmt in DIRECT_FORMATS:
-        direct = direct.when(text.rlike(guard), F.unix_seconds(
-            F.try_to_timestamp(F.concat(text, F.lit(" +0000")), F.lit(fmt))))
-    return (F.when(text == "", F.lit(None).cast("bigint"))
-            .when(is_epoch, F.floor(num).cast("bigint"))
+    # "2026-08-14 10:22:31 UTC" and "... +0000" are ISO once the blank is gone
+    iso = F.regexp_replace(F.regexp_replace(text, r"\s*(?:UTC|GMT)$", "Z"), r"\s+([+-]\d{2}:?\d{2})$", "$1")
+    direct = F.when(F.substring(text, 5, 1) == "-", let(iso, lambda t: F.when(t.rlike(ISO_DIRECT_RE), _iso_seconds(t))))
+    direct = direct.otherwise(_direct(text))
+    out = F.when(text == "", F.lit(None).cast("bigint"))
+    if epoch_millis:
+        out = out.when(num.between(1e12, 1e14), F.floor(num / 1000).cast("bigint"))
+    return (out.when(is_epoch, F.floor(num).cast("bigint"))
             .when(noyear, noyear_sec)
             .when(apache, apache_sec)
             .otherwise(direct))

@@ -44,23 +44,28 @@ def _dup_key(df: DataFrame) -> list:
             F.col("event").alias("_k_ev"), F.when(~keyed, others).alias("_k_rest")]
 
 
-def first_rows(df: DataFrame, order_col: str = "row_id") -> DataFrame:
-    """row ids that are the first of their duplicate group.
+_KEYS = ["_keyed", "_k_ts", "_k_ip", "_k_ev", "_k_rest"]
 
-    A grouped ``min`` (partial aggregation map-side) instead of a window: a
-    hot key collapses before the shuffle and never lands in one task."""
-    return (df.select(*_dup_key(df), F.col(order_col).alias("_first"))
-            .groupBy("_keyed", "_k_ts", "_k_ip", "_k_ev", "_k_rest")
-            .agg(F.min("_first").alias(order_col))
-            .select(order_col))
+
+def duplicate_groups(df: DataFrame, order_col: str = "row_id") -> DataFrame:
+    """The duplicate keys that occur twice or more, with the first row id and
+    the number of rows. A grouped ``min`` (partial aggregation map-side): a
+    hot key collapses before the shuffle."""
+    return (df.select(*_dup_key(df), F.col(order_col).alias("_o")).groupBy(*_KEYS)
+            .agg(F.min("_o").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1"))
 
 
 def flag_duplicates(df: DataFrame, order_col: str = "row_id") -> DataFrame:
-    """Add ``is_duplicate`` (an earlier row has the same key)."""
-    firsts = first_rows(df, order_col).withColumn("_is_first", F.lit(True))
-    return (df.join(firsts, order_col, "left")
-            .withColumn("is_duplicate", F.col("_is_first").isNull())
-            .drop("_is_first"))
+    """Add ``is_duplicate`` (an earlier row has the same key). The few repeated
+    keys are joined back by key, so rows never multiply."""
+    groups = duplicate_groups(df, order_col)
+    groups = groups.select(*[F.col(k).alias(f"{k}_g") for k in _KEYS], "_first")
+    keyed = df.select("*", *_dup_key(df))
+    same = F.lit(True)
+    for k in _KEYS:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_g"))
+    flag = F.coalesce(F.col(order_col) > F.col("_first"), F.lit(False))
+    return keyed.join(groups, same, "left").select(*df.columns, flag.alias("is_duplicate"))
 
 
 def dedupe_events(df: DataFrame, order_col: str = "row_id") -> DataFrame:
@@ -83,8 +88,8 @@ def fill_missing(df: DataFrame) -> DataFrame:
 
 
 def add_text_columns(df: DataFrame) -> DataFrame:
-    """event_decoded (lenient URL decode of the first 2,000 chars) and
-    event_clean (lower-cased, whitespace collapsed, 500 chars)."""
+    """event_decoded (lenient URL decode) and
+    event_clean (lower-cased, whitespace collapsed), both of the whole text."""
     return (df.withColumn("event_decoded", url_decode_lenient("event"))
               .withColumn("event_clean", clean_text("event_decoded")))
 
@@ -111,19 +116,30 @@ def preprocess(events: DataFrame, assume_year: int | None = None,
     return add_behavioural_features(stage(df, "clean-base"))
 
 
+FILLED_COLUMNS = ("src_ip", "username", "dst_port", "bytes", "duration")
+
+
 def cleaning_report(events: DataFrame, assume_year: int | None = None) -> DataFrame:
-    """One-row summary of the cleaning pass (AGG12), computed in one aggregate
-    over the duplicate-flagged rows: rows in/out, duplicates removed,
-    unparsable and normalised timestamps, missing values before filling."""
-    df = normalise(flag_duplicates(ensure_canonical(events)), assume_year)
-    kept = ~F.col("is_duplicate")
+    """One-row summary of the cleaning pass (AGG12): rows in/out, duplicates
+    removed, unparsable and normalised timestamps, missing values before
+    filling and what filling replaces. One pass: the grouped dedupe carries
+    the size of each group along with its first row."""
+    df = ensure_canonical(events)
+    cols = df.columns
+    kept = (df.select(*_dup_key(df), F.struct(*cols).alias("_row"), F.col("row_id").alias("_o"))
+              .groupBy(*_KEYS).agg(F.min_by("_row", "_o").alias("_row"), F.count(F.lit(1)).alias("_n"))
+              .select("_row.*", "_n"))
+    df = normalise(kept, assume_year)
     raw_text = F.regexp_replace(F.coalesce(F.col("ts_raw"), F.lit("")), r"^\s+|\s+$", "")
-    aggs = [F.count(F.lit(1)).alias("rows_in"),
-            F.count_if(F.col("is_duplicate")).alias("duplicates_removed"),
-            F.count_if(kept & (raw_text != "") & F.col("ts_sec").isNull()).alias("unparsable_timestamps"),
-            F.count_if(kept & F.col("ts_sec").isNotNull()).alias("timestamps_normalised")]
-    for c in MISSING_COLUMNS:
-        src = "ts_sec" if c == "timestamp" else c
-        aggs.append(F.count_if(kept & F.col(src).isNull()).alias(f"missing_{c}"))
-    return (df.agg(*aggs)
-            .withColumn("rows_out", F.col("rows_in") - F.col("duplicates_removed")))
+
+    def missing(c):
+        return F.count_if(F.col("ts_sec" if c == "timestamp" else c).isNull())
+
+    return df.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("rows_in"),
+        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicates_removed"),
+        F.count_if((raw_text != "") & F.col("ts_sec").isNull()).alias("unparsable_timestamps"),
+        F.count_if(F.col("ts_sec").isNotNull()).alias("timestamps_normalised"),
+        *[missing(c).alias(f"missing_{c}") for c in MISSING_COLUMNS],
+        *[missing(c).alias(f"filled_{c}") for c in FILLED_COLUMNS],
+        F.count(F.lit(1)).alias("rows_out"))

@@ -1,8 +1,8 @@
 """Detections table API: filter, sort, page (FLT1, SRT1, WIN5).
 
 Filters are plain predicates (they push into the parquet scan of a staged
-scored table); sorting is only ever materialised for one page — a bounded
-TakeOrderedAndProject of offset+size rows per partition.
+scored table); no page, first or last, brings more than its own rows together
+in one task.
 """
 from __future__ import annotations
 
@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from logsight import constants as C
 from logsight.functions.timestamps import format_seconds
 from logsight.operators.severity import severity_rank
+from logsight.operators.stats import excerpt
+from logsight.session import stage
+from logsight.sources.rowid import dense_numbers
 
 
 def filter_detections(df: DataFrame, category: str | None = None, severity: str | None = None,
@@ -54,21 +57,30 @@ def sort_keys(key: str = "severity", ascending: bool = False) -> list[Column]:
 
 
 def page(df: DataFrame, key: str = "severity", ascending: bool = False, page_no: int = 1,
-         per_page: int = C.PAGE_SIZE, event_chars: int = 400) -> DataFrame:
+         per_page: int = C.PAGE_SIZE, event_chars: int | None = None) -> DataFrame:
     """WIN5: one page of the sorted detections with total / page / last_page.
-    The page number is clamped to [1, last_page]; ``pos`` is the 1-based rank."""
-    total = df.count()
+    The page number is clamped to [1, last_page]; ``pos`` is the 1-based rank.
+
+    The filtered rows are staged once. The first page is a bounded top-k; a
+    later one numbers the rows in range partitions (a count per partition,
+    no global sort in one task) and reads those of the page."""
+    shown = stage(df.select("row_id", "ts_sec", "src_ip", "username", "predicted_category", "severity", "confidence",
+                            "event"), "detections")
+    total = shown.count()
     last_page = max(1, math.ceil(total / per_page))
     p = min(max(1, int(page_no or 1)), last_page)
     start = (p - 1) * per_page
-    chunk = df.orderBy(*sort_keys(key, ascending)).offset(start).limit(per_page)
-    # the window spans one page (<= per_page rows)
-    pos = F.row_number().over(Window.orderBy(*sort_keys(key, ascending))) + start
+    keys = sort_keys(key, ascending)
+    if start == 0:
+        # the window spans one page (<= per_page rows)
+        chunk = shown.orderBy(*keys).limit(per_page).withColumn("pos", F.row_number().over(Window.orderBy(*keys)))
+    else:
+        chunk = dense_numbers(shown, keys, "pos").filter(F.col("pos").between(start + 1, start + per_page))
     return chunk.select(
-        pos.cast("bigint").alias("pos"), "row_id", format_seconds("ts_sec").alias("timestamp"), "src_ip",
+        F.col("pos").cast("bigint").alias("pos"), "row_id", format_seconds("ts_sec").alias("timestamp"), "src_ip",
         F.coalesce("username", F.lit("")).alias("username"),
         F.col("predicted_category").alias("category"), "severity",
         F.round("confidence", 3).alias("confidence"),
-        F.substring("event", 1, event_chars).alias("event"),
+        excerpt("event", event_chars).alias("event"),
         F.lit(total).cast("bigint").alias("total"), F.lit(p).cast("bigint").alias("page"),
         F.lit(last_page).cast("bigint").alias("last_page"))

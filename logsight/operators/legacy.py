@@ -3,7 +3,7 @@
 generic missing-value fill, subset dedupe, summary statistics."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,10 +12,11 @@ from logsight.functions.text import count_tokens, strip_ws
 from logsight.functions.timestamps import calendar_features, legacy_normalise_timestamp
 
 
-def parse_lines_keywords(df: DataFrame, col: str = "value", line_col: str = "row_id") -> DataFrame:
+def parse_lines_keywords(df: DataFrame, col: str = "value", line_col: str = "row_id",
+                         event_chars: int | None = None) -> DataFrame:
     """LP13L: per non-blank line: first timestamp (4 alternatives), every IPv4
     joined ', ', the first IPv4, a username (2 alternatives), the distinct
-    event keywords (sorted, joined ', '), the first 500 characters."""
+    event keywords (sorted, joined ', '), the line (its first ``event_chars``, if given)."""
     s = F.col("_line")
     ips = F.regexp_extract_all(s, F.lit(C.IPV4_RE), 0)
     kws = F.array_sort(F.array_distinct(F.regexp_extract_all(s, F.lit(C.LEGACY_EVENT_RE), 0)))
@@ -28,7 +29,7 @@ def parse_lines_keywords(df: DataFrame, col: str = "value", line_col: str = "row
                       F.regexp_substr(s, F.lit(C.IPV4_RE)).alias("source_ip"),
                       F.coalesce(u1, u2).alias("username"),
                       F.when(F.size(kws) > 0, F.array_join(kws, ", ")).alias("event_keywords"),
-                      F.substring(s, 1, C.LEGACY_EVENT_CHARS).alias("event_description")))
+                      (s if event_chars is None else F.substring(s, 1, event_chars)).alias("event_description")))
 
 
 def _octet(ip: Column, i: int) -> Column:
@@ -61,52 +62,31 @@ def remove_duplicates(df: DataFrame, subset: list[str] | None = None, order_col:
               .agg(F.min_by("_row", "_o").alias("_row")).select("_row.*"))
 
 
-SMALL_BAND = 200_000
-
-
-def _kth(x: DataFrame, k: int, n: int) -> float:
-    """k-th smallest (0-based) of column ``x`` by band narrowing: a quantile
-    sketch brackets rank k, rows below the band are counted, and the band is
-    re-bracketed until it holds few enough values to sort exactly. Every
-    step is a distributed aggregate; at most SMALL_BAND values reach the
-    driver."""
-    below, cur, m = 0, x, n
-    while m > SMALL_BAND:
-        eps = max(2.0 * SMALL_BAND ** -1, 1e-4)
-        p = (k - below) / m
-        lo, hi = cur.approxQuantile("x", [max(0.0, p - eps), min(1.0, p + eps)], eps / 4)
-        stats = cur.agg(F.count_if(F.col("x") < lo).alias("b"),
-                        F.count_if(F.col("x").between(lo, hi)).alias("m")).first()
-        if lo == hi:  # every value in the band is the same
-            return lo
-        if stats["m"] >= m:  # no progress (heavy ties): walk the band's value counts
-            return _kth_by_counts(cur.filter(F.col("x").between(lo, hi)), k - below - stats["b"])
-        below, m = below + stats["b"], stats["m"]
-        cur = cur.filter(F.col("x").between(lo, hi))
-    vals = sorted(r[0] for r in cur.collect())
-    return vals[k - below]
-
-
-def _kth_by_counts(x: DataFrame, k: int) -> float:
-    """k-th smallest from (value, count) pairs streamed in value order."""
-    seen = 0
-    for row in x.groupBy("x").count().orderBy("x").toLocalIterator():
-        seen += row["count"]
-        if seen > k:
-            return row["x"]
-    raise ValueError("rank beyond the data")
-
-
 def exact_median(df: DataFrame, column: str) -> float | None:
-    """Exact median (mean of the two middle values for an even count) of a
-    numeric column without gathering the column in one task."""
+    """Exact median (mean of the two middle values for an even count).
+
+    Value counts are dealt to range partitions and staged; the running total of
+    the partitions (one number each) names those that hold the middle ranks,
+    and only they are searched, by a running sum inside the partition."""
+    from logsight.session import stage
     x = df.select(F.col(column).cast("double").alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
-    n = x.count()
-    if n == 0:
+    counts = x.groupBy("x").agg(F.count(F.lit(1)).alias("n")).repartitionByRange("x")
+    counts = stage(counts.withColumn("p", F.spark_partition_id()), "value-counts")
+    parts = {r["p"]: r["n"] for r in counts.groupBy("p").agg(F.sum("n").alias("n")).collect()}
+    total = sum(parts.values())
+    if not total:
         return None
-    lo_k, hi_k = (n - 1) // 2, n // 2
-    a = _kth(x, lo_k, n)
-    return a if lo_k == hi_k else (a + _kth(x, hi_k, n)) / 2.0
+    found = []
+    for rank in ((total - 1) // 2, total // 2):
+        before = 0
+        for p in sorted(parts):
+            if rank < before + parts[p]:
+                break
+            before += parts[p]
+        run = F.sum("n").over(Window.partitionBy("p").orderBy("x"))
+        inside = counts.filter(F.col("p") == p).withColumn("_to", run)
+        found.append(inside.filter(F.col("_to") > rank - before).agg(F.min("x")).first()[0])
+    return sum(found) / 2.0
 
 
 def fill_missing_generic(df: DataFrame, strategy: str = "fill", now: str | None = None,
@@ -114,23 +94,30 @@ def fill_missing_generic(df: DataFrame, strategy: str = "fill", now: str | None
     """PRJ8: ``fill`` -> text 'unknown', numbers the column median (0 when all
     null), timestamps ``now``; ``drop`` -> drop rows with any null.
 
-    The exact median is found by distributed band narrowing
-    (:func:`exact_median`); ``approx=True`` uses one quantile sketch."""
+    One count finds the number columns with nulls; a column without keeps its
+    values and type, and an integer column keeps its type when its median
+    is whole. ``approx=True`` takes the medians from one quantile sketch."""
     if strategy == "drop":
         return df.na.drop("any")
-    nums = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.IntegerType, T.LongType, T.DoubleType,
-                                                                         T.FloatType, T.ShortType))]
+    nums = [f for f in df.schema.fields if isinstance(f.dataType, (T.IntegerType, T.LongType, T.DoubleType,
+                                                                    T.FloatType, T.ShortType))]
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     times = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))]
     if nums:
-        # one pass per median plus the fill itself: read a staged copy
+        # the count, the medians and the fill read the same rows
         from logsight.session import stage
         df = stage(df, "generic-fill")
+        holes = df.agg(*[F.count_if(F.col(f.name).isNull()).alias(f.name) for f in nums]).first()
+        nums = [f for f in nums if holes[f.name]]
     out = df
-    for c in nums:
-        m = exact_median(df, c) if not approx else df.agg(
-            F.percentile_approx(F.col(c).cast("double"), 0.5)).first()[0]
-        out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(0.0 if m is None else float(m))))
+    if approx and nums:
+        sketch = df.agg(*[F.percentile_approx(F.col(f.name).cast("double"), 0.5).alias(f.name) for f in nums]).first()
+    for f in nums:
+        m = (sketch[f.name] if approx else exact_median(df, f.name)) or 0.0
+        whole = not isinstance(f.dataType, (T.DoubleType, T.FloatType)) and float(m).is_integer()
+        value = F.lit(int(m)).cast(f.dataType) if whole else F.lit(float(m))
+        column = F.col(f.name) if whole else F.col(f.name).cast("double")
+        out = out.withColumn(f.name, F.coalesce(column, value))
     if texts:
         out = out.na.fill("unknown", subset=texts)
     if times and now is not None:

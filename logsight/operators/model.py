@@ -73,7 +73,7 @@ def build_pipeline(n_train: int, inverse_reg: float = 5.0, max_iter: int = 100,
                    label: str = "label_original", all_null: tuple[str, ...] = ()) -> Pipeline:
     """ML3: text + numeric features -> multinomial logistic regression."""
     indexer = StringIndexer(inputCol=label, outputCol="label_idx", stringOrderType="alphabetAsc",
-                            handleInvalid="keep")
+                            handleInvalid="error")
     lr = LogisticRegression(featuresCol="features", labelCol="label_idx", family="multinomial",
                             regParam=1.0 / (inverse_reg * max(n_train, 1)), elasticNetParam=0.0,
                             standardization=False, maxIter=max_iter, tol=1e-6)
@@ -117,6 +117,11 @@ def train(df: DataFrame, label: str = "label_original", inverse_reg: float = 5.0
     return PipelineModel([indexer] + stages[1:n_prep] + rest.stages)
 
 
+def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """The fitted stages but for the label's indexer: rows may have no label, or a new one."""
+    return PipelineModel(model.stages[1:]).transform(df)
+
+
 def class_labels(model: PipelineModel) -> list[str]:
     return list(model.stages[0].labels)
 
@@ -128,7 +133,7 @@ def score(model: PipelineModel, df: DataFrame,
     for c in C.MODEL_NUMERIC_FEATURES:
         if c not in df.columns:
             df = df.withColumn(c, F.lit(0.0))
-    out = model.transform(df)
+    out = predict(model, df)
     probs = vector_to_array(F.col("probability"))
     labels = IndexToString(inputCol="prediction", outputCol="predicted_category", labels=class_labels(model))
     out = labels.transform(out).withColumn("confidence", F.array_max(probs))
@@ -140,7 +145,7 @@ def score(model: PipelineModel, df: DataFrame,
 
 def class_probabilities(model: PipelineModel, df: DataFrame) -> DataFrame:
     """ML9L: map class -> probability (4 dp) per row."""
-    out = model.transform(df)
+    out = predict(model, df)
     probs = F.transform(vector_to_array(F.col("probability")), lambda p: F.round(p, 4))
     return out.withColumn("class_probabilities", F.map_from_arrays(
         F.array(*[F.lit(x) for x in class_labels(model)]), probs))
@@ -148,10 +153,10 @@ def class_probabilities(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 def reliability_warning(scored: DataFrame, share: float = 0.9) -> DataFrame:
     """AGG14: share of rows with blank text and all-zero per-IP/token
-    features; warns above ``share``. ip_event_count and ip_rate_1min are left
-    out of the zero test (they are >= 1 for every timestamped row)."""
+    features; warns above ``share``. Features that are at least 1 for any row
+    of an IP (its events, its rate, its users, of which "" is one) say nothing and are left out."""
     zero = [c for c in C.MODEL_NUMERIC_FEATURES
-            if c.startswith(("ip_", "has_")) and c not in ("ip_event_count", "ip_rate_1min")]
+            if c.startswith(("ip_", "has_")) and c not in ("ip_event_count", "ip_rate_1min", "ip_unique_users")]
     blank = F.trim(F.coalesce(F.col(C.TEXT_FEATURE), F.lit(""))) == ""
     cond = blank
     for c in zero:
@@ -222,7 +227,7 @@ def model_card(model: PipelineModel, train_df: DataFrame, test_df: DataFrame,
     F1 / support, row counts, features — ready to write as JSON."""
     from logsight.operators.evaluation import classification_report
     pred = IndexToString(inputCol="prediction", outputCol="_pred", labels=class_labels(model)).transform(
-        model.transform(test_df))
+        predict(model, test_df))
     per_class = classification_report(pred, label, "_pred", digits=3)
     acc = pred.agg(F.round(F.avg((F.col(label) == F.col("_pred")).cast("double")), 4).alias("accuracy"),
                    F.count(F.lit(1)).alias("test_rows"))

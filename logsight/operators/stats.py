@@ -23,6 +23,11 @@ def pct_1dp(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, ((part * 2000 + whole) / (whole * 2)).cast("long") / 10.0).otherwise(F.lit(0.0))
 
 
+def excerpt(col: str, chars: int | None) -> Column:
+    """STR9: the first ``chars`` characters, or all."""
+    return F.col(col) if chars is None else F.substring(col, 1, chars)
+
+
 def is_attack(category: str = "predicted_category") -> Column:
     return F.col(category) != C.NORMAL_LABEL
 
@@ -84,9 +89,9 @@ def top_targeted_ports(df: DataFrame, k: int = C.TOP_K) -> DataFrame:
             .orderBy(F.desc("count"), F.asc("port")).limit(k))
 
 
-def attack_timeline(df: DataFrame, ts: str = "ts_sec") -> DataFrame:
-    """WIN2: attacks per tumbling bucket; the unit is the first of minute /
-    hour / day giving <= 60 buckets over the span of *all* timestamps. Sparse.
+def attack_timeline(df: DataFrame, ts: str = "ts_sec", unit: str | None = None) -> DataFrame:
+    """WIN2: attacks per tumbling bucket; the unit, if not given, is the first of
+    minute / hour / day with <= 60 buckets over the span of *all* timestamps. Sparse.
     No rows when there are no attacks, < 5 timestamps, a zero span, or no
     timestamped attacks.
 
@@ -97,13 +102,13 @@ def attack_timeline(df: DataFrame, ts: str = "ts_sec") -> DataFrame:
               .withColumn("_span", F.col("_hi") - F.col("_lo"))
               .filter((F.col("_n") >= 5) & (F.col("_span") > 0))
               .withColumn("_k", F.lit(1)))
-    unit = F.lit(TIMELINE_UNITS[-1][1])
-    name = F.lit(TIMELINE_UNITS[-1][0])
-    for label, secs in reversed(TIMELINE_UNITS[:-1]):
+    fixed = unit or TIMELINE_UNITS[-1][0]
+    seconds, name = F.lit(dict(TIMELINE_UNITS)[fixed]), F.lit(fixed)
+    for label, secs in reversed(TIMELINE_UNITS[:-1] if unit is None else ()):
         fits = F.col("_span") / secs <= MAX_BUCKETS
-        unit = F.when(fits, F.lit(secs)).otherwise(unit)
+        seconds = F.when(fits, F.lit(secs)).otherwise(seconds)
         name = F.when(fits, F.lit(label)).otherwise(name)
-    span = span.select("_k", unit.alias("_unit"), name.alias("unit"))
+    span = span.select("_k", seconds.alias("_unit"), name.alias("unit"))
     timed = attacks(df).filter(F.col(ts).isNotNull()).select(ts).withColumn("_k", F.lit(1))
     bucket = F.col(ts) - F.pmod(F.col(ts), F.col("_unit"))
     label = F.when(F.col("unit") == "day", format_seconds("_bucket", "yyyy-MM-dd")).otherwise(
@@ -113,14 +118,34 @@ def attack_timeline(df: DataFrame, ts: str = "ts_sec") -> DataFrame:
             .select(label.alias("time"), "unit", "count"))
 
 
-def top_detections(df: DataFrame, k: int = C.TOP_DETECTIONS, event_chars: int = 300) -> DataFrame:
+TIMELINE_REASONS = (
+    ("no_attacks", "There is no attack to place on a timeline."),
+    ("few_timestamps", "Fewer than five records carry a readable time."),
+    ("one_instant", "Every record carries the same time."),
+    ("attacks_without_time", "No attack record carries a readable time."),
+)
+
+
+def timeline_reason(df: DataFrame, ts: str = "ts_sec") -> DataFrame:
+    """AGG7: one row (code, reason) that says why :func:`attack_timeline` is
+    empty; both null when it is not."""
+    row = df.agg(F.count_if(is_attack()).alias("a"), F.count(ts).alias("n"), (F.max(ts) - F.min(ts)).alias("span"),
+                 F.count_if(is_attack() & F.col(ts).isNotNull()).alias("ta"))
+    tests = (F.col("a") == 0, F.col("n") < 5, F.col("span") <= 0, F.col("ta") == 0)
+    code, text = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for test, (name, words) in reversed(list(zip(tests, TIMELINE_REASONS))):
+        code, text = F.when(test, name).otherwise(code), F.when(test, words).otherwise(text)
+    return row.select(code.alias("code"), text.alias("reason"))
+
+
+def top_detections(df: DataFrame, k: int = C.TOP_DETECTIONS, event_chars: int | None = None) -> DataFrame:
     """SRT2: the k most severe attack rows by (severity rank, confidence)
     desc, row_id asc; a bounded TakeOrderedAndProject."""
     return (attacks(df)
             .orderBy(F.desc(severity_rank("severity")), F.desc("confidence"), F.asc("row_id")).limit(k)
             .select("row_id", format_seconds("ts_sec").alias("timestamp"), "src_ip", "username",
                     "predicted_category", "severity", "confidence",
-                    F.substring("event", 1, event_chars).alias("event")))
+                    excerpt("event", event_chars).alias("event")))
 
 
 def worst_finding(df: DataFrame) -> DataFrame:

@@ -18,13 +18,14 @@ from logsight.operators.report import report_tables
 from logsight.plans import sql_blocks as S
 from logsight.plans.catalog import register
 from logsight.plans.inputs import canonical_lines
-from logsight.plans.queries_stats import SCORED, _pct_sql, _rank_sql, scored
+from logsight.plans.queries_stats import SCORED, _pct_sql, _rank_sql, _timeline_sql, scored
 from logsight.session import ensure_checkpoint_dir, read_table, spread
 from logsight.sources.admission import check_files
 from logsight.sources.delimited import read_delimited
 from logsight.sources.fixtures import log_lines, scored_events
 from logsight.sources.logs import read_log_lines
-from logsight.sources.mitigations import DEFAULT_MITIGATIONS, LEGACY_ADVICE, LEGACY_ADVICE_DEFAULT, legacy_advice_table
+from logsight.sources.mitigations import (DEFAULT_MITIGATIONS, LEGACY_ADVICE, LEGACY_ADVICE_DEFAULT, attach_advice,
+                                          legacy_advice_table)
 
 # ---- profiling ----------------------------------------------------------------
 _CANON_SQL = f"""WITH {S.LINES_CTE},
@@ -82,7 +83,7 @@ def q_duplicate_estimate(spark, sf_dir):
 
 @register("column_profile", _CANON_SQL + "\nSELECT * FROM (" + " UNION ALL ".join(
     f"SELECT {i} AS position, '{c}' AS \"column\", "
-    f"{S.q(PF.ROLES.get(c, 'numeric' if c in ('dst_port', 'bytes', 'duration') else 'text'))} AS role, "
+    f"{S.q(PF.ROLES.get(c, 'number' if c in ('dst_port', 'bytes', 'duration') else 'text'))} AS role, "
     f"count(*) FILTER (WHERE {c} IS NULL) AS missing FROM canon" for i, c in enumerate(_CANON_COLS)) + ")")
 def q_column_profile(spark, sf_dir):
     """AGG20 column part: role and missing count per column."""
@@ -141,7 +142,7 @@ kw AS (SELECT row_id AS line_number, s AS raw_line,
          coalesce(nullif(regexp_extract(s, {us}, 1), ''), nullif(regexp_extract(s, {us}, 2), '')) AS username,
          CASE WHEN len(regexp_extract_all(s, {ev}, 0)) > 0
               THEN array_to_string(list_sort(list_distinct(regexp_extract_all(s, {ev}, 0))), ', ') END AS event_keywords,
-         substr(s, 1, {C.LEGACY_EVENT_CHARS}) AS event_description
+         s AS event_description
        FROM l0 WHERE s <> '')"""
 
 
@@ -219,8 +220,7 @@ SELECT row_id, {', '.join(f"coalesce({c}, m_{c}) AS {c}" for c in _FILL_NUM)},
 FROM canon, m""")
 def q_legacy_fill(spark, sf_dir):
     """PRJ8: text -> 'unknown', numbers -> exact column median."""
-    filled = LG.fill_missing_generic(canonical_lines(spark, sf_dir))
-    return filled.withColumn("row_id", F.col("row_id").cast("bigint"))
+    return LG.fill_missing_generic(canonical_lines(spark, sf_dir))
 
 
 def _legacy_scored(spark, sf_dir):
@@ -273,8 +273,7 @@ def q_legacy_advice(spark, sf_dir):
     """JN4: one advice sentence per category (broadcast dimension)."""
     counts = _legacy_scored(spark, sf_dir).groupBy("category").agg(F.count(F.lit(1)).alias("count"))
     adv = legacy_advice_table(spark)
-    out = counts.join(F.broadcast(adv), "category", "left")
-    return out.select("category", "count", F.coalesce("mitigation", F.lit(LEGACY_ADVICE_DEFAULT)).alias("mitigation"))
+    return attach_advice(counts, adv)
 
 
 @register("legacy_timeline", f"""WITH {_LEG_SC}
@@ -311,38 +310,77 @@ def _num_sql(x):
     return f"format('{{:,}}', {x})"
 
 
+def _summary_sql():
+    def num(x):
+        return "format('{:,}', " + x + ")"
+    return f"""WITH {SCORED},
+t AS (SELECT count(*) AS total_records, count(*) FILTER (WHERE predicted_category <> 'Normal') AS total_attacks,
+             count(*) FILTER (WHERE low_confidence) AS low_confidence_count FROM scored),
+t2 AS (SELECT *, {_pct_sql('total_attacks', 'total_records')} AS attack_pct FROM t),
+d AS (SELECT {S.fmt_sec('ts_sec')} AS ts, src_ip, predicted_category, severity FROM scored
+      WHERE predicted_category <> 'Normal' ORDER BY {_rank_sql('severity')} DESC, confidence DESC, row_id LIMIT 1),
+c AS (SELECT predicted_category AS top_category, count(*) AS top_count FROM scored
+      WHERE predicted_category <> 'Normal' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1),
+p AS (SELECT CASE WHEN total_attacks = 0 THEN [
+          printf('Analysed %s records from %s; none matched a known attack category.',
+                 {num('total_records')}, 'events'),
+          'An empty result is not proof of safety: only six attack categories are modelled.']
+        ELSE list_filter([
+          printf('Analysed %s records from %s: %s (%.1f%%) look like attacks, mostly %s (%d events).',
+                 {num('total_records')}, 'events', {num('total_attacks')}, attack_pct, top_category,
+                 top_count),
+          CASE WHEN d.severity IS NOT NULL THEN concat('Most severe: ', d.severity, ' ', d.predicted_category,
+               ' from ', d.src_ip, CASE WHEN d.ts IS NOT NULL THEN concat(' at ', d.ts) ELSE '' END, '.') END,
+          CASE WHEN low_confidence_count > 0 THEN printf('%d more events were low-confidence attack calls, '
+               || 'counted as normal.', low_confidence_count) END], lambda x: x IS NOT NULL) END AS l
+      FROM t2 LEFT JOIN d ON true LEFT JOIN c ON true)
+SELECT unnest(generate_series(0, len(l) - 1)) AS ord, unnest(l) AS paragraph FROM p"""
+
+
 def _report_sql():
     cents = "CAST(floor(confidence * 100 + 0.5) AS BIGINT)"
     conf2 = f"concat(CAST({cents} // 100 AS VARCHAR), '.', lpad(CAST({cents} % 100 AS VARCHAR), 2, '0'))"
-    mit = " ".join(f"WHEN {S.q(c)} THEN {S.q(summary + (' (ATT&CK: ' + ', '.join(m) + ')' if m else ''))}"
-                   for c, summary, _, m in DEFAULT_MITIGATIONS)
+    advice = ", ".join(
+        f"({S.q(c)}, {S.q(text + (' (ATT&CK: ' + ', '.join(ids) + ')' if ids else ''))}, [{', '.join(map(S.q, steps))}])"
+        for c, text, steps, ids in DEFAULT_MITIGATIONS)
+    figures = (("Records read", _num_sql("total_records")), ("Attack records", _num_sql("total_attacks")),
+               ("Normal records", _num_sql("total_normal")), ("Share of attacks", "printf('%.1f%%', attack_pct)"),
+               ("Attacks under the confidence floor", _num_sql("low_confidence_count")))
+    key = "\nUNION ALL ".join(f"SELECT 'key_figures' AS section, {i} AS ord, {S.q(n)} AS label, {v} AS value FROM t2"
+                              for i, (n, v) in enumerate(figures, 1))
     return f"""WITH {SCORED},
 t AS (SELECT count(*) AS total_records, count(*) FILTER (WHERE predicted_category <> 'Normal') AS total_attacks,
              count(*) FILTER (WHERE low_confidence) AS low_confidence_count FROM scored),
 t2 AS (SELECT *, total_records - total_attacks AS total_normal,
               {_pct_sql('total_attacks', 'total_records')} AS attack_pct FROM t),
 c AS (SELECT predicted_category, count(*) AS count FROM scored WHERE predicted_category <> 'Normal' GROUP BY 1),
-c2 AS (SELECT *, {_pct_sql('count', 'sum(count) OVER ()')} AS share FROM c),
-lv AS (SELECT * FROM (VALUES {', '.join(f"({i}, {S.q(n)})" for i, n in enumerate(C.SEVERITY_LEVELS))}) AS v(r, s)),
+c2 AS (SELECT *, {_pct_sql('count', 'sum(count) OVER ()')} AS share,
+              row_number() OVER (ORDER BY count DESC, predicted_category) AS ord FROM c),
+lv AS (SELECT * FROM (VALUES {', '.join(f"({i}, {S.q(n)})" for i, n in enumerate(C.SEVERITY_LEVELS, 1))}) AS v(r, s)),
 sv AS (SELECT severity, count(*) AS count FROM scored WHERE predicted_category <> 'Normal' GROUP BY 1),
-d AS (SELECT * FROM scored WHERE predicted_category <> 'Normal'
-      ORDER BY {_rank_sql('severity')} DESC, confidence DESC, row_id LIMIT 10)
-SELECT 'key_figures' AS section, 1 AS ord, 'Total records analysed' AS label, {_num_sql('total_records')} AS value FROM t2
-UNION ALL SELECT 'key_figures', 2, 'Attacks found', {_num_sql('total_attacks')} FROM t2
-UNION ALL SELECT 'key_figures', 3, 'Normal records', {_num_sql('total_normal')} FROM t2
-UNION ALL SELECT 'key_figures', 4, 'Attack rate', printf('%.1f%%', attack_pct) FROM t2
-UNION ALL SELECT 'key_figures', 5, 'Low-confidence attack calls kept as Normal', {_num_sql('low_confidence_count')} FROM t2
-UNION ALL SELECT 'categories', 0, {_safe_sql('predicted_category')}, printf('%d (%.1f%%)', count, share) FROM c2
-UNION ALL SELECT 'severity', lv.r, lv.s, CAST(coalesce(sv.count, 0) AS VARCHAR) FROM lv LEFT JOIN sv ON sv.severity = lv.s
-UNION ALL SELECT 'top_detections', 0, CAST(row_id AS VARCHAR), concat_ws(' | ', coalesce({S.fmt_sec('ts_sec')}, '-'),
-    {_safe_sql('src_ip')}, {_safe_sql('predicted_category')}, severity, {conf2}, {_safe_sql('substr(event, 1, 120)')}) FROM d
-UNION ALL SELECT 'mitigations', 0, predicted_category, CASE predicted_category {mit} ELSE '' END FROM c"""
+d AS (SELECT *, row_number() OVER (ORDER BY {_rank_sql('severity')} DESC, confidence DESC, row_id) AS ord
+      FROM scored WHERE predicted_category <> 'Normal' QUALIFY ord <= 10),
+adv AS (SELECT * FROM (VALUES {advice}) AS v(category, summary, steps)),
+st AS (SELECT c2.ord AS co, category, unnest(range(1, len(steps) + 1)) AS i, unnest(steps) AS step
+       FROM c2 JOIN adv ON category = predicted_category),
+tl AS ({_timeline_sql(None)}),
+says AS ({_summary_sql().replace("'events'", "'the input'")})
+{key}
+UNION ALL SELECT 'no_attacks', 1, '', 'No category, severity or mitigation to report.' FROM t2 WHERE total_attacks = 0
+UNION ALL SELECT 'categories', ord, {_safe_sql('predicted_category')}, printf('%d (%.1f%%)', count, share) FROM c2
+UNION ALL SELECT 'severity', lv.r, lv.s, CAST(coalesce(sv.count, 0) AS VARCHAR)
+          FROM lv LEFT JOIN sv ON sv.severity = lv.s, t2 WHERE total_attacks > 0
+UNION ALL SELECT 'timeline', row_number() OVER (ORDER BY time), time, CAST(count AS VARCHAR) FROM tl
+UNION ALL SELECT 'top_detections', ord, CAST(row_id AS VARCHAR), concat_ws(' | ', coalesce({S.fmt_sec('ts_sec')}, '-'),
+    {_safe_sql('src_ip')}, {_safe_sql('predicted_category')}, severity, {conf2}, {_safe_sql('event')}) FROM d
+UNION ALL SELECT 'mitigations', ord, predicted_category, summary FROM c2 JOIN adv ON category = predicted_category
+UNION ALL SELECT 'steps', row_number() OVER (ORDER BY co, i), category, step FROM st
+UNION ALL SELECT 'sentences', ord + 1, '', paragraph FROM says"""
 
 
 @register("report_tables", _report_sql())
 def q_report_tables(spark, sf_dir):
-    """SNK5: ordered incident-report tables as one long table (the scored
-    table is staged once; the five sections each scan it)."""
+    """SNK5: ordered incident-report tables as one long table."""
     from logsight.session import stage
     return report_tables(stage(scored(spark, sf_dir), "scored"))
 
@@ -460,7 +498,7 @@ SELECT line_number, {', '.join(f"coalesce({c}, 'unknown') AS {c}" for c in _KW_T
 def q_legacy_preprocess(spark, sf_dir):
     """PIPE1L: full-row dedupe -> legacy timestamps -> generic fill."""
     out = _legacy_pre(spark, sf_dir)
-    return out.select(F.col("line_number").cast("bigint"), *_KW_TEXT,
+    return out.select("line_number", *_KW_TEXT,
                       F.date_format("normalized_timestamp", "yyyy-MM-dd HH:mm:ss").alias("normalized_timestamp"))
 
 
@@ -489,33 +527,6 @@ def q_dataset_preview(spark, sf_dir):
     return PF.dataset_preview(_kw_frame(spark, sf_dir), order_col="line_number")["columns"]
 
 
-def _summary_sql():
-    def num(x):
-        return "format('{:,}', " + x + ")"
-    return f"""WITH {SCORED},
-t AS (SELECT count(*) AS total_records, count(*) FILTER (WHERE predicted_category <> 'Normal') AS total_attacks,
-             count(*) FILTER (WHERE low_confidence) AS low_confidence_count FROM scored),
-t2 AS (SELECT *, {_pct_sql('total_attacks', 'total_records')} AS attack_pct FROM t),
-d AS (SELECT {S.fmt_sec('ts_sec')} AS ts, src_ip, predicted_category, severity FROM scored
-      WHERE predicted_category <> 'Normal' ORDER BY {_rank_sql('severity')} DESC, confidence DESC, row_id LIMIT 1),
-c AS (SELECT predicted_category AS top_category, count(*) AS top_count FROM scored
-      WHERE predicted_category <> 'Normal' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1),
-p AS (SELECT CASE WHEN total_attacks = 0 THEN [
-          printf('Analysed %s records from %s; none matched a known attack category.',
-                 {num('total_records')}, 'events'),
-          'An empty result is not proof of safety: only six attack categories are modelled.']
-        ELSE list_filter([
-          printf('Analysed %s records from %s: %s (%.1f%%) look like attacks, mostly %s (%d events).',
-                 {num('total_records')}, 'events', {num('total_attacks')}, attack_pct, top_category,
-                 top_count),
-          CASE WHEN d.severity IS NOT NULL THEN concat('Most severe: ', d.severity, ' ', d.predicted_category,
-               ' from ', d.src_ip, CASE WHEN d.ts IS NOT NULL THEN concat(' at ', d.ts) ELSE '' END, '.') END,
-          CASE WHEN low_confidence_count > 0 THEN printf('%d more events were low-confidence attack calls, '
-               || 'counted as normal.', low_confidence_count) END], lambda x: x IS NOT NULL) END AS l
-      FROM t2 LEFT JOIN d ON true LEFT JOIN c ON true)
-SELECT unnest(generate_series(0, len(l) - 1)) AS ord, unnest(l) AS paragraph FROM p"""
-
-
 @register("summary_sentences", _summary_sql())
 def q_summary_sentences(spark, sf_dir):
     """STR8: plain-language summary paragraphs from the scored fixture, one row each."""

@@ -43,7 +43,7 @@ def q_train_eval(spark, sf_dir):
     """ML3-ML5 + AGG15: held-out per-class report of the fitted classifier."""
     model, test, _ = trained(spark, sf_dir)
     pred = IndexToString(inputCol="prediction", outputCol="predicted", labels=M.class_labels(model)).transform(
-        model.transform(test))
+        M.predict(model, test))
     return classification_report(pred, "label_original", "predicted")
 
 
@@ -82,10 +82,10 @@ def q_tfidf_terms(spark, sf_dir):
 
 @register("reliability", f"""WITH {S.features_cte(FIXTURE_YEAR)}
 SELECT avg(CASE WHEN trim(coalesce(event_clean, '')) = '' AND ip_unique_ports = 0 AND ip_fail_ratio = 0
-                 AND ip_unique_users = 0 AND has_sql_tokens = 0 AND has_priv_tokens = 0
+                 AND has_sql_tokens = 0 AND has_priv_tokens = 0
                  AND has_malware_tokens = 0 THEN 1.0 ELSE 0.0 END) AS unreliable_share,
        avg(CASE WHEN trim(coalesce(event_clean, '')) = '' AND ip_unique_ports = 0 AND ip_fail_ratio = 0
-                 AND ip_unique_users = 0 AND has_sql_tokens = 0 AND has_priv_tokens = 0
+                 AND has_sql_tokens = 0 AND has_priv_tokens = 0
                  AND has_malware_tokens = 0 THEN 1.0 ELSE 0.0 END) > 0.9 AS warning
 FROM feat""")
 def q_reliability(spark, sf_dir):

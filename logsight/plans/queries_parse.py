@@ -8,9 +8,11 @@ from logsight.functions.text import has_any_token
 from logsight.functions.timestamps import format_seconds, with_ts_seconds
 from logsight.operators import clean as CL
 from logsight.operators import features as FE
+from logsight.operators.profile import parse_report
 from logsight.plans import sql_blocks as S
 from logsight.plans.catalog import register
 from logsight.plans.inputs import FIXTURE_YEAR, canonical_lines, clean_lines, parsed_lines
+from logsight.session import read_table
 
 PARSE_COLS = ["row_id", "format", "ts_raw", "src_ip", "dst_ip", "dst_port", "username", "event",
               "bytes", "duration", "status", "host", "prog", "parse_ok"]
@@ -39,18 +41,36 @@ for _fmt in ("syslog", "apache", "iso", "generic"):
 SELECT coalesce(format, '*') AS format, count(*) AS lines,
        CAST(sum(CASE WHEN parse_ok THEN 1 ELSE 0 END) AS BIGINT) AS ok_lines,
        CAST(sum(CASE WHEN ts_raw IS NULL AND src_ip IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS failed_lines,
-       round(avg(CASE WHEN parse_ok THEN 1.0 ELSE 0.0 END), 4) AS success_rate
+       round(avg(CASE WHEN parse_ok THEN 1.0 ELSE 0.0 END), 4) AS success_rate,
+       round(avg(CASE WHEN parse_ok THEN 1.0 ELSE 0.0 END), 4) >= 0.95 AS meets_target
 FROM parsed GROUP BY ROLLUP (format)""")
 def q_parse_report(spark, sf_dir):
     """AGG11: lines per detected format and overall ('*'), success rate (4 dp)."""
-    p = parsed_lines(spark, sf_dir)
-    return (p.rollup("format").agg(
-        F.count(F.lit(1)).alias("lines"),
-        F.count_if("parse_ok").alias("ok_lines"),
-        F.count_if(F.col("ts_raw").isNull() & F.col("src_ip").isNull()).alias("failed_lines"),
-        F.round(F.avg(F.col("parse_ok").cast("double")), 4).alias("success_rate"))
-        .select(F.coalesce("format", F.lit("*")).alias("format"), "lines", "ok_lines",
-                "failed_lines", "success_rate"))
+    return parse_report(parsed_lines(spark, sf_dir))
+
+
+_TS_FORMATS = (  # (Spark pattern, strftime pattern, suffix, seconds kept)
+    ("yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S", " +0000", 1), ("yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S", " UTC", 1),
+    ("yyyy-MM-dd'T'HH:mm:ss", "%Y-%m-%dT%H:%M:%S", "Z", 1), ("MM/dd/yyyy HH:mm", "%m/%d/%Y %H:%M", "", 60),
+    ("M/d/yyyy hh:mm:ss a", "%-m/%-d/%Y %I:%M:%S %p", "", 1), ("MMM d yyyy HH:mm:ss", "%b %-d %Y %H:%M:%S", "", 1),
+    ("EEE, d MMM yyyy HH:mm:ss", "%a, %-d %b %Y %H:%M:%S", " +0000", 1), ("yyyyMMdd", "%Y%m%d", "", 86400),
+    ("d MMM yyyy HH:mm:ss", "%-d %b %Y %H:%M:%S", "", 1), ("yyyy/MM/dd HH:mm:ss", "%Y/%m/%d %H:%M:%S", "", 1),
+    ("MM/dd/yyyy", "%m/%d/%Y", "", 86400), ("dd/MMM/yyyy:HH:mm:ss", "%d/%b/%Y:%H:%M:%S", " +0000", 1),
+)
+
+
+@register("timestamp_formats", f"""SELECT event_id AS row_id, CASE event_id % {len(_TS_FORMATS)} """ + " ".join(
+    f"WHEN {i} THEN concat(strftime(ts, {S.q(f)}), {S.q(z)})" for i, (_, f, z, _) in enumerate(_TS_FORMATS))
+    + f""" END AS ts_raw, CAST(CASE event_id % {len(_TS_FORMATS)} """ + " ".join(
+    f"WHEN {i} THEN floor(epoch(ts)) - floor(epoch(ts)) % {k}" for i, (_, _, _, k) in enumerate(_TS_FORMATS))
+    + " END AS BIGINT) AS ts_sec FROM events")
+def q_timestamp_formats(spark, sf_dir):
+    """TS5: the event times written in a dozen ways, read back to seconds."""
+    ev = read_table(spark, sf_dir, "events").selectExpr("event_id AS row_id", "CAST(ts AS TIMESTAMP_NTZ) AS ts")
+    raw = F.lit(None).cast("string")
+    for i, (fmt, _, zone, _) in enumerate(_TS_FORMATS):
+        raw = F.when(F.col("row_id") % len(_TS_FORMATS) == i, F.concat(F.date_format("ts", fmt), F.lit(zone))).otherwise(raw)
+    return with_ts_seconds(ev.select("row_id", raw.alias("ts_raw")), "ts_raw", "ts_sec", FIXTURE_YEAR)
 
 
 @register("normalise_ts", f"""WITH {S.LINES_CTE},
@@ -139,6 +159,11 @@ dd AS (SELECT *, row_number() OVER (
                                  f := status) END ORDER BY row_id) AS _rn FROM parsed),
 n AS (SELECT *, {S.ts_seconds_sql('ts_raw', FIXTURE_YEAR)} AS ts_sec FROM dd)
 SELECT count(*) AS rows_in, count(*) FILTER (WHERE _rn > 1) AS duplicates_removed,
+  count(*) FILTER (WHERE _rn = 1 AND src_ip IS NULL) AS filled_src_ip,
+  count(*) FILTER (WHERE _rn = 1 AND username IS NULL) AS filled_username,
+  count(*) FILTER (WHERE _rn = 1 AND dst_port IS NULL) AS filled_dst_port,
+  count(*) FILTER (WHERE _rn = 1 AND bytes IS NULL) AS filled_bytes,
+  count(*) FILTER (WHERE _rn = 1 AND duration IS NULL) AS filled_duration,
   count(*) FILTER (WHERE _rn = 1 AND {S.strip_sql("coalesce(ts_raw, '')")} <> '' AND ts_sec IS NULL) AS unparsable_timestamps,
   count(*) FILTER (WHERE _rn = 1 AND ts_sec IS NOT NULL) AS timestamps_normalised,
   count(*) FILTER (WHERE _rn = 1 AND ts_sec IS NULL) AS missing_timestamp,

@@ -172,6 +172,38 @@ def q_timeline(spark, sf_dir):
     return ST.attack_timeline(scored(spark, sf_dir))
 
 
+def _reason_sql(source):
+    codes = [S.q(c) for c, _ in ST.TIMELINE_REASONS]
+    words = [S.q(w) for _, w in ST.TIMELINE_REASONS]
+    case = "CASE WHEN a = 0 THEN {} WHEN n < 5 THEN {} WHEN span <= 0 THEN {} WHEN ta = 0 THEN {} END"
+    return f"""SELECT {case.format(*codes)} AS code, {case.format(*words)} AS reason FROM (
+  SELECT count(*) FILTER (WHERE predicted_category <> 'Normal') AS a, count(ts_sec) AS n, max(ts_sec) - min(ts_sec) AS span,
+         count(*) FILTER (WHERE predicted_category <> 'Normal' AND ts_sec IS NOT NULL) AS ta FROM ({source}))"""
+
+
+_REASON_CASES = {
+    "as_read": ("predicted_category", "ts_sec"), "no_attacks": ("'Normal'", "ts_sec"),
+    "few_timestamps": ("predicted_category", "CASE WHEN row_id < 4 THEN ts_sec END"),
+    "one_instant": ("predicted_category", "CAST(7 AS BIGINT)"),
+    "attacks_without_time": ("predicted_category", "CASE WHEN predicted_category = 'Normal' THEN ts_sec END"),
+}
+
+
+@register("timeline_reason", f"WITH {SCORED}\n" + "\nUNION ALL ".join(
+    f"SELECT '{name}' AS kind, code, reason FROM (" + _reason_sql(
+        f"SELECT {cat} AS predicted_category, {ts} AS ts_sec FROM scored") + ")"
+    for name, (cat, ts) in _REASON_CASES.items()))
+def q_timeline_reason(spark, sf_dir):
+    """AGG7: why a timeline is empty, for the scored rows and four reductions of them."""
+    sc = scored(spark, sf_dir)
+    out = None
+    for name, (cat, ts) in _REASON_CASES.items():
+        one = ST.timeline_reason(sc.selectExpr(f"{cat} AS predicted_category", f"{ts} AS ts_sec"))
+        one = one.select(F.lit(name).alias("kind"), "code", "reason")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @register("timeline_day", _timeline_sql("day"))
 def q_timeline_day(spark, sf_dir):
     """WIN2 over the raw 30-day event times -> day buckets."""
@@ -186,7 +218,7 @@ def q_timeline_minute(spark, sf_dir):
 
 @register("top_detections", f"""WITH {SCORED}
 SELECT row_id, {S.fmt_sec('ts_sec')} AS timestamp, src_ip, username, predicted_category, severity, confidence,
-       substr(event, 1, 300) AS event
+       event
 FROM scored WHERE predicted_category <> 'Normal'
 ORDER BY {_rank_sql('severity')} DESC, confidence DESC, row_id LIMIT {C.TOP_DETECTIONS}""")
 def q_top_detections(spark, sf_dir):
@@ -196,7 +228,7 @@ def q_top_detections(spark, sf_dir):
 
 @register("worst_finding", f"""WITH {SCORED},
 t AS (SELECT row_id, {S.fmt_sec('ts_sec')} AS timestamp, src_ip, username, predicted_category, severity,
-             confidence, substr(event, 1, 300) AS event
+             confidence, event
       FROM scored WHERE predicted_category <> 'Normal'
       ORDER BY {_rank_sql('severity')} DESC, confidence DESC, row_id LIMIT 1),
 c AS (SELECT predicted_category AS top_category, count(*) AS top_category_count FROM scored
@@ -228,7 +260,7 @@ d AS (SELECT *, row_number() OVER (ORDER BY {order}, row_id) AS pos, count(*) OV
 p AS (SELECT least({page_no}, greatest(1, CAST(ceil(max(total) / {C.PAGE_SIZE}) AS BIGINT))) AS page,
              greatest(1, CAST(ceil(max(total) / {C.PAGE_SIZE}) AS BIGINT)) AS last_page FROM d)
 SELECT pos, row_id, {S.fmt_sec('ts_sec')} AS timestamp, src_ip, coalesce(username, '') AS username,
-       predicted_category AS category, severity, round(confidence, 3) AS confidence, substr(event, 1, 400) AS event,
+       predicted_category AS category, severity, round(confidence, 3) AS confidence, event,
        total, page, last_page
 FROM d, p WHERE pos > (page - 1) * {C.PAGE_SIZE} AND pos <= page * {C.PAGE_SIZE}"""
 
@@ -263,12 +295,12 @@ m AS (SELECT * FROM (VALUES {_mitigation_values()}) AS t(category, summary, n_st
 c AS (SELECT predicted_category AS category, count(*) AS attacks FROM scored WHERE is_anomaly GROUP BY 1)
 SELECT c.category, c.attacks, coalesce(m.summary, '') AS summary, CAST(coalesce(m.n_steps, 0) AS INTEGER) AS n_steps,
        coalesce(m.mitre, '') AS mitre
-FROM c LEFT JOIN m USING (category)""")
+FROM c LEFT JOIN m USING (category) WHERE c.category IN ({', '.join(map(S.q, C.ATTACK_CATEGORIES))})""")
 def q_mitigations(spark, sf_dir):
     """JN3 + FLT5: mitigation advice for every detected attack category."""
     counts = (scored(spark, sf_dir).filter("is_anomaly").groupBy("predicted_category")
               .agg(F.count(F.lit(1)).alias("attacks")))
-    out = attach_mitigations(counts, mitigation_table(spark))
+    out = attach_mitigations(SV.known_categories(counts, "predicted_category"), mitigation_table(spark))
     return out.select(F.col("predicted_category").alias("category"), "attacks", "summary",
                       F.size("steps").alias("n_steps"), F.concat_ws(", ", "mitre").alias("mitre"))
 

@@ -96,8 +96,8 @@ def parsed_cte(source: str = "lines", id_col: str = "row_id", text_col: str = "v
     for_user = first_sql("body", C.SYSLOG_FOR_USER_RE)
     excluded = ", ".join(q(x) for x in C.SYSLOG_FOR_USER_EXCLUDED)
     sy_base = f"coalesce({kv_user}, CASE WHEN lower({for_user}) NOT IN ({excluded}) THEN {for_user} END)"
-    sy_user = (f"CASE WHEN contains(lower(body), 'invalid user') THEN coalesce({first_sql('body', C.INVALID_USER_RE)}, "
-               f"{sy_base}) ELSE {sy_base} END")
+    sy_user = (f"CASE WHEN contains(lower(body), 'invalid user') THEN {first_sql('body', C.INVALID_USER_RE)} "
+               f"ELSE {sy_base} END")
     ipb = f"nullif(regexp_extract(body, {rx(C.IPV4_RE)}, 0), '')"
     cut = strip_sql("concat(substr(s, 1, instr(s, ts_raw) - 1), substr(s, instr(s, ts_raw) + length(ts_raw)))")
     return f"""p0 AS (SELECT {id_col} AS row_id, {strip_sql(text_col)} AS s FROM {source}),
@@ -164,12 +164,11 @@ def ts_seconds_sql(raw: str, year: int) -> str:
 
 
 def url_decode_sql(expr: str) -> str:
-    head = f"substr({expr}, 1, {C.EVENT_DECODE_CHARS})"
-    return f"CASE WHEN contains({head}, '%') THEN url_decode({head}) ELSE {head} END"
+    return f"CASE WHEN contains({expr}, '%') THEN url_decode({expr}) ELSE {expr} END"
 
 
 def clean_sql(expr: str) -> str:
-    return f"substr(regexp_replace(lower({expr}), '\\s+', ' ', 'g'), 1, {C.EVENT_CLEAN_CHARS})"
+    return f"regexp_replace(lower({expr}), '\\s+', ' ', 'g')"
 
 
 def clean_events_cte(year: int = 2026) -> str:

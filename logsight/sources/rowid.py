@@ -45,7 +45,7 @@ def dense_row_id(keyed: DataFrame, name: str = "row_id", max_rows_per_file: int
                .drop("_file", "_split", "_mono", "_off", "_lo", "_file_off"))
 
 
-def dense_numbers(df: DataFrame, order: list[str], name: str = "row_id") -> DataFrame:
+def dense_numbers(df: DataFrame, order: list, name: str = "row_id") -> DataFrame:
     """Number the rows of a staged frame 1..n by ``order``: range partitions,
     their counts (one row each), and a running number inside each."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)

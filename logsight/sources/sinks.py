@@ -6,6 +6,8 @@ queries prune partitions. Spreadsheet exports neutralise formula injection.
 """
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,16 +16,18 @@ from logsight.functions.timestamps import format_seconds
 
 
 def write_results(tables: dict[str, DataFrame], base_path: str, run_id: str) -> dict[str, str]:
-    """Write each result table under ``base_path/<name>/run_id=<id>``."""
+    """Write each result table under ``base_path/<name>/run_id=<id>``. A run
+    owns that folder: writing it again replaces it."""
+    if not re.fullmatch(r"[\w.-]+", run_id):
+        raise ValueError(f"run ids are letters, digits, '_', '.' and '-': {run_id!r}")
     out = {}
     for name, df in tables.items():
         path = f"{base_path.rstrip('/')}/{name}"
-        w = df.withColumn("run_id", F.lit(run_id))
         if name == "scored" and "ts_sec" in df.columns:
-            w = w.withColumn("event_date", F.coalesce(format_seconds("ts_sec", "yyyy-MM-dd"), F.lit("none")))
-            w.write.mode("append").partitionBy("run_id", "event_date").parquet(path)
+            df = df.withColumn("event_date", F.coalesce(format_seconds("ts_sec", "yyyy-MM-dd"), F.lit("none")))
+            df.write.mode("overwrite").partitionBy("event_date").parquet(f"{path}/run_id={run_id}")
         else:
-            w.write.mode("append").partitionBy("run_id").parquet(path)
+            df.write.mode("overwrite").parquet(f"{path}/run_id={run_id}")
         out[name] = path
     return out
 

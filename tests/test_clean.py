@@ -38,4 +38,21 @@ def test_url_decode_lenient(spark):
 def test_clean_text(spark):
     df = spark.createDataFrame([("  Hello\t\nWORLD  " + "x" * 600,)], "s string")
     r = df.select(clean_text("s").alias("c")).first()["c"]
-    assert r.startswith(" hello world ") and len(r) == 500
+    assert r == " hello world " + "x" * 600  # the whole text, unless a limit is asked for
+    assert len(df.select(clean_text("s", 500).alias("c")).first()["c"]) == 500
+
+
+def test_token_after_character_500_counts(spark):
+    from logsight.functions.text import has_any_token, url_decode_lenient
+    df = spark.createDataFrame([("x" * 2500 + " mimikatz %41",)], "event string")
+    r = df.select(has_any_token(clean_text(url_decode_lenient("event")), ["mimikatz a"]).alias("t")).first()
+    assert r["t"]
+
+
+def test_repeated_row_ids_never_multiply(spark):
+    from logsight.operators.clean import cleaning_report, flag_duplicates
+    rows = [(k % 5, f"t{k // 2}", "1.1.1.1", "e") for k in range(10)]
+    df = spark.createDataFrame(rows, "row_id long, ts_raw string, src_ip string, event string")
+    assert flag_duplicates(df).count() == 10
+    rep = cleaning_report(df).first()
+    assert (rep["rows_in"], rep["duplicates_removed"], rep["rows_out"]) == (10, 5, 5)

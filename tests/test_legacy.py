@@ -8,8 +8,7 @@ from logsight.sources.fixtures import log_lines
 SMOKE = "/root/testdata/sf0.001"
 
 
-def test_exact_median_by_band_narrowing(spark, monkeypatch):
-    monkeypatch.setattr(LG, "SMALL_BAND", 500)
+def test_exact_median(spark):
     rnd = random.Random(3)
     for vals in ([rnd.random() * 1e6 for _ in range(3001)], [float(rnd.randint(0, 50)) for _ in range(4000)],
                  [5.0] * 2000 + [1.0] * 3 + [9.0] * 1500):
@@ -26,6 +25,23 @@ def test_fill_generic(spark):
     assert LG.fill_missing_generic(df, "drop").count() == 2
 
 
+def test_fill_generic_keeps_ids_and_types(spark):
+    big = 2 ** 53 + 1
+    df = spark.createDataFrame([(big, 1, 3), (big + 1, None, None), (big + 2, 3, 4)], "row_id long, n int, m long")
+    out = LG.fill_missing_generic(df)
+    rows = {r["row_id"]: r for r in out.collect()}
+    assert set(rows) == {big, big + 1, big + 2} and out.schema["row_id"].dataType.simpleString() == "bigint"
+    assert rows[big + 1]["n"] == 2 and out.schema["n"].dataType.simpleString() == "int"
+    assert rows[big + 1]["m"] == 3.5  # no whole median
+
+
+def test_preprocessing_stats_count_removed_rows(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "t string, n int")
+    done = LG.fill_missing_generic(LG.remove_duplicates(df, ["t", "n"], "n"))
+    st = LG.preprocessing_stats(df, done).first()
+    assert (st["original_rows"], st["processed_rows"], st["duplicates_removed"]) == (3, 2, 1)
+
+
 def test_keyword_parser_and_features(spark):
     kw = LG.parse_lines_keywords(log_lines(spark, SMOKE))
     r = kw.filter("event_keywords IS NOT NULL").first()
