@@ -70,11 +70,12 @@ def recurring(docs: DataFrame, stretches: Callable[[np.ndarray, np.ndarray], Ite
                     yield pa.RecordBatch.from_arrays([pa.array(block[lo:][s.rows[s.first]]), pa.array(A.signed(s.anchor)), pa.array(A.signed(s.name))], ["block", "anchor", "name"])
 
     found = stage(docs.select("block", "text").mapInArrow(work, "block int, anchor long, name long"), f"{name}-anchors")
-    often = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    # each side of a join is a table of its own: Spark can then split the tasks of a hot anchor
+    often = stage(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), f"{name}-often")
     places = stage(found.join(often, "anchor", "left_semi"), f"{name}-places")
-    kinds = places.groupBy("anchor", "name").agg(F.count("*").alias("n"), F.min("block").alias("home"))
-    mixed = places.groupBy("anchor").agg((F.min("name") != F.max("name")).alias("mixed"))
-    return places, stage(kinds.join(mixed, "anchor"), f"{name}-kinds")
+    kinds = stage(places.groupBy("anchor", "name").agg(F.count("*").alias("n"), F.min("block").alias("home")), f"{name}-kinds")
+    mixed = stage(kinds.groupBy("anchor").agg(F.count("*").alias("names")).select("anchor", (F.col("names") > 1).alias("mixed")), f"{name}-mixed")
+    return places, stage(kinds.join(mixed, "anchor"), f"{name}-mixed-kinds")
 
 
 def known(df: DataFrame, kind: int, block: str = "block", **columns: str) -> DataFrame:
