@@ -30,9 +30,18 @@ def _word_stretches(data: np.ndarray, offsets: np.ndarray, window: int, gram: in
     return Stretches(hashes, rows, window, gram), hashes
 
 
+#: Characters of a word, and the values of each: a small alphabet, as an
+#: automaton's node searches its edges in turn.
+_LETTERS, _VALUES = 2, 32
+
+
 def _symbols(hashes: np.ndarray) -> str:
-    """One character for each word; different words may share one."""
-    return (np.uint32(0x10000) + (hashes & np.uint64(0xFFFFF)).astype("<u4")).tobytes().decode("utf-32-le")
+    """Two letters for each word; different words may share them. First and
+    second letters differ, so that no match starts inside a word."""
+    low = np.empty((len(hashes), _LETTERS), np.uint8)
+    for k in range(_LETTERS):
+        low[:, k] = ((hashes >> np.uint64(5 * k)) & np.uint64(_VALUES - 1)).astype(np.uint8) + _VALUES * (k + 1)
+    return low.tobytes().decode("ascii")
 
 
 def _confirm(window: int, gram: int):
@@ -62,7 +71,7 @@ def _confirm(window: int, gram: int):
                 new, k = new[~told[k]], k[~told[k]]
                 told[k] = True
                 text = _symbols(hashes) if len(new) else ""
-                phrases = [text[p:p + gram] for p in s.at[new].tolist()]
+                phrases = [text[_LETTERS * p:_LETTERS * (p + gram)] for p in s.at[new].tolist()]
                 home = lambda n: pa.array(np.full(n, block, np.int32))
                 yield pa.RecordBatch.from_arrays([home(len(new)), pa.array(A.signed(s.anchor[new])), pa.array(phrases, pa.string()), pa.nulls(len(new), pa.int64()), pa.nulls(len(new), pa.int32())], names_out)
                 mine = join_name(s.anchor, s.name)
@@ -101,7 +110,7 @@ def _remove(window: int, gram: int):
             if len(automaton) and len(s.at):
                 ends = np.fromiter((end for end, _ in automaton.iter(_symbols(hashes))), np.int64)
                 hit = np.zeros(len(hashes), bool)
-                hit[ends - gram + 1] = True
+                hit[(ends + 1) // _LETTERS - gram] = True
                 hit = hit[s.at]
                 sure = hit & among(join_name(s.anchor, s.name), passages)
                 np.add.at(edge, s.first[sure], 1)
