@@ -9,9 +9,10 @@ library has no streaming input of its own).
   ±30 s batch rate needs future rows; a stream can only look back).
 * STM5 ``stream_bursts``: per-IP session windows (30 s gap) with failures.
 
-State is bounded by the watermark in append/update mode; ``run_available``
-drives a query to completion (``availableNow``) with its checkpoint in the
-shared checkpoint folder, writing each micro-batch with ``foreachBatch``.
+All of them run in append mode: the watermark frees their state, and rows
+behind it are dropped. ``run_available`` drives a query to completion
+(``availableNow``) into a parquet file sink. Sessions of a hot key are merged
+before the shuffle where ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` is on.
 """
 from __future__ import annotations
 
@@ -76,21 +77,16 @@ def stream_bursts(events: DataFrame, delay: str = WATERMARK, gap: str = "30 seco
                           F.unix_seconds(F.col("s.end")).alias("session_end"), "events", "failures"))
 
 
-def run_available(stream: DataFrame, mode: str = "append", name: str = "stream") -> DataFrame:
-    """Run ``stream`` over everything available now; the sink is a parquet
-    folder (complete mode overwrites it per batch, other modes append) and
-    the checkpoint lives in the shared checkpoint folder. Returns the result."""
+def run_available(stream: DataFrame, name: str = "stream", out: str | None = None) -> DataFrame:
+    """Run ``stream`` over everything available now in append mode, into
+    Spark's parquet file sink: its log keeps a batch that is tried again from
+    doubling rows. Sink and checkpoint lie in the shared checkpoint folder.
+    Returns what was emitted: windows that the watermark has not passed
+    stay in the state for the next run."""
     spark: SparkSession = stream.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/") + f"/logsight-stream/{name}-{uuid.uuid4().hex}"
-    out, ckpt = base + "/out", base + "/checkpoint"
-
-    def write(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
-
-    q = (stream.writeStream.outputMode(mode).foreachBatch(write)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    out = out or base + "/out"
+    q = (stream.writeStream.format("parquet").option("path", out).outputMode("append")
+         .option("checkpointLocation", base + "/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    try:
-        return spark.read.parquet(out)
-    except Exception:  # noqa: BLE001 - nothing was emitted
-        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(out)
