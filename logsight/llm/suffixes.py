@@ -37,15 +37,15 @@ def packed(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in the order of their first ``depth`` bytes or more: sorted by
-    eight bytes, then groups that still tie are split by the rank of the
-    suffix that starts where the known prefix ends, which doubles each time."""
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Suffixes in order: sorted by eight bytes, then groups that still tie are
+    split by the rank of the suffix that starts where the known prefix ends,
+    which doubles each time, until none is left: Kasai's recurrence needs the full order."""
     n = len(text)
     if not n:
         return np.zeros(0, np.int64)
     keys = packed(text)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     ordered = keys[order]
     new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
     rank = np.zeros(n + 1, np.int64)  # of a group: the place of its first member, from 1; past the end 0
@@ -54,11 +54,11 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     rank[order] = np.repeat(place, size) + 1
     tied = np.flatnonzero(np.repeat(size, size) > 1)
     step = 8
-    while len(tied) and step < depth:
+    while len(tied):
         at = order[tied]
         group = rank[at]
         key = (group.astype(np.uint64) << np.uint64(32)) | rank[np.minimum(at + step, n)].astype(np.uint64)
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         at, key = at[by], key[by]
         order[tied] = at
         new = np.concatenate([[True], key[1:] != key[:-1]])
@@ -96,10 +96,10 @@ def _extend(keys: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray,
     return np.minimum(length, most)
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, most: int, lanes: int = 4096) -> np.ndarray:
+def common_prefixes(text: np.ndarray, order: np.ndarray, most: int, width: int = 64) -> np.ndarray:
     """Kasai: of each suffix and the one before it in ``order``, the common
     prefix up to ``most``. Walking on by one position loses one byte at most, so
-    only new bytes are compared. Lanes of the text are walked side by side."""
+    only new bytes are compared. Lanes of ``width`` positions are walked side by side."""
     n = len(text)
     out = np.zeros(n, np.int64)
     if n < 2:
@@ -107,7 +107,6 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int, lanes: int =
     keys = packed(text)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
-    width = -(-n // min(lanes, n))
     starts = np.arange(0, n, width)
     length = np.zeros(len(starts), np.int64)
     plain = np.zeros(n, np.int64)
@@ -138,7 +137,7 @@ def _window_starts(starts: np.ndarray, sizes: np.ndarray, window: int) -> np.nda
 def repeated_within(stretches: list[bytes], window: int) -> np.ndarray:
     """Flags the positions of the joined text whose window occurs twice in the shard."""
     text, starts = joined(stretches)
-    order = suffix_array(text, window)
+    order = suffix_array(text)
     equal = common_prefixes(text, order, window) >= window
     flags = np.zeros(len(text), bool)
     flags[order[equal]] = True
@@ -154,7 +153,7 @@ def repeated_across(left: list[bytes], right: list[bytes], window: int) -> tuple
     a, a_starts = joined(left)
     b, b_starts = joined(right)
     query = _window_starts(a_starts, np.array([len(s) for s in left], np.int64), window)
-    order = suffix_array(b, window)
+    order = suffix_array(b)
     both = np.concatenate([a, b])
     keys, shift = packed(both), len(a)
 

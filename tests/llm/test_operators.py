@@ -75,6 +75,35 @@ def test_suffix(docs):
     assert listed(suffixes.suffix_dedup(docs, shard_bytes=3000), *columns) == want
 
 
+def test_suffixes_that_tie_for_long():
+    from collections import Counter
+
+    import numpy as np
+
+    for seed in range(40):
+        r = random.Random(seed)
+        width = r.choice([40, 100, 400])
+        base = [bytes(r.choices(b"abc ", k=r.randint(width, 3 * width))) for _ in range(4)]
+        texts = set()
+        for _ in range(r.randint(5, 40)):
+            b = bytearray(r.choice(base))
+            for _ in range(r.randint(0, 3)):
+                b[r.randrange(len(b))] = r.choice(b"abc ")
+            texts.add(bytes(r.choices(b"abc ", k=r.randint(0, 30))) + bytes(b)[r.randint(0, 20):])
+        texts = sorted(texts)
+        seen = Counter(t[k:k + width] for t in texts for k in range(len(t) - width + 1))
+        assert suffixes.repeated_within(texts, width).tolist() == [k + width <= len(t) and seen[t[k:k + width]] > 1 for t in texts for k in range(len(t) + 1)]
+        left, right = texts[::2], texts[1::2]
+        a, b = suffixes.repeated_across(left, right, width)
+        for flags, own, other in ((a, left, right), (b, right, left)):
+            there = {t[k:k + width] for t in other for k in range(len(t) - width + 1)}
+            assert flags.tolist() == [k + width <= len(t) and t[k:k + width] in there for t in own for k in range(len(t) + 1)]
+    text = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8)
+    order = suffixes.suffix_array(text)
+    whole = text.tobytes()
+    assert [whole[i:] for i in order] == sorted(whole[i:] for i in range(len(whole)))
+
+
 def test_simhash(docs):
     got = simhash.simhash_components(docs, leaf_size=16)
     assert listed(got, "doc_id", "fingerprint", "component_id") == sorted(brute.simhash(plain(docs)), key=repr)
