@@ -2,23 +2,26 @@
 
 Feature plan (one ``Pipeline``): word 1+2-gram counts (tokens of two or more
 word characters) and character 3-5-grams inside space-padded words, each
-through ``CountVectorizer`` (minDF, vocabulary cap) -> ``IDF`` -> L2
-``Normalizer``; twelve numeric behavioural features through a median
-``Imputer`` and ``StandardScaler``; everything assembled into one vector for
-a multinomial ``LogisticRegression`` (``regParam = 1 / (C * n)`` matches an
+through ``CountVectorizer`` (minDF; the vocabulary size is an option) -> inverse
+document frequency ln((n+1)/(df+1)) + 1 -> L2 ``Normalizer``; twelve numeric
+behavioural features filled with their median and scaled by the population's
+deviation; everything assembled into one vector for a multinomial
+``LogisticRegression`` (``regParam = 1 / (C * n)`` matches an
 inverse-regularisation strength ``C``). n-grams are built with SQL
 higher-order functions, so no Python runs per row.
 
-Known differences to a scikit-learn TF-IDF: term frequency is raw (not
-1 + ln tf) and the IDF is ln((n+1)/(df+1)) without the +1 offset.
+The classifier's term frequency is raw: Spark ML has no transformer for 1 + ln tf
+on sparse vectors; ``tfidf_weights`` has the weights with it, as rows.
 """
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import (IDF, PCA, CountVectorizer, Imputer, IndexToString, NGram, Normalizer,
-                                RegexTokenizer, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler)
+from pyspark.ml.feature import (IDF, PCA, CountVectorizer, ElementwiseProduct, HashingTF, IndexToString, NGram,
+                                Normalizer, RegexTokenizer, SQLTransformer, StandardScaler, StringIndexer,
+                                VectorAssembler)
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,42 +58,91 @@ def text_stages(col: str = C.TEXT_FEATURE, word_min_df: float = 2, word_vocab: i
     ]
 
 
-def numeric_stages(features: list[str] = C.MODEL_NUMERIC_FEATURES, all_null: tuple[str, ...] = ()) -> list:
-    """ML2: median imputation and standard scaling of the numeric features.
-    A feature with no value at all in the training data is constant 0."""
-    cast = ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0.0) AS _num_{c}" if c in all_null
-                     else f"CAST({c} AS DOUBLE) AS _num_{c}" for c in features)
-    return [
-        SQLTransformer(statement=f"SELECT *, {cast} FROM __THIS__"),
-        Imputer(strategy="median", inputCols=[f"_num_{c}" for c in features],
-                outputCols=[f"_imp_{c}" for c in features]),
-        VectorAssembler(inputCols=[f"_imp_{c}" for c in features], outputCol="_num_vec", handleInvalid="keep"),
-        StandardScaler(inputCol="_num_vec", outputCol="num_features", withMean=True, withStd=True),
-    ]
-
-
-def build_pipeline(n_train: int, inverse_reg: float = 5.0, max_iter: int = 100,
-                   label: str = "label_original", all_null: tuple[str, ...] = ()) -> Pipeline:
+def numeric_scale(df: DataFrame, features: list[str] = C.MODEL_NUMERIC_FEATURES) -> dict[str, tuple[float, float, float]]:
+    """ML2: (median, mean, standard deviation) per feature, of the column after
+    the median has filled its nulls; the deviation is the population's. A feature without
+    values is constant 0. One aggregate: mean and deviation follow from the sums."""
+    x = {c: F.col(c).cast("double") for c in features}
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    for c in features:
+        aggs += [F.count(x[c]).alias(f"{c}__n"), F.percentile(x[c], F.lit(0.5)).alias(f"{c}__med"),
+                 F.avg(x[c]).alias(f"{c}__avg"), F.var_pop(x[c]).alias(f"{c}__var")]
+    row = df.agg(*aggs).first()
+    out = {}
+    for c in features:
+        n, k = row["_n"], row[f"{c}__n"]
+        if not k:
+            out[c] = (0.0, 0.0, 1.0)
+            continue
+        med, avg, var = row[f"{c}__med"], row[f"{c}__avg"], row[f"{c}__var"]
+        mean = (k * avg + (n - k) * med) / n
+        spread = (k * (var + (avg - mean) ** 2) + (n - k) * (med - mean) ** 2) / n
+        out[c] = (med, mean, spread ** 0.5 if spread > 1e-18 else 1.0)
+    return out
+
+
+def numeric_stages(scale: dict[str, tuple[float, float, float]]) -> list:
+    """ML2: median imputation and standard scaling as one SQL projection."""
+    cols = ", ".join(f"(coalesce(CAST({c} AS DOUBLE), {med!r}D) - {mean!r}D) / {std!r}D AS _num_{c}"
+                     for c, (med, mean, std) in scale.items())
+    return [SQLTransformer(statement=f"SELECT *, {cols} FROM __THIS__"),
+            VectorAssembler(inputCols=[f"_num_{c}" for c in scale], outputCol="num_features", handleInvalid="keep")]
+
+
+def tfidf_weights(df: DataFrame, text: str = C.TEXT_FEATURE, id_col: str = "row_id", min_df: int = 2) -> DataFrame:
+    """ML1 as rows: (row_id, term, weight) of the word 1+2-grams, with term
+    frequency 1 + ln(tf), inverse document frequency ln((1 + n) / (1 + df)) + 1, and rows of
+    length 1. The number of rows with text travels with the terms as a term of its own."""
+    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD_PATTERN), 0)
+    rows = trainable_rows(df).select(id_col, words.alias("_w"))
+    pairs = F.when(F.size("_w") > 1, F.transform(F.sequence(F.lit(1), F.size("_w") - 1), lambda i: F.concat_ws(
+        " ", F.element_at("_w", i), F.element_at("_w", i + 1)))).otherwise(F.array().cast("array<string>"))
+    terms = rows.select(id_col, F.explode(F.concat(F.col("_w"), pairs, F.array(F.lit("")))).alias("term"))
+    from logsight.session import stage
+    tf = stage(terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")), "term-counts")
+    df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n = df_.filter("term = ''").agg(F.coalesce(F.max("df"), F.lit(0))).first()[0]
+    known = df_.filter((F.col("term") != "") & (F.col("df") >= min_df))
+    idf = F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1
+    raw = tf.join(known, "term").withColumn("_x", (1 + F.log(F.col("tf"))) * idf)
+    raw = stage(raw.select(id_col, "term", "_x"), "term-weights")
+    norm = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("_x") * F.col("_x"))).alias("_len"))
+    return raw.join(norm, id_col).select(id_col, "term", (F.col("_x") / F.col("_len")).alias("weight"))
+
+
+def build_pipeline(n_train: int, scale: dict[str, tuple[float, float, float]], inverse_reg: float = 5.0,
+                   max_iter: int = 2000, label: str = "label_original") -> Pipeline:
     """ML3: text + numeric features -> multinomial logistic regression."""
     indexer = StringIndexer(inputCol=label, outputCol="label_idx", stringOrderType="alphabetAsc",
                             handleInvalid="error")
     lr = LogisticRegression(featuresCol="features", labelCol="label_idx", family="multinomial",
                             regParam=1.0 / (inverse_reg * max(n_train, 1)), elasticNetParam=0.0,
-                            standardization=False, maxIter=max_iter, tol=1e-6)
-    return Pipeline(stages=[indexer] + text_stages() + numeric_stages(all_null=all_null) + [
+                            standardization=False, maxIter=max_iter, tol=1e-4)
+    return Pipeline(stages=[indexer] + text_stages() + numeric_stages(scale) + [
         VectorAssembler(inputCols=["word_features", "char_features", "num_features"], outputCol="features"),
         lr])
 
 
 def stratified_split(df: DataFrame, label: str = "label_original", test_fraction: float = 0.2,
                      seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """ML4: deterministic split by a seeded hash of row_id, drawn per row, so
-    each class is split in the same proportion in expectation. No window, no
-    per-class sort: a class holding a third of the rows costs nothing extra."""
-    u = (F.xxhash64(F.col("row_id"), F.lit(seed), F.col(label)).cast("double") / float(2 ** 63) + 1.0) / 2.0
-    flagged = df.withColumn("_u", u)
-    return (flagged.filter(F.col("_u") >= test_fraction).drop("_u"),
-            flagged.filter(F.col("_u") < test_fraction).drop("_u"))
+    """ML4: deterministic split, exact per class: of the n rows of a class the
+    round(n * test_fraction) with the lowest seeded hash of their row id are the test rows.
+
+    The rows are numbered by (class, hash) in range partitions, so a class that holds a third of
+    the rows is many partitions; the class sizes are a handful of counts."""
+    from logsight.session import stage
+    from logsight.sources.rowid import dense_numbers
+    name = F.coalesce(F.col(label), F.lit("")).alias("_label")
+    keys = stage(df.select("row_id", name, F.xxhash64(F.col("row_id"), F.lit(seed)).alias("_u")), "split")
+    counts = keys.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).orderBy("_label").collect()
+    before, rows = 0, []
+    for r in counts:
+        rows.append((r["_label"], before, int(r["n"] * test_fraction + 0.5)))
+        before += r["n"]
+    limits = df.sparkSession.createDataFrame(rows, "_label string, _before long, _test long")
+    numbered = dense_numbers(keys, ["_label", "_u", "row_id"], "_no").join(F.broadcast(limits), "_label")  # a row per class
+    test = stage(numbered.filter(F.col("_no") <= F.col("_before") + F.col("_test")).select("row_id"), "test-rows")
+    return df.join(test, "row_id", "left_anti"), df.join(test, "row_id", "left_semi")
 
 
 def trainable_rows(df: DataFrame) -> DataFrame:
@@ -99,22 +151,28 @@ def trainable_rows(df: DataFrame) -> DataFrame:
 
 
 def train(df: DataFrame, label: str = "label_original", inverse_reg: float = 5.0,
-          max_iter: int = 100) -> PipelineModel:
-    """ML5: fit the pipeline. One aggregate gives the row count (it sets the
-    regularisation scale) and which numeric features are entirely missing."""
-    stats = df.agg(F.count(F.lit(1)).alias("_n"),
-                   *[F.count(c).alias(c) for c in C.MODEL_NUMERIC_FEATURES]).first()
-    all_null = tuple(c for c in C.MODEL_NUMERIC_FEATURES if stats[c] == 0)
-    stages = build_pipeline(stats["_n"], inverse_reg, max_iter, label, all_null).getStages()
+          max_iter: int = 2000) -> PipelineModel:
+    """ML5: fit the pipeline. The count of the rows sets the regularisation."""
+    stages = build_pipeline(df.count(), numeric_scale(df), inverse_reg, max_iter, label).getStages()
     # the n-gram stages are pure transformers: materialise their output once so
-    # the vocabulary, IDF, imputer, scaler and solver passes do not rebuild it
+    # the vocabulary, IDF and solver passes do not rebuild it
     n_prep = 4  # indexer + tokenizer + bigrams + n-gram SQL
     indexer = stages[0].fit(df)
     prep = PipelineModel([indexer] + stages[1:n_prep])
     from logsight.session import stage
     tokens = stage(prep.transform(df), "train-terms")
-    rest = Pipeline(stages=stages[n_prep:]).fit(tokens)
-    return PipelineModel([indexer] + stages[1:n_prep] + rest.stages)
+    fitted, data = [], tokens
+    for st in stages[n_prep:]:
+        if isinstance(st, IDF):
+            # inverse document frequency ln((n + 1) / (df + 1)) + 1
+            idf = st.fit(data).idf
+            model = ElementwiseProduct(inputCol=st.getInputCol(), outputCol=st.getOutputCol(),
+                                       scalingVec=Vectors.dense(idf.toArray() + 1.0))
+        else:
+            model = st.fit(data) if hasattr(st, "fit") else st
+        fitted.append(model)
+        data = model.transform(data)
+    return PipelineModel([indexer] + stages[1:n_prep] + fitted)
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -165,28 +223,28 @@ def reliability_warning(scored: DataFrame, share: float = 0.9) -> DataFrame:
                   .withColumn("warning", F.col("unreliable_share") > share))
 
 
-def project_2d(scored: DataFrame, sample_rows: int = 2000, seed: int = 0) -> DataFrame:
-    """ML7: 2-D PCA over word TF-IDF (300 terms) + raw numeric features. The
-    projection is fitted on a deterministic hash sample of ``sample_rows``
-    rows (a bounded TakeOrdered) and applied to every row."""
+def project_2d(scored: DataFrame, buckets: int = 512, sample_rows: int | None = None, seed: int = 0) -> DataFrame:
+    """ML7: 2-D PCA over word TF-IDF and raw numeric features, fitted on all
+    rows and applied to all. Terms are hashed into ``buckets``, so none is left out.
+    ``sample_rows`` thins the points of a plot, not the fit."""
     num = ", ".join(f"CAST(coalesce({c}, 0) AS DOUBLE) AS _n_{c}" for c in C.MODEL_NUMERIC_FEATURES)
     feats = Pipeline(stages=[
         RegexTokenizer(inputCol=C.TEXT_FEATURE, outputCol="_w", pattern=WORD_PATTERN, gaps=False),
         NGram(n=2, inputCol="_w", outputCol="_b"),
         SQLTransformer(statement=f"SELECT *, concat(_w, _b) AS _t, {num} FROM __THIS__"),
-        CountVectorizer(inputCol="_t", outputCol="_tf", minDF=2, vocabSize=300),
+        HashingTF(inputCol="_t", outputCol="_tf", numFeatures=buckets),
         IDF(inputCol="_tf", outputCol="_tfidf"),
         Normalizer(inputCol="_tfidf", outputCol="_text"),
         VectorAssembler(inputCols=["_text"] + [f"_n_{c}" for c in C.MODEL_NUMERIC_FEATURES],
                         outputCol="_x", handleInvalid="keep"),
     ])
-    sample = scored.orderBy(F.xxhash64(F.col("row_id"), F.lit(seed))).limit(sample_rows)
-    fitted = feats.fit(sample)
-    pca = PCA(k=2, inputCol="_x", outputCol="_pc").fit(fitted.transform(sample))
-    out = pca.transform(fitted.transform(scored))
+    vectors = feats.fit(scored).transform(scored)
+    pca = PCA(k=2, inputCol="_x", outputCol="_pc").fit(vectors)
+    if sample_rows is not None:
+        vectors = vectors.orderBy(F.xxhash64(F.col("row_id"), F.lit(seed))).limit(sample_rows)
     xy = vector_to_array(F.col("_pc"))
-    return out.select("row_id", F.round(xy[0], 3).alias("x"), F.round(xy[1], 3).alias("y"),
-                      F.col("predicted_category").alias("category"))
+    return pca.transform(vectors).select("row_id", F.round(xy[0], 3).alias("x"), F.round(xy[1], 3).alias("y"),
+                                         F.col("predicted_category").alias("category"))
 
 
 def numeric_forest(df: DataFrame, features: list[str], label: str = "label", trees: int = 50,
@@ -214,17 +272,20 @@ def save_model(model: PipelineModel, path: str) -> str:
 
 
 def load_model(path: str) -> PipelineModel:
-    """SNK3: an absent model is an explicit error."""
+    """SNK3: an absent model is an explicit error; any other error stays itself."""
     try:
         return PipelineModel.load(path)
     except Exception as exc:  # noqa: BLE001
-        raise FileNotFoundError(f"no trained model at {path}: train one first") from exc
+        if any(w in str(exc) for w in ("does not exist", "PATH_NOT_FOUND", "NoSuchFile", "FileNotFound")):
+            raise FileNotFoundError(f"no trained model at {path}: train one first") from exc
+        raise
 
 
-def model_card(model: PipelineModel, train_df: DataFrame, test_df: DataFrame,
-               label: str = "label_original") -> DataFrame:
+def model_card(model: PipelineModel, train_df: DataFrame, test_df: DataFrame, label: str = "label_original",
+               data_source: str = "", trained_at: str | None = None) -> DataFrame:
     """SNK4: one-row metrics record — accuracy, per-class precision / recall /
-    F1 / support, row counts, features — ready to write as JSON."""
+    F1 / support, row counts, features, where the data came from and when it was
+    trained — ready to write as JSON."""
     from logsight.operators.evaluation import classification_report
     pred = IndexToString(inputCol="prediction", outputCol="_pred", labels=class_labels(model)).transform(
         predict(model, test_df))
@@ -242,4 +303,8 @@ def model_card(model: PipelineModel, train_df: DataFrame, test_df: DataFrame,
     return (out.drop("_k")
                .withColumn("model", F.lit("TF-IDF (word 1-2g + char_wb 3-5g) + scaled numeric + LogisticRegression"))
                .withColumn("numeric_features", F.array(*[F.lit(c) for c in C.MODEL_NUMERIC_FEATURES]))
-               .withColumn("text_feature", F.lit(C.TEXT_FEATURE)))
+               .withColumn("text_feature", F.lit(C.TEXT_FEATURE))
+               .withColumn("corpus_rows", F.col("train_rows") + F.col("test_rows"))
+               .withColumn("data_source", F.lit(data_source))
+               .withColumn("trained_at", F.lit(trained_at) if trained_at else F.date_format(
+                   F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")))

@@ -30,7 +30,7 @@ def labelled_events(spark, sf_dir):
 
 
 def trained(spark, sf_dir):
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _CACHE:
         data = labelled_events(spark, sf_dir)
         tr, te = M.stratified_split(data)
@@ -72,14 +72,57 @@ def q_tfidf_terms(spark, sf_dir):
     df = M.trainable_rows(clean_lines(spark, sf_dir, with_features=False)).select("row_id", C.TEXT_FEATURE)
     tok = RegexTokenizer(inputCol=C.TEXT_FEATURE, outputCol="_w", pattern=M.WORD_PATTERN, gaps=False)
     grams = NGram(n=2, inputCol="_w", outputCol="_b").transform(tok.transform(df))
-    n_docs = grams.agg(F.count(F.lit(1)).alias("n"))
-    terms = (grams.select("row_id", F.explode(F.array_distinct(F.concat("_w", "_b"))).alias("term"))
-             .groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= 2))
-    # n_docs is a one-row global aggregate
-    out = terms.withColumn("_k", F.lit(1)).join(F.broadcast(n_docs.withColumn("_k", F.lit(1))), "_k")
+    # the empty term stands once in every row: its frequency is the number of rows
+    each = F.concat(F.array_distinct(F.concat("_w", "_b")), F.array(F.lit("")))
+    terms = stage(grams.select(F.explode(each).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms")
+    n_docs = terms.filter("term = ''").select(F.col("df").alias("n"))
+    # n_docs is one row
+    out = terms.filter((F.col("term") != "") & (F.col("df") >= 2)).crossJoin(F.broadcast(n_docs))
     return out.select("term", "df", F.round(F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)), 6).alias("idf"))
 
 
+@register("tfidf_weights", f"""WITH {S.clean_events_cte(FIXTURE_YEAR)},
+tok AS (SELECT row_id, regexp_extract_all(lower(event_clean), '\\b\\w\\w+\\b', 0) AS t FROM clean
+        WHERE length(event_clean) > 0),
+terms AS (SELECT row_id, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])))
+          AS term FROM tok),
+tf AS (SELECT row_id, term, count(*) AS tf FROM terms GROUP BY ALL),
+d AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2),
+x AS (SELECT row_id, term, (1 + ln(tf)) * (ln((1.0 + (SELECT count(*) FROM tok)) / (1.0 + df)) + 1) AS x FROM tf JOIN d USING (term))
+SELECT row_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY row_id)), 6) AS weight FROM x""")
+def q_tfidf_weights(spark, sf_dir):
+    """ML1: sublinear, smoothed and normalised weights of every row's terms."""
+    out = M.tfidf_weights(clean_lines(spark, sf_dir, with_features=False))
+    return out.select("row_id", "term", F.round("weight", 6).alias("weight"))
+
+
+_NUM = ("dst_port", "bytes", "ip_event_count", "ip_rate_1min", "ip_fail_ratio", "event_length")
+
+
+@register("scaled_numeric", f"""WITH {S.features_cte(FIXTURE_YEAR)},
+m AS (SELECT {', '.join(f"median(CAST({c} AS DOUBLE)) AS m_{c}" for c in _NUM)} FROM feat),
+f AS (SELECT row_id, {', '.join(f"coalesce(CAST({c} AS DOUBLE), m_{c}) AS {c}" for c in _NUM)} FROM feat, m)
+SELECT row_id, {', '.join(f"round(({c} - avg({c}) OVER ()) / (CASE WHEN stddev_pop({c}) OVER () > 1e-9 THEN stddev_pop({c}) OVER () ELSE 1 END), 5) AS {c}" for c in _NUM)}
+FROM f""")
+def q_scaled_numeric(spark, sf_dir):
+    """ML2: numeric features, nulls filled with the median, scaled to mean 0 and deviation 1."""
+    data = stage(clean_lines(spark, sf_dir).select("row_id", *_NUM), "numeric")
+    out = data
+    for st in M.numeric_stages(M.numeric_scale(data, list(_NUM)))[:1]:
+        out = st.transform(out)
+    return out.select("row_id", *[F.round(f"_num_{c}", 5).alias(c) for c in _NUM])
+
+
+@register("split_counts", f"""WITH {S.LINES_CTE}
+SELECT label, count(*) - CAST(floor(count(*) * 0.2 + 0.5) AS BIGINT) AS train_rows,
+       CAST(floor(count(*) * 0.2 + 0.5) AS BIGINT) AS test_rows FROM lines GROUP BY label""")
+def q_split_counts(spark, sf_dir):
+    """ML4: rows of each class on either side of the exact stratified split."""
+    tr, te = M.stratified_split(log_lines(spark, sf_dir).select("row_id", "label"), "label")
+    both = tr.withColumn("t", F.lit(0)).unionByName(te.withColumn("t", F.lit(1)))
+    return both.groupBy("label").agg(F.count_if(F.col("t") == 0).alias("train_rows"), F.count_if(F.col("t") == 1).alias("test_rows"))
+
+
 @register("reliability", f"""WITH {S.features_cte(FIXTURE_YEAR)}
 SELECT avg(CASE WHEN trim(coalesce(event_clean, '')) = '' AND ip_unique_ports = 0 AND ip_fail_ratio = 0
                  AND has_sql_tokens = 0 AND has_priv_tokens = 0
@@ -95,7 +138,7 @@ def q_reliability(spark, sf_dir):
 
 @register("pca_2d")
 def q_pca_2d(spark, sf_dir):
-    """ML7: 2-D projection fitted on a 2,000-row hash sample, applied to all rows."""
+    """ML7: 2-D projection of all rows."""
     model, _, data = trained(spark, sf_dir)
     return M.project_2d(M.score(model, data))
 

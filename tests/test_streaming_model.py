@@ -15,7 +15,8 @@ def test_stream_parse_equals_batch(spark):
     b = parsed_lines(spark, SMOKE).select("ts_raw", F.coalesce("src_ip", F.lit("unknown")).alias("src_ip"),
                                           F.coalesce("event", F.lit("")).alias("event"),
                                           normalise_timestamp("ts_raw", 2026).alias("ts_sec"))
-    assert sorted(s.collect()) == sorted(b.collect())
+    # every tenth line is delivered twice
+    assert sorted(s.distinct().collect()) == sorted(b.distinct().collect()) and s.count() == b.count() + b.count() // 10
 
 
 def test_classifier_accuracy_and_invariants(spark):
@@ -28,3 +29,35 @@ def test_classifier_accuracy_and_invariants(spark):
     assert 0.0 <= lo <= hi <= 1.0
     cats = {r[0] for r in sc.select("predicted_category").distinct().collect()}
     assert cats <= set(C.ATTACK_CATEGORIES + [C.NORMAL_LABEL])
+
+
+def test_class_probabilities_of_both_models(spark):
+    from logsight.operators import model as M
+    model, test, _ = QM.trained(spark, SMOKE)
+    rows = M.class_probabilities(model, test.drop("label_original")).select("class_probabilities").limit(20).collect()
+    labels = set(M.class_labels(model))
+    assert all(set(r[0]) == labels and abs(sum(r[0].values()) - 1) < 0.01 for r in rows)
+
+
+def test_split_is_exact_and_disjoint(spark):
+    from logsight.operators import model as M
+    df = spark.range(1000).selectExpr("id AS row_id", "CASE WHEN id % 10 = 0 THEN 'rare' ELSE 'often' END AS label")
+    tr, te = M.stratified_split(df, "label")
+    assert {r["label"]: r["count"] for r in te.groupBy("label").count().collect()} == {"rare": 20, "often": 180}
+    assert tr.count() == 800 and tr.join(te, "row_id").count() == 0
+
+
+def test_reliability_fires_on_blank_rows(spark):
+    from logsight.operators import model as M
+    cols = {c: 1.0 if c in ("ip_event_count", "ip_rate_1min", "ip_unique_users") else 0.0 for c in C.MODEL_NUMERIC_FEATURES}
+    blank = spark.range(20).select(F.lit("  ").alias(C.TEXT_FEATURE), *[F.lit(v).alias(c) for c, v in cols.items()])
+    assert M.reliability_warning(blank).first()["warning"]
+    some = blank.withColumn(C.TEXT_FEATURE, F.lit("failed login"))
+    assert not M.reliability_warning(blank.unionByName(some)).first()["warning"]
+
+
+def test_absent_model_is_named(spark, tmpdir_path):
+    import pytest
+    from logsight.operators import model as M
+    with pytest.raises(FileNotFoundError):
+        M.load_model(tmpdir_path + "/none")
