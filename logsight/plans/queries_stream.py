@@ -17,7 +17,7 @@ from logsight.plans import sql_blocks as S
 from logsight.plans.catalog import register
 from logsight.plans.inputs import FIXTURE_YEAR
 from logsight.session import ensure_checkpoint_dir, read_table, stage
-from logsight.sources.fixtures import SEC_EXPR, log_lines, scored_events
+from logsight.sources.fixtures import REPEAT, SEC_EXPR, log_lines, scored_events
 from logsight.streaming import streams as ST
 
 
@@ -45,8 +45,8 @@ def _deliver(df, name, columns, write):
 
 
 def _line_stream(spark, sf_dir):
-    lines = log_lines(spark, sf_dir).join(
-        read_table(spark, sf_dir, "events").selectExpr("event_id AS row_id", f"{SEC_EXPR} AS sec"), "row_id")
+    lines = log_lines(spark, sf_dir).withColumn("event_id", F.col("row_id") % REPEAT).join(
+        read_table(spark, sf_dir, "events").selectExpr("event_id", f"{SEC_EXPR} AS sec"), "event_id")
     # every tenth line is delivered twice
     twice = lines.unionByName(lines.filter("row_id % 10 = 0"))
     path = _deliver(twice, "stream-lines", ["value"], lambda df, p: df.write.text(p))
@@ -54,9 +54,9 @@ def _line_stream(spark, sf_dir):
     return ST.stream_events(source, FIXTURE_YEAR)
 
 
-def _slice_sql(source):
+def _slice_sql(source, span=None):
     """CTE ``arr``: rows with their delivery and the watermarks (``w_last`` before the last one, ``w_end`` after all)."""
-    return f"""sp AS (SELECT min(ts_sec) AS lo, max(ts_sec) AS hi FROM {source}),
+    return f"""sp AS ({span or f'SELECT min(ts_sec) AS lo, max(ts_sec) AS hi FROM {source}'}),
 own AS (SELECT s.*, least({SLICES - 1}, CAST(floor((ts_sec - lo) * {SLICES} / (hi - lo + 1)) AS BIGINT)) AS sl FROM {source} s, sp),
 pl AS (SELECT *, sl = 0 AND row_id % {LATE} = 0 AS late FROM own),
 arr AS (SELECT *, (SELECT max(ts_sec) FROM pl WHERE sl < {SLICES - 1} AND NOT late) - {DELAY} AS w_last,
@@ -70,7 +70,7 @@ ev1 AS (SELECT row_id, format, ts_raw, coalesce(src_ip, 'unknown') AS src_ip, co
               {S.any_token_sql(S.clean_sql(S.url_decode_sql("coalesce(event, '')")), C.FAIL_WORDS)} AS is_failure
        FROM parsed),
 ev AS (SELECT * FROM ev1 UNION ALL SELECT * FROM ev1 WHERE row_id % 10 = 0),
-{_slice_sql('ev')}"""
+{_slice_sql('ev', 'SELECT min(sec) AS lo, max(sec) AS hi FROM lines_c')}"""
 
 
 @register("stream_parse", f"{_EV_SQL}\nSELECT format, ts_raw, src_ip, username, event, ts_sec FROM ev")
@@ -81,7 +81,7 @@ def q_stream_parse(spark, sf_dir):
 
 
 @register("stream_dedupe", f"""{_EV_SQL}
-SELECT DISTINCT ts_raw, src_ip, event, ts_sec FROM arr WHERE NOT late OR ts_sec > w_last""")
+SELECT DISTINCT ts_raw, src_ip, event, ts_sec FROM arr WHERE ts_sec IS NOT NULL AND (NOT late OR ts_sec > w_last)""")
 def q_stream_dedupe(spark, sf_dir):
     """STM2: keyed duplicates dropped within the watermark; rows behind it are dropped too."""
     ev = ST.stream_dedupe(_line_stream(spark, sf_dir)).select("ts_raw", "src_ip", "event", "ts_sec")

@@ -52,7 +52,14 @@ lines_m AS (SELECT *, CASE event_type
     ELSE concat('Accepted password for ', usr, ' from ', ip, ' port 22 ssh2') END AS msg,
   {TS_SQL} AS tsx FROM lines_c),
 lines AS (
-  SELECT row_id, CASE row_id % 4
+  SELECT unnest(CASE WHEN row_id % 10 = 0 THEN [row_id, row_id + 10000000000] ELSE [row_id] END) AS row_id, CASE
+    WHEN row_id % 8 = 7 THEN concat('maintenance note by ', usr, ' on shelf ', CAST(user_id % 9 AS VARCHAR))
+    WHEN row_id % 40 = 6 THEN concat(strftime(tsx, '%Y-%m-%d %H:%M:%S'), ' ERROR powershell -enc ZQBj drops mimikatz src=', ip,
+         ' dst=10.9.9.', CAST(user_id % 20 AS VARCHAR), ' dport=443 duration=1.5 status=503 len=88 user=', usr)
+    WHEN row_id % 40 = 9 THEN concat(ip, ' - - [', strftime(tsx, '%d/%b/%Y:%H:%M:%S'), ' +0000] "CONNECT proxy:',
+         CAST(8000 + user_id % 50 AS VARCHAR), '/x HTTP/1.1" 502 -')
+    WHEN row_id % 60 = 10 THEN concat('2026-13-45 10:00:00 WARN ', msg)
+    ELSE CASE row_id % 4
     WHEN 0 THEN concat(strftime(tsx, '%b %d %H:%M:%S'), ' host', CAST(user_id % 5 AS VARCHAR), ' sshd[',
                        CAST(100 + user_id AS VARCHAR), ']: ', msg)
     WHEN 1 THEN concat(ip, ' - ', CASE WHEN event_type = 'click' THEN usr ELSE '-' END, ' [',
@@ -60,10 +67,10 @@ lines AS (
                        '?id=', CAST(user_id AS VARCHAR), '%27 HTTP/1.1" ',
                        CASE WHEN event_type = 'error' THEN '403' ELSE '200' END, ' ', CAST(port AS VARCHAR))
     WHEN 2 THEN concat(strftime(tsx, '%Y-%m-%d %H:%M:%S'), ' WARN ', msg)
-    ELSE concat('seen at ', CAST(sec AS VARCHAR), ' ', msg) END AS value,
-  CASE event_type WHEN 'error' THEN 'Brute Force' WHEN 'signup' THEN 'Port Scan'
+    ELSE concat('seen at ', CAST(sec AS VARCHAR), ' ', msg) END END AS value,
+  CASE WHEN row_id % 40 = 6 THEN 'Malware Activity' WHEN row_id % 40 = 9 THEN 'DoS Indicators' ELSE CASE event_type WHEN 'error' THEN 'Brute Force' WHEN 'signup' THEN 'Port Scan'
     WHEN 'purchase' THEN 'SQL Injection' WHEN 'click' THEN 'Privilege Escalation'
-    ELSE 'Normal' END AS label
+    ELSE 'Normal' END END AS label
   FROM lines_m)"""
 
 SCORED_CTE = f"""sc AS (

@@ -44,8 +44,9 @@ def stream_events(lines: DataFrame, assume_year: int | None = None) -> DataFrame
 
 def stream_dedupe(events: DataFrame, delay: str = WATERMARK) -> DataFrame:
     """STM2: keyed duplicates (raw timestamp, src_ip, event) dropped while
-    the watermark still holds their key."""
-    return (events.withWatermark("event_time", delay)
+    the watermark still holds their key. Rows without a readable time have no
+    place in event time and are left out."""
+    return (events.filter(F.col("event_time").isNotNull()).withWatermark("event_time", delay)
                   .dropDuplicatesWithinWatermark(["ts_raw", "src_ip", "event"]))
 
 
