@@ -23,7 +23,6 @@ NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
       "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
 REL_NS = "{http://schemas.openxmlformats.org/package/2006/relationships}"
 ROW_SCHEMA = "file_path string, sheet string, n_sheets int, row_no long, cells map<string,string>"
-CHECK_SCHEMA = "path string, ok boolean, reason string"
 
 
 def _col_index(ref: str) -> int:
@@ -123,20 +122,18 @@ def workbook_frame(rows: DataFrame) -> DataFrame:
                        *[F.col("cells")[k].alias(k) for k in order])
 
 
-def check_workbook_bytes(path: str, content: bytes) -> tuple[bool, str]:
-    """SRC6: a plain zip with [Content_Types].xml, no macros, bounded inflated size."""
-    buf = io.BytesIO(content)
-    if not zipfile.is_zipfile(buf):
-        return False, "not a zip archive"
+#: SRC6: what speaks against a workbook, by the entries of its archive.
+_FAULTS = {
+    "no workbook structure": lambda entries: "[Content_Types].xml" not in {e.filename for e in entries},
+    "contains macros": lambda entries: any(e.filename.rsplit("/", 1)[-1] == "vbaProject.bin" for e in entries),
+    "inflates beyond the limit": lambda entries: sum(e.file_size for e in entries) > C.MAX_XLSX_DECOMPRESSED,
+}
+
+
+def workbook_fault(content: bytes) -> str | None:
+    """The first fault of a workbook's bytes, or None."""
     try:
-        with zipfile.ZipFile(buf) as zf:
-            names = zf.namelist()
-            if "[Content_Types].xml" not in names:
-                return False, "no workbook structure"
-            if any("vbaProject.bin" in n for n in names):
-                return False, "contains macros"
-            if sum(i.file_size for i in zf.infolist()) > C.MAX_XLSX_DECOMPRESSED:
-                return False, "inflates beyond the limit"
+        entries = zipfile.ZipFile(io.BytesIO(content)).infolist()
     except zipfile.BadZipFile:
-        return False, "corrupt workbook"
-    return True, ""
+        return "not a zip archive"
+    return next((name for name, holds in _FAULTS.items() if holds(entries)), None)
