@@ -37,7 +37,9 @@ def compute_stats(scored: DataFrame) -> dict[str, DataFrame]:
         "top_ports": ST.top_targeted_ports(scored),
         "timeline": ST.attack_timeline(scored),
         "top_detections": ST.top_detections(scored),
+        "timeline_reason": ST.timeline_reason(scored),
         "report_tables": R.report_tables(scored),
+        "summary": R.summary_sentences(scored),
         "reliability": M.reliability_warning(scored),
     }
 
@@ -45,6 +47,8 @@ def compute_stats(scored: DataFrame) -> dict[str, DataFrame]:
 def analyse(events: DataFrame, model: PipelineModel, assume_year: int | None = None,
             with_report: bool = True) -> Analysis:
     """PIPE2 over canonical events. Raises ValueError when cleaning leaves no rows."""
+    # the dedupe and the cleaning report read the same parsed rows
+    events = stage(events, "events")
     clean = stage(preprocess(events, assume_year), "clean")
     if clean.isEmpty():
         raise ValueError("after cleaning, no rows were left to analyse")
@@ -52,4 +56,5 @@ def analyse(events: DataFrame, model: PipelineModel, assume_year: int | None = N
     figures = compute_stats(scored)
     if with_report:
         figures["cleaning_report"] = cleaning_report(events, assume_year)
+        figures["projection"] = M.project_2d(scored)
     return Analysis(scored=scored, figures=figures)

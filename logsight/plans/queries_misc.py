@@ -433,6 +433,18 @@ def q_csv_roundtrip(spark, sf_dir):
     return canon
 
 
+@register("synthesised_events", """SELECT p_partkey AS row_id, CAST(NULL AS VARCHAR) AS src_ip,
+  nullif(regexp_replace(regexp_replace(concat_ws(' | ', p_name, p_brand, p_type), '\\s+', ' ', 'g'), '^[ |]+|[ |]+$', '', 'g'), '') AS event,
+  CAST(p_partkey AS DOUBLE) AS extra_p_partkey, CAST(p_size AS DOUBLE) AS extra_p_size, p_retailprice AS extra_p_retailprice
+FROM part""")
+def q_synthesised_events(spark, sf_dir):
+    """PRJ2 + PRJ3: a table without an event column, its text columns joined into one and its numbers kept."""
+    part = read_table(spark, sf_dir, "part")
+    raw = part.select(F.col("p_partkey").alias("row_id"), *[F.col(c).cast("string") for c in part.columns])
+    canon, _ = to_canonical(raw)
+    return canon.select("row_id", "src_ip", "event", "extra_p_partkey", "extra_p_size", "extra_p_retailprice")
+
+
 def _fixture_messages(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events")
     return ev.selectExpr(

@@ -2,6 +2,9 @@
 evaluation tables — all over the deterministic scored fixture."""
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import functions as F
 
 from logsight import constants as C
@@ -12,7 +15,8 @@ from logsight.operators.evaluation import classification_report, confusion_matri
 from logsight.plans import sql_blocks as S
 from logsight.plans.catalog import register
 from logsight.sources.fixtures import scored_events
-from logsight.sources.mitigations import DEFAULT_MITIGATIONS, attach_mitigations, mitigation_table
+from logsight.session import ensure_checkpoint_dir
+from logsight.sources.mitigations import DEFAULT_MITIGATIONS, attach_mitigations, load_mitigations
 
 ALL_CATEGORIES = sorted([C.NORMAL_LABEL] + C.ATTACK_CATEGORIES)
 
@@ -297,10 +301,13 @@ SELECT c.category, c.attacks, coalesce(m.summary, '') AS summary, CAST(coalesce(
        coalesce(m.mitre, '') AS mitre
 FROM c LEFT JOIN m USING (category) WHERE c.category IN ({', '.join(map(S.q, C.ATTACK_CATEGORIES))})""")
 def q_mitigations(spark, sf_dir):
-    """JN3 + FLT5: mitigation advice for every detected attack category."""
+    """JN3 + FLT5 + SRC8: the dictionary read from JSON; advice for every detected attack category."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/logsight-stage/mitigations-{uuid.uuid4().hex}"
+    text = json.dumps({c: {"summary": s, "steps": steps, "mitre": ids} for c, s, steps, ids in DEFAULT_MITIGATIONS})
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
     counts = (scored(spark, sf_dir).filter("is_anomaly").groupBy("predicted_category")
               .agg(F.count(F.lit(1)).alias("attacks")))
-    out = attach_mitigations(SV.known_categories(counts, "predicted_category"), mitigation_table(spark))
+    out = attach_mitigations(SV.known_categories(counts, "predicted_category"), load_mitigations(spark, path))
     return out.select(F.col("predicted_category").alias("category"), "attacks", "summary",
                       F.size("steps").alias("n_steps"), F.concat_ws(", ", "mitre").alias("mitre"))
 

@@ -12,6 +12,10 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
+#: Folders written by stage(), by application.
+_STAGED: dict[str, list[str]] = {}
+
+
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                   app_name: str = "logsight", time_zone: str = "UTC") -> SparkSession:
     """Session for tests and the benchmark. On a cluster, the deployment's own
@@ -77,4 +81,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/logsight-stage/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.parquet(path)
+
+
+def drop_stages(spark: SparkSession) -> int:
+    """Delete what :func:`stage` has written in this application, once the
+    results that read it are written. Returns the number of folders."""
+    paths = _STAGED.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = hadoop.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)
