@@ -99,12 +99,12 @@ def q_stream_ip_rate(spark, sf_dir):
 
 
 @register("stream_bursts", f"""{_EV_SQL},
-o AS (SELECT *, CASE WHEN lag(ts_sec) OVER (PARTITION BY src_ip ORDER BY ts_sec) IS NULL
-                       OR ts_sec - lag(ts_sec) OVER (PARTITION BY src_ip ORDER BY ts_sec) > 30 THEN 1 ELSE 0 END AS new_s
-      FROM arr WHERE ts_sec IS NOT NULL AND (NOT late OR ts_sec + 30 > w_last)),
-g AS (SELECT *, sum(new_s) OVER (PARTITION BY src_ip ORDER BY ts_sec ROWS UNBOUNDED PRECEDING) AS sid FROM o)
-SELECT src_ip, min(ts_sec) AS session_start, max(ts_sec) + 30 AS session_end, count(*) AS events,
-       count(*) FILTER (WHERE is_failure) AS failures FROM g GROUP BY src_ip, sid HAVING max(ts_sec) + 30 <= any_value(w_end)""")
+c AS (SELECT src_ip, ts_sec, count(*) AS n, count(*) FILTER (WHERE is_failure) AS f, any_value(w_end) AS w_end
+      FROM arr WHERE ts_sec IS NOT NULL AND (NOT late OR ts_sec + 30 > w_last) GROUP BY src_ip, ts_sec),
+o AS (SELECT *, CASE WHEN ts_sec - lag(ts_sec) OVER (PARTITION BY src_ip ORDER BY ts_sec) <= 30 THEN 0 ELSE 1 END AS new_s FROM c),
+g AS (SELECT *, sum(new_s) OVER (PARTITION BY src_ip ORDER BY ts_sec) AS sid FROM o)
+SELECT src_ip, min(ts_sec) AS session_start, max(ts_sec) + 30 AS session_end, CAST(sum(n) AS BIGINT) AS events,
+       CAST(sum(f) AS BIGINT) AS failures FROM g GROUP BY src_ip, sid HAVING max(ts_sec) + 30 <= any_value(w_end)""")
 def q_stream_bursts(spark, sf_dir):
     """STM5: per-IP session windows (30 s gap) with failure counts, once the watermark has passed them."""
     return ST.run_available(ST.stream_bursts(_line_stream(spark, sf_dir)), "bursts")
