@@ -57,8 +57,8 @@ def documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def recurring(docs: DataFrame, stretches: Callable[[np.ndarray, np.ndarray], Iterator[Stretches]], name: str) -> tuple[DataFrame, DataFrame]:
-    """(places, kinds). Places: (block, anchor, name) of each stretch whose
-    anchor occurs twice or more. Kinds: each distinct (anchor, name) of them with its
+    """(places, kinds). Places: each (block, anchor, name) of stretches whose
+    anchor occurs twice or more, with their number ``n`` there. Kinds: each distinct (anchor, name) of them with its
     count ``n``, a ``home`` block that holds one, and ``mixed``: whether
     its anchor has other stretches too."""
 
@@ -70,10 +70,12 @@ def recurring(docs: DataFrame, stretches: Callable[[np.ndarray, np.ndarray], Ite
                     yield pa.RecordBatch.from_arrays([pa.array(block[lo:][s.rows[s.first]]), pa.array(A.signed(s.anchor)), pa.array(A.signed(s.name))], ["block", "anchor", "name"])
 
     found = stage(docs.select("block", "text").mapInArrow(work, "block int, anchor long, name long"), f"{name}-anchors")
-    # each side of a join is a table of its own: Spark can then split the tasks of a hot anchor
+    # each side of a join is a table of its own, and no join feeds a grouping by its
+    # keys: Spark can then split the tasks of a hot anchor
     often = stage(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), f"{name}-often")
-    places = stage(found.join(often, "anchor", "left_semi"), f"{name}-places")
-    kinds = stage(places.groupBy("anchor", "name").agg(F.count("*").alias("n"), F.min("block").alias("home")), f"{name}-kinds")
+    again = stage(found.join(often, "anchor", "left_semi"), f"{name}-again")
+    places = stage(again.groupBy("block", "anchor", "name").agg(F.count("*").alias("n")), f"{name}-places")
+    kinds = stage(places.groupBy("anchor", "name").agg(F.sum("n").alias("n"), F.min("block").alias("home")), f"{name}-kinds")
     mixed = stage(kinds.groupBy("anchor").agg(F.count("*").alias("names")).select("anchor", (F.col("names") > 1).alias("mixed")), f"{name}-mixed")
     return places, stage(kinds.join(mixed, "anchor"), f"{name}-mixed-kinds")
 

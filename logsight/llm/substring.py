@@ -158,9 +158,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     facts = [known(capped, _PASSAGE, "home", a="anchor", b="name", data="data"), known(anchors, _PHRASE, a="anchor")]
     told = stage(by_block(docs, facts, _confirm(window, gram), "block int, anchor long, phrase string, window long, n int"), "confirm")
     windows = told.filter("window is not null")
-    twice = windows.groupBy("window").agg(F.sum("n").alias("n")).filter("n > 1").select("window")
-    alone = windows.filter("n = 1").join(twice, "window", "left_semi").select("block", "anchor", "window").distinct()
-    sure = places.join(kinds.filter("n > 1").select("anchor", "name"), ["anchor", "name"], "left_semi").select("block", "anchor", "name").distinct()
+    twice = stage(windows.groupBy("window").agg(F.sum("n").alias("n")).filter("n > 1").select("window"), "repeated-windows")
+    alone = stage(windows.filter("n = 1").join(twice, "window", "left_semi").select("block", "anchor", "window"), "alone")
+    sure = stage(places.join(kinds.filter("n > 1").select("anchor", "name"), ["anchor", "name"], "left_semi").select("block", "anchor", "name"), "sure")
     confirmed = sure.select("block", "anchor").unionByName(alone.select("block", "anchor")).distinct()
     phrases = told.filter("phrase is not null").select("block", "anchor", "phrase").join(confirmed, ["block", "anchor"], "left_semi")
     facts = [known(sure, _PASSAGE, a="anchor", b="name"), known(alone, _WINDOW, b="window"), known(phrases, _PHRASE, a="anchor", text="phrase")]

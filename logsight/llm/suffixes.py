@@ -310,7 +310,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pairs = texts.withColumn("other", other).select(
         "bucket", F.least("shard", "other").alias("i"), F.greatest("shard", "other").alias("j"), "shard", "anchor", "name", "home", "n", "data")
     part = pairs.groupBy("bucket", "i", "j").applyInArrow(_search(window), "home int, anchor long, name long, data binary")
-    sure = places.join(kinds.filter("n > 1").select("anchor", "name"), ["anchor", "name"], "left_semi").select("block", "anchor", "name").distinct()
+    sure = places.join(kinds.filter("n > 1").select("anchor", "name"), ["anchor", "name"], "left_semi").select("block", "anchor", "name")
     facts = [known(sure, _SURE, a="anchor", b="name"), known(part, _PART, "home", a="anchor", b="name", data="data")]
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     return by_block(docs, facts, _remove(window, gram), schema).withColumnRenamed("id", id_col)
