@@ -297,17 +297,17 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     docs = documents(docs, id_col, text_col)
     places, kinds = recurring(docs, lambda data, offsets: (s for s, _ in _byte_stretches(data, offsets, window, gram)), "bytes")
-    open_ = kinds.filter("mixed")
-    texts = by_block(docs, [known(open_, _PART, "home", a="anchor", b="name")], _texts_of(window, gram), "anchor long, name long, data binary")
-    texts = stage(texts.join(open_, ["anchor", "name"]).select("anchor", "name", "home", "n", "data"), "stretches")
-    total = texts.agg(F.sum(F.length("data"))).first()[0] or 0
-    buckets = max(1, -(-2 * total // shard_bytes))
-    texts = texts.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
-    shards = texts.groupBy("bucket").agg(F.ceil(F.sum(F.length("data")) / shard_bytes).cast("int").alias("shards"))
-    texts = texts.join(shards, "bucket").withColumn("shard", F.pmod(F.xxhash64("name"), F.col("shards")).cast("int"))
+    # the shards are laid out before the texts move: a stretch is at most 2 window - gram bytes
+    open_ = kinds.filter("mixed").withColumn("most", F.lit(2 * window - gram))
+    buckets = max(1, -(-2 * open_.count() * (2 * window - gram) // shard_bytes))
+    open_ = open_.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
+    shards = stage(open_.groupBy("bucket").agg(F.ceil(F.sum("most") / shard_bytes).cast("int").alias("shards")), "bucket-shards")
+    laid = open_.join(shards, "bucket").withColumn("shard", F.pmod(F.xxhash64("name"), F.col("shards")).cast("int"))
+    laid = stage(laid.select("anchor", "name", "home", "n", "bucket", "shards", "shard"), "shard-plan")
+    texts = by_block(docs, [known(laid, _PART, "home", a="anchor", b="name")], _texts_of(window, gram), "anchor long, name long, data binary")
     # a shard alone, and with each other shard of its bucket
     other = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
-    pairs = texts.withColumn("other", other).select(
+    pairs = texts.join(laid, ["anchor", "name"]).withColumn("other", other).select(
         "bucket", F.least("shard", "other").alias("i"), F.greatest("shard", "other").alias("j"), "shard", "anchor", "name", "home", "n", "data")
     part = pairs.groupBy("bucket", "i", "j").applyInArrow(_search(window), "home int, anchor long, name long, data binary")
     sure = places.join(kinds.filter("n > 1").select("anchor", "name"), ["anchor", "name"], "left_semi").select("block", "anchor", "name")
