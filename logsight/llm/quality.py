@@ -19,7 +19,7 @@ from logsight.session import stage
 #: Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-_FACTS = "id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, sketch long, lines array<long>, words array<int>"
+_FACTS = "id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, digest long, lines array<long>, words array<int>"
 
 
 def _flags(text: str) -> np.ndarray:
@@ -70,19 +70,12 @@ def _measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     n_dup = np.bincount(l_row, minlength=n) - np.bincount(l_row[at], minlength=n)
     lines = A.Rolling(low).spans(first, stop)
 
-    # which document this is, whoever copied it: its least 3-word shingle
-    shingles = A.Rolling(low).windows(3)
-    sketch = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    if len(shingles):
-        inside = np.flatnonzero(rows[:len(shingles)] == rows[2:])
-        np.minimum.at(sketch, rows[inside], shingles[inside])
-    short = np.flatnonzero(np.bincount(rows, minlength=n) < 3)
-    if len(short):
-        few = np.isin(rows, short)
-        np.minimum.at(sketch, rows[few], low[few])
+    # which document this is, whoever copied it: all of its words
+    row = np.arange(n)
+    digest = A.Rolling(low).spans(np.searchsorted(rows, row), np.searchsorted(rows, row, "right"))
     return {
         "n_words": n_words, "word_chars": _per_row(chars, offsets), "n_symbols": _per_row(_flags(SYMBOLS)[data], offsets),
-        "n_dup_lines": n_dup, "n_repeat_words": np.bincount(rows[repeated], minlength=n), "sketch": A.signed(sketch),
+        "n_dup_lines": n_dup, "n_repeat_words": np.bincount(rows[repeated], minlength=n), "digest": A.signed(digest),
         "lines": (np.concatenate([[0], np.cumsum(np.bincount(l_row, minlength=n))]), A.signed(lines), (stop - first)),
     }
 
@@ -106,11 +99,11 @@ def _judge(
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
     facts = stage(source.mapInArrow(_facts, _FACTS), "quality")
     hosted = F.coalesce(F.col("host"), F.lit("")).alias("host")
-    lines = facts.select("id", hosted, "sketch", F.explode(F.arrays_zip("lines", "words")).alias("l"))
-    lines = lines.select("id", "host", "sketch", F.col("l.lines").alias("line"), F.col("l.words").alias("words"))
-    sizes = facts.groupBy(hosted).agg((F.count("*") * max_line_percent / 100).alias("share"))
+    lines = facts.select("id", hosted, "digest", F.explode(F.arrays_zip("lines", "words")).alias("l"))
+    lines = lines.select("id", "host", "digest", F.col("l.lines").alias("line"), F.col("l.words").alias("words"))
+    sizes = facts.select(hosted, "digest").distinct().groupBy("host").agg((F.count("*") * max_line_percent / 100).alias("share"))
     common = (
-        lines.groupBy("host", "line", "sketch").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("n_docs"))
+        lines.groupBy("host", "line", "digest").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("n_docs"))
         .filter(F.col("n_docs") > max_line_documents).join(sizes, "host").filter(F.col("n_docs") > F.col("share"))
     )
     common = stage(common.select("host", "line", "n_docs"), "common-lines")
@@ -119,7 +112,7 @@ def _judge(
     per_id = facts.groupBy("id").agg(F.count("*").alias("n_rows"))
     removed = hit.groupBy("id").agg(F.sum("words").alias("n_removed_words")).alias("r").join(per_id.alias("p"), F.expr("r.id <=> p.id"))
     removed = removed.select(F.col("r.id").alias("key"), (F.col("n_removed_words") / F.col("n_rows")).cast("long").alias("n_removed_words"))
-    rows = facts.drop("lines", "words", "sketch", "host").join(removed, F.expr("id <=> key"), "left").drop("key")
+    rows = facts.drop("lines", "words", "digest", "host").join(removed, F.expr("id <=> key"), "left").drop("key")
     rows = rows.withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     left = F.col("n_words") - F.col("n_removed_words")
@@ -137,9 +130,9 @@ def quality_rules(
     ``n_removed_words`` (words on lines over the limit) and ``kept``. A line is
     over the limit if more distinct documents of its host hold it than
     ``max_line_documents`` and than ``max_line_percent`` of the host's
-    documents. Copies count as one document: documents are told apart by
-    their least 3-word shingle, so a mirrored page does not make its own lines
-    boilerplate. A document is depleted, and rejected, if fewer than
+    distinct documents. Rows with the same words in the same order, letter
+    case and white space aside, are one document in both counts, so a mirrored
+    page does not make its own lines boilerplate. A document is depleted, and rejected, if fewer than
     ``min_kept_words`` words or ``min_kept_percent`` of its words remain.
 
     Null texts have no words and fail the base rule; a null host is one host,

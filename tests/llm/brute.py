@@ -79,6 +79,31 @@ def measures(text):
     return len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(repeat)
 
 
+def words_of(text):
+    return tuple("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w) for w in WORD.findall(text or ""))
+
+
+def line_rule(rows, min_words=20, max_repeat_percent=30, max_line_documents=10, max_line_percent=1.0, min_kept_percent=30, min_kept_words=10):
+    """From (id, host, text), ids unique: the lines over the limit by host, and
+    per row id, words removed, kept, text without those lines."""
+    seen, size = {}, {}
+    for _, host, text in rows:
+        size.setdefault(host or "", set()).add(words_of(text))
+        for line in (text or "").split("\n"):
+            if words_of(line):
+                seen.setdefault((host or "", words_of(line)), set()).add(words_of(text))
+    gone = {k for k, d in seen.items() if len(d) > max_line_documents and len(d) > len(size[k[0]]) * max_line_percent / 100}
+    out = []
+    for i, host, text in rows:
+        lines = (text or "").split("\n")
+        lost = [x for x in lines if (host or "", words_of(x)) in gone]
+        n, repeated, removed = measures(text)[0], measures(text)[4], sum(len(words_of(x)) for x in lost)
+        failed = n < min_words or 100 * repeated > max_repeat_percent * n
+        depleted = n - removed < min_kept_words or 100 * (n - removed) < min_kept_percent * n
+        out.append((i, removed, not failed and not depleted, "\n".join(x for x in lines if (host or "", words_of(x)) not in gone)))
+    return {k: len(seen[k]) for k in gone}, out
+
+
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 

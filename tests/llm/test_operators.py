@@ -156,6 +156,24 @@ def test_quality_line_frequency(spark):
     assert texts[3] == (rows[3][1].replace(line, "")[:-1], len(rows[3][1]) - len(line) - 1) and texts[40][0] == rows[40][1]
 
 
+def test_quality_templates(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choices(SYLLABLES, k=4))
+    shared = [" ".join(word() for _ in range(10)) for _ in range(10)]
+    rows = [(k, "hot", "\n".join([*shared[:5], " ".join(word() for _ in range(12)), *shared[5:]])) for k in range(60)]
+    rows += [(100 + k, "hot", rows[3][2].upper().replace(" ", "  ")) for k in range(30)]  # copies of one of them
+    rows += [(200 + k, ["", None][k % 2], " ".join(word() for _ in range(30)) + "\n" + shared[k % 3]) for k in range(34)]
+    rows += [(300 + k, "big", f"{shared[0]}\n" * (k < 12) + " ".join(word() for _ in range(30))) for k in range(1195)]
+    rows += [(2000 + k, "big", rows[200][2]) for k in range(200)] + [(3000, "hot", None), (3001, "hot", "")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)
+    over, want = brute.line_rule(rows)
+    assert sum(h == "hot" for h, _ in over) == 10 and not any(k for i, _, k, _ in want if i < 60)
+    verdicts, lines = quality.quality_rules(df)
+    assert listed(verdicts, "doc_id", "n_removed_words", "kept") == sorted((x[:3] for x in want), key=repr)
+    assert listed(lines, "host", "n_docs") == sorted(((h, n) for (h, _), n in over.items()), key=repr)
+    assert listed(quality.clean_documents(df), "doc_id", "text") == sorted(((i, t) for i, _, k, t in want if k), key=repr)
+
+
 def test_contamination(docs, spark):
     items = [(1, " ".join(brute.terms(PASSAGE)[5:30])), (2, "a b"), (3, None), (4, "... !"), (5, PASSAGE), (5, PASSAGE), (6, "zzz " + PASSAGE[:200])]
     bench = spark.createDataFrame(items, "item_id long, text string").unionByName(read_table(spark, SMOKE, "benchmark").select("item_id", "text"))
