@@ -251,6 +251,32 @@ def test_pii_model_on_held_out_documents(spark):
     assert judge.spans("On 2024-01-02 it was 12.5 percent of 1,200,300 units, see section 3.2.1")[1] == []
 
 
+def personal_rows(k):
+    return [f"Reach us by mail at ann{k}.lee@shop{k % 7}.example.org for an offer", f"The server at 10.{k}.7.{200 - k} did not answer", f"Call +49 (30) 5550-{1000 + 37 * k} after lunch"]
+
+
+def test_pii_rare_and_absent_kinds(spark):
+    clean = spark.range(20_000).select((F.col("id") + 1000).alias("doc_id"), F.expr("concat('In ', 1950 + id % 80, ' it cost ', id % 97, '.50 for 10', id, ' units, ', 1000000 + 7919 * id, ' in all')").alias("text"))
+    rows = [(3 * k + j, t) for k in range(24) for j, t in enumerate(personal_rows(k))]
+    docs = clean.unionByName(spark.createDataFrame(rows, "doc_id long, text string")).repartition(4)
+    with pytest.warns(UserWarning, match="card 0 and 0"):
+        judge = pii.fit_judge(docs)
+    assert judge.model is not None and judge.held_out["positives"]["card"] == (0, 0)
+    assert all(min(judge.held_out["positives"][k]) >= pii.LEAST for k in ("email", "ip", "phone"))
+    assert any(k == "email" for k, _, _ in judge.spans("Reach us by mail at jane (at) example (dot) org for an offer")[1])
+    assert judge.spans("In 1987 it cost 41.50 for 10311 units, 3462809 in all")[1] == []
+    with pytest.warns(UserWarning, match="only the base patterns count"):
+        assert pii.fit_judge(clean.limit(300)).model is None
+
+
+def test_pii_sample_is_bounded(spark):
+    x, y = pii._labelled(" ".join(t for k in range(2000) for t in personal_rows(k % 90)) + " 12.50.99" * 5000)
+    assert sum(y) >= 12 and len(x) == len(y) <= 300
+    copies = spark.createDataFrame([(k, personal_rows(k % 3)[0]) for k in range(300)], "doc_id long, text string").select(F.xxhash64("text").alias("key"), "text")
+    assert sorted(pii._sampled(copies, 600).values()) == [("email", 1), ("email", 2), ("email", 3)]
+    assert len(pii._sampled(copies, 16)) == 2
+
+
 def test_pii_redacts(docs):
     got = pii.redact(docs, length_col="n_chars")
     assert got.columns == docs.columns and got.count() == docs.count()
