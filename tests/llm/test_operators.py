@@ -221,6 +221,34 @@ def test_secret_structure():
     assert not secrets.scan(base64.b64encode(r.randbytes(200)).decode())
 
 
+def test_secret_joined_runs():
+    r = random.Random(21)
+    number = lambda n: der(2, bytes([1 + r.randrange(126)]) + r.randbytes(n - 1))
+    rsa = der(0x30, der(2, b"\0") + number(128) + der(2, b"\1\0\1") + b"".join(number(64) for _ in range(6)))
+    oid = lambda x: der(6, bytes.fromhex(x))
+    pkcs8 = der(0x30, der(2, b"\0") + der(0x30, oid("2a864886f70d010101") + der(5, b"")) + der(4, rsa))
+    small = der(0x30, der(2, b"\0") + der(0x30, oid("2b6570")) + der(4, der(4, r.randbytes(32))))
+    locked = der(0x30, der(0x30, oid("2a864886f70d01050d") + der(0x30, der(4, r.randbytes(8)) + der(2, b"\x08\0"))) + der(4, r.randbytes(64)))
+    text = lambda b: struct.pack(">I", len(b)) + b
+    ssh = b"openssh-key-v1\0" + text(b"none") + text(b"none") + text(b"") + struct.pack(">I", 1) + text(r.randbytes(51)) + text(r.randbytes(136))
+    digest = der(0x30, der(0x30, oid("608648016503040201") + der(5, b"")) + der(4, r.randbytes(32)))
+    whole = lambda shown, before="Key\n", after="\nEnd of file": [(k, a, b) for k, a, b in secrets.scan(before + shown + after) if k == "key"] == [("key", len(before), len(before) + len(shown))]
+    cut = lambda x, n, by: by.join(x[k:k + n] for k in range(0, len(x), n))
+    for key in (rsa, pkcs8, small, locked, ssh):
+        std, url, low = base64.b64encode(key).decode(), base64.urlsafe_b64encode(key).decode(), key.hex()
+        for shown in (std, std.rstrip("="), url, url.rstrip("="), *(cut(std, n, by) for n in (64, 76) for by in ("\n", "\r\n", "\\n", "\\r\\n", "\n  ")), cut(url, 64, "\n"), std.replace("/", "\\/")):
+            assert whole(shown) and whole(shown, 'x = "', '" for') and whole(shown, "k:\\n", "\\n"), shown
+        for shown in (low, low.upper(), cut(low, 64, "\n"), cut(low.upper(), 2, ":"), cut(low, 2, " "), cut(low, 2, ", 0x"), cut(low, 2, "\\x"), cut(cut(low, 2, ":"), 45, "\n    ")):
+            assert whole(shown, "see: ", " . or"), shown
+        assert not any(k == "key" for k, _, _ in secrets.scan(cut(std[:-8], 64, "\n") + " " + cut(low[:-4], 2, ":")))
+        kind = "ENCRYPTED PRIVATE KEY"
+        for body in (f"\n{cut(std, 64, chr(10))}\n", "\\n" + cut(std, 64, "\\n") + "\\n", "\\n" + cut(std.replace("/", "\\/"), 64, "\\n") + "\\n", '\\n" +\n  "' + cut(std, 64, '\\n" +\n  "') + '\\n" +\n  "', f"\nComment: a, b\n\n{cut(std, 64, chr(10))}\n"):
+            assert whole(f"-----BEGIN {kind}-----{body}-----END {kind}-----", '{"private_key": "', '\\n"}'), body
+    old = lambda n, iv: f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{iv}\n\n{base64.encodebytes(bytes(n)).decode()}-----END RSA PRIVATE KEY-----"
+    assert whole(old(608, "0F" * 16)) and not whole(old(607, "0F" * 16)) and not whole(old(608, "0F"))
+    assert not secrets.confirmed_spans(base64.b64encode(digest).decode())
+
+
 def test_pii_base(docs):
     want = []
     for i, t in plain(docs):
