@@ -227,3 +227,22 @@ def test_plain_table_by_suffix(spark, tmpdir_path):
     assert read_table_plain(spark, os.path.join(tmpdir_path, "t.parquet")).count() == 3
     p = _write(os.path.join(tmpdir_path, "t.csv"), 'a,b\n1,"x ""y"""\n')
     assert [tuple(r) for r in read_table_plain(spark, p).collect()] == [(1, 'x "y"')]
+
+
+def test_large_text_files_are_judged_in_splits(spark, tmpdir_path):
+    files = {"plain.csv": b"a,b\n1,2\n" * 900, "late nul.log": b"x y z\n" * 900 + b"\0", "n%20ä+b c.csv": b"\0" * 4000, "mark.csv": b"\xef\xbb\xbfa,b\n" * 2 + b"1,2\n" * 900,
+             "onlymark.csv": b"\xef\xbb\xbf", "mark2.csv": b"\xef\xbb\xbf" + b"a" * 4 + b"\n", "odd.csv": b"\x01\xe9\n" * 900, "cr.log": b"a\rb\r\n" * 900, "blank.csv": b" \r\n\0\n" * 900}
+    for name, data in files.items():
+        with open(f"{tmpdir_path}/{name}", "wb") as f:
+            f.write(data)
+    for mode in ("strict", "readable"):
+        judged = lambda **k: {r.path: (r.length, r.ext, r.admitted, r.reason) for r in check_files(spark, tmpdir_path, mode=mode, max_bytes=None, **k).collect()}
+        want = judged(head_bytes=1 << 20)  # each file as one value
+        assert len(want) == len(files) and len({v[3] for v in want.values()}) == 2
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1000)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 700)
+        try:
+            assert judged() == want
+        finally:
+            spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
