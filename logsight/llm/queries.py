@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logsight.llm import chat, decontaminate, packing, pii, quality, secrets, simhash, substring, suffixes, warc
+from logsight.llm import chat, decontaminate, packing, pii, quality, secrets, simhash, spelling, substring, suffixes, warc, whitening
 from logsight.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,37 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that recurring strings cover."""
     return suffixes.suffix_dedup(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query("op12_embedding_whitening")
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector on the first 32 components, whitened."""
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_spelling_variants", r"""with recursive tab as (select list(c order by i) as t from (
+    select i, list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i) as c from range(256) r(i))),
+r as (select doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as n
+  from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]{7,}')) as run from documents) group by all),
+h as (select run, n, xor(list_reduce(flatten(list_transform(string_split(coalesce(doc_id::varchar, '') || ':' || run, ''),
+    lambda x: case when unicode(x) < 128 then [unicode(x)::bigint] else [195, unicode(x)::bigint - 64] end)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) as h from r, tab),
+w as (select word, sum(n)::bigint as n from (
+    select case when h % 31 = 0 then run[:h % length(run)] || run[h % length(run) + 2:] else run end as word, n from h)
+  where length(word) >= 7 group by word having sum(n) >= 2),
+cut as (select word, n, k, word[:k] || word[k + 2:] as rest from (select *, unnest(range(length(word))) as k from w)),
+pairs as (
+  select a.word, b.word as other, b.n as other_n from cut a join cut b on a.k = b.k and a.rest = b.rest and a.word <> b.word
+  union select cut.word, w.word, w.n from cut join w on cut.rest = w.word
+  union select w.word, cut.word, cut.n from cut join w on cut.rest = w.word),
+best as (select word, count(*) as n_near, max(other_n) as top, min(other) filter (other_n = m) as form
+  from (select *, max(other_n) over (partition by word) as m from pairs) group by word),
+f as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when top >= 10 * w.n then form end as form, case when top >= 10 * w.n then top end as form_n
+  from w left join best using (word)),
+walk as (select word, form, form as root from f where form is not null
+  union all select walk.word, walk.form, f.form from walk join f on f.word = walk.root where f.form is not null),
+ends as (select walk.word, walk.root from walk join f on f.word = walk.root where f.form is null)
+select f.word, f.form, coalesce(ends.root, f.word) as root, f.n, f.n_near, f.form_n from f left join ends using (word)""")
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with its near words, its form and its root."""
+    return spelling.spelling_variants(read_table(spark, sf_dir, "documents"))

@@ -211,3 +211,54 @@ def first_fit_decreasing(lengths, capacity=2048):
         else:
             gaps[k] -= n
     return len(gaps)
+
+
+def spelling(rows, every=31, min_length=7, min_count=2, factor=10):
+    import zlib
+
+    seen = Counter()
+    for i, t in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            run = re.sub("[A-Z]+", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if every and h % every == 0:
+                run = run[:h % len(run)] + run[h % len(run) + 1:]
+            seen[run] += 1
+    words = {w: n for w, n in seen.items() if len(w) >= min_length and n >= min_count}
+
+    def near(a, b):
+        if len(a) > len(b):
+            a, b = b, a
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        return len(b) == len(a) + 1 and any(b[:k] + b[k + 1:] == a for k in range(len(b)))
+
+    around = {w: [x for x in words if abs(len(x) - len(w)) < 2 and near(w, x)] for w in words}
+    form = {}
+    for w, others in around.items():
+        best = min(others, key=lambda x: (-words[x], x), default=None)
+        if best is not None and words[best] >= factor * words[w]:
+            form[w] = best
+    out = []
+    for w, n in words.items():
+        root = w
+        while root in form:
+            root = form[root]
+        out.append((w, form.get(w), root, n, len(around[w]), words[form[w]] if w in form else None))
+    return out
+
+
+def whitening(rows, most=32):
+    """(id, deviation) of the usable rows, and their whitened matrix and shares."""
+    rows = [(i, v) for i, v in rows if v and all(c is not None and np.isfinite(c) for c in v)]
+    dims = max((len(v) for _, v in rows), default=0)
+    rows = [(i, v) for i, v in rows if len(v) == dims]
+    x = np.array([[int(np.floor(64 * float(c))) + 1000000 for c in v] for _, v in rows], object)
+    apart = len(x) * x - x.sum(axis=0)
+    centred = apart.astype(float) / len(x)
+    cov = centred.T @ centred / len(x)
+    values, vectors = np.linalg.eigh(cov)
+    values, vectors = values[::-1][:most], vectors[:, ::-1][:, :most]
+    live = values > values[0] * 1e-12
+    white = np.where(live, centred @ vectors / np.sqrt(np.where(live, values, 1)), 0)
+    return [(i, int(d)) for (i, _), d in zip(rows, (apart * apart).sum(axis=1))], white, np.where(live, values, 0) / np.trace(cov)
