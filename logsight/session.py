@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -72,9 +73,9 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
     """Write ``df`` as parquet under the shared checkpoint folder and read it
-    back: later passes scan the columnar copy (pruned, filter-pushed) instead
+    back (as ``schema``, if given): later passes scan the columnar copy (pruned, filter-pushed) instead
     of recomputing the upstream plan, and a lost executor only costs a
     re-read. Used where one expensive plan feeds several jobs."""
     spark = df.sparkSession
@@ -82,7 +83,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{base}/logsight-stage/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.parquet(path)
+    return (spark.read.schema(schema) if schema else spark.read).parquet(path)
 
 
 def drop_stages(spark: SparkSession) -> int:
