@@ -7,13 +7,15 @@ product of blocks, with the whitening matrix, projects every row.
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import pyarrow as pa
 from pyspark.mllib.common import callMLlibFunc
-from pyspark.mllib.linalg import DenseMatrix
-from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
-from pyspark.mllib.util import MLUtils
+from pyspark.mllib.linalg import DenseMatrix, MatrixUDT
+from pyspark.mllib.linalg.distributed import BlockMatrix
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DataType, LongType, StructField, StructType
 
 from logsight.session import stage
 
@@ -33,11 +35,10 @@ def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """Rows with dense numbers ``index`` from 0, staged: a block is a range of them.
-    Numbers follow the files of a staged table, so a lost task finds them again."""
+    """Rows with dense numbers ``index`` from 0: a block is a range of them. What
+    the numbers follow from is written once, so a lost task finds them again."""
     spark = rows.sparkSession
-    rows = stage(rows, "embeddings").withColumn("part", F.spark_partition_id()).withColumn("nth", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    rows = stage(rows, "embeddings-rows")
+    rows = stage(rows.withColumn("part", F.spark_partition_id()).withColumn("nth", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "embeddings")
     sizes = rows.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()  # one row per file split
     begin = np.cumsum([0, *(r.n for r in sizes)]).tolist()
     offsets = spark.createDataFrame([(r.part, b) for r, b in zip(sizes, begin)], "part int, begin long")
@@ -45,10 +46,43 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 
 def blocks(rows: DataFrame, n: int, dims: int) -> BlockMatrix:
-    """Blocks of rows of (index, vector): as many as spread the work, none over ``BLOCK_BYTES``."""
+    """Blocks of rows of (index, vector): as many as spread the work, none over ``BLOCK_BYTES``.
+
+    The blocks are put together from Arrow batches. ``IndexedRowMatrix.toBlockMatrix`` shuffles
+    an object for each entry instead, which took some hundred times as long.
+    """
     a_block = int(min(max(256, n // 2048), max(1, BLOCK_BYTES // (8 * dims))))
-    rows = MLUtils.convertVectorColumnsFromML(rows.select("index", array_to_vector("vector").alias("vector")), "vector")
-    return IndexedRowMatrix(rows, n, dims).toBlockMatrix(a_block, dims)
+    dealt = rows.select((F.col("index") / a_block).cast("int").alias("block"), "index", "vector").repartition("block").sortWithinPartitions("block", "index")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        at = None
+
+        def matrix() -> pa.RecordBatch:
+            values = pa.array(np.concatenate(held))
+            shape = [pa.array([1], pa.int8()), pa.array([len(values) // dims], pa.int32()), pa.array([dims], pa.int32()), pa.nulls(1, pa.list_(pa.int32())), pa.nulls(1, pa.list_(pa.int32())), pa.ListArray.from_arrays([0, len(values)], values), pa.array([True])]
+            place = pa.StructArray.from_arrays([pa.array([at], pa.int64()), pa.array([0], pa.int64())], ["_1", "_2"])
+            return pa.RecordBatch.from_arrays([place, pa.StructArray.from_arrays(shape, ["type", "numRows", "numCols", "colPtrs", "rowIndices", "values", "isTransposed"])], ["_1", "_2"])
+
+        for batch in batches:
+            block, vector = batch.column(0).to_numpy(), batch.column(2).flatten().to_numpy()
+            cuts = (np.flatnonzero(block[1:] != block[:-1]) + 1).tolist()
+            for a, b in zip([0, *cuts], [*cuts, len(block)]):
+                if a < b:
+                    if held and block[a] != at:
+                        yield matrix()
+                        held = []
+                    at = int(block[a])
+                    held.append(vector[a * dims:b * dims])
+        if held:
+            yield matrix()
+
+    def schema(matrix: DataType) -> StructType:
+        return StructType([StructField("_1", StructType([StructField("_1", LongType()), StructField("_2", LongType())])), StructField("_2", matrix)])
+
+    # Arrow knows the matrix type only by its fields; the reader of the written blocks takes it by name
+    made = stage(dealt.mapInArrow(work, schema(MatrixUDT.sqlType())), "embeddings-blocks", schema(MatrixUDT()))
+    return BlockMatrix(callMLlibFunc("createBlockMatrix", made, a_block, dims, n, dims), a_block, dims)
 
 
 def scatter(matrix: BlockMatrix) -> np.ndarray:
@@ -64,9 +98,19 @@ def project(spark: SparkSession, matrix: BlockMatrix, onto: np.ndarray) -> DataF
     """(index, vector): every row times ``onto``."""
     dims, k = onto.shape
     right = BlockMatrix(spark.sparkContext.parallelize([((0, 0), DenseMatrix(dims, k, onto.ravel(order="F").tolist()))], 1), dims, k)
-    product = matrix.multiply(right).toIndexedRowMatrix()
-    rows = callMLlibFunc("getIndexedRows", product._java_matrix_wrapper._java_model)
-    return rows.select("index", vector_to_array("vector").alias("vector"))
+    # the product's blocks are dealt to a grid of its own; one split keeps a block's row whole
+    found = callMLlibFunc("getMatrixBlocks", matrix.multiply(right)._java_matrix_wrapper._java_model)
+    a_block = matrix.rowsPerBlock
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for place, m in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows = m["numRows"].as_py()
+                values = np.asarray(m["values"].values).reshape((rows, k), order="C" if m["isTransposed"].as_py() else "F")
+                index = int(place["_1"]) * a_block + np.arange(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(index), pa.ListArray.from_arrays(np.arange(rows + 1, dtype=np.int32) * k, pa.array(values.ravel()))], ["index", "vector"])
+
+    return found.mapInArrow(work, "index long, vector array<double>")
 
 
 def components(covariance: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +150,7 @@ def whiten(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
     n, sums = each[0].n, F.lit(np.array([r.s for r in each], np.int64))
     # exact: whole numbers, divided last
     apart = F.zip_with("x", sums, lambda x, s: x * n - s)
-    data = stage(data.select("index", "id", apart.alias("apart")), "embeddings-apart")
+    data = data.select("index", "id", apart.alias("apart"))
     deviation = F.expr("CAST(aggregate(apart, CAST(0 AS DECIMAL(38, 0)), (a, x) -> CAST(a + CAST(x AS DECIMAL(19, 0)) * CAST(x AS DECIMAL(19, 0)) AS DECIMAL(38, 0))) AS LONG)")
     matrix = blocks(data.select("index", F.transform("apart", lambda x: x / n).alias("vector")), n, dims)
     covariance = scatter(matrix) / n
