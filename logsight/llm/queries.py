@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logsight.llm import chat, decontaminate, packing, pii, quality, secrets, simhash, spelling, substring, suffixes, warc, whitening
+from logsight.llm import chat, decontaminate, language, packing, pii, quality, secrets, simhash, spelling, substring, suffixes, warc, whitening
 from logsight.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,9 @@ select f.word, f.form, coalesce(ends.root, f.word) as root, f.n, f.n_near, f.for
 def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of the documents with its near words, its form and its root."""
     return spelling.spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
+@query("op11_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and score of every document, by a tagger that has not seen the held-out ones."""
+    return language.identify(read_table(spark, sf_dir, "documents")).drop("words")
