@@ -29,4 +29,5 @@ def load_all() -> None:
     from logsight.plans import queries_stats  # noqa: F401
     from logsight.plans import queries_misc  # noqa: F401
     from logsight.plans import queries_ml  # noqa: F401
+    from logsight.plans import queries_sources  # noqa: F401
     from logsight.plans import queries_stream  # noqa: F401

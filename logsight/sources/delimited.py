@@ -7,7 +7,7 @@ the separator (sniffed from the header, else ',', ';', tab: the first with at le
 fields) are one ``spark.read.csv`` with an all-string schema plus a trailing
 ``_overflow`` column: over-long rows (a value lands in ``_overflow``) are
 dropped, short rows come back null-padded, blank lines vanish, null markers
-become null.
+become null. Files with a quoted field over several lines are cut into records split by split (``records``).
 """
 from __future__ import annotations
 
@@ -17,11 +17,12 @@ import os
 from dataclasses import dataclass, field
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logsight import constants as C
 from logsight.functions.text import strip_ws
+from logsight.sources.records import SPLITTABLE, opens, read_records
 from logsight.sources.rowid import dense_row_id, with_row_key
 
 SEPARATORS = (",", ";", "\t")
@@ -65,10 +66,11 @@ def find_layouts(spark: SparkSession, paths: list[str], sep: str | None = None,
     the listing does. Empty files have no layout."""
     lines = with_row_key(spark.read.text(paths))
     worded = strip_ws(F.col("value")) != ""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    each = sorted({sep} if sep else {*SEPARATORS, "|"})
     facts = lines.groupBy("_file").agg(
         F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
-        F.bool_or(quotes % 2 == 1).alias("open_quote"),
+        # a line that leaves a quoted field open, by separator
+        *(F.bool_or(opens(F.col("value"), s)[0]).alias(f"open_{k}") for k, s in enumerate(each)),
         F.min_by(F.col("value").cast("binary"), F.when(worded, F.struct("_split", "_mono"))).alias("header"))
     groups: dict[Layout, Group] = {}
     for row in sorted(facts.collect(), key=lambda r: r["_file"]):
@@ -77,7 +79,7 @@ def find_layouts(spark: SparkSession, paths: list[str], sep: str | None = None,
         enc = encoding or ("UTF-8" if row["utf8"] else "ISO-8859-1")
         text = bytes(row["header"]).decode("latin-1" if enc == "ISO-8859-1" else enc, "replace").lstrip("\ufeff")
         found, fields = header_fields(text, sep)
-        layout = Layout(enc, found, tuple(unique_names(fields)), row["open_quote"] if multi_line is None else multi_line)
+        layout = Layout(enc, found, tuple(unique_names(fields)), bool(row[f"open_{each.index(found)}"]) if multi_line is None else multi_line)
         groups.setdefault(layout, Group(layout)).files.append(unquote(row["_file"]))
     return list(groups.values())
 
@@ -97,10 +99,20 @@ def unique_names(header: list[str]) -> list[str]:
     return out
 
 
-def read_group(spark: SparkSession, group: Group) -> DataFrame:
-    """The rows of files of one layout, keyed (``_file``, ``_split``, ``_mono``).
-    Only files with a quoted field over several lines are read unsplit."""
+def read_group(spark: SparkSession, group: Group, consecutive: bool = False) -> DataFrame:
+    """The rows of files of one layout, keyed (``_file``, ``_split``, ``_mono``);
+    with ``consecutive``, ``_mono`` counts the rows of a split without gaps.
+    Only files in an encoding of several bytes a character with quoted line breaks are read unsplit."""
     lay = group.layout
+    if lay.multi_line and lay.encoding.upper() in SPLITTABLE:
+        rows = read_records(spark, group.files, lay.separator, lay.encoding).filter(F.size("fields") <= len(lay.columns))
+        if consecutive:
+            # a split is a bounded number of rows
+            order = Window.partitionBy("_file", "_split").orderBy("_mono", "nth")
+            rows = rows.withColumn("_mono", F.row_number().over(order).cast("long"))
+        fields = [F.get("fields", F.lit(k)) for k in range(len(lay.columns))]
+        values = [F.when(~f.isin("", *C.NULL_MARKERS), f).alias(n) for f, n in zip(fields, lay.columns)]
+        return rows.select(*values, "_file", "_split", "_mono")
     schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in lay.columns) + ", `_overflow` string"
     df = (spark.read.option("header", True).option("enforceSchema", True).option("sep", lay.separator)
           .option("escape", '"').option("encoding", lay.encoding).option("mode", "PERMISSIVE")
@@ -128,9 +140,10 @@ def read_delimited(spark: SparkSession, paths: list[str] | str, sep: str | None
     groups = find_layouts(spark, paths, sep, encoding, multi_line)
     if not groups:
         raise ValueError(f"no lines under {paths}")
-    df = read_group(spark, groups[0])
+    dense = dense_ids or max_rows_per_file is not None
+    df = read_group(spark, groups[0], dense)
     for g in groups[1:]:
-        df = df.unionByName(read_group(spark, g), allowMissingColumns=True)
+        df = df.unionByName(read_group(spark, g, dense), allowMissingColumns=True)
     lay = groups[0].layout
     meta = {"encoding": lay.encoding, "separator": lay.separator, "columns": list(lay.columns),
             "layouts": [g.layout for g in groups], "files": [os.path.basename(f) for g in groups for f in g.files]}

@@ -40,7 +40,7 @@ def read_events(spark: SparkSession, paths: list[str], as_log: bool = False,
         elif ext == ".csv":
             layouts = find_layouts(spark, group)
             for g in layouts:
-                raw = numbered(read_group(spark, g), dense_ids)
+                raw = numbered(read_group(spark, g, consecutive=dense_ids), dense_ids)
                 df, found = to_canonical(raw)
                 parts.append(df)
                 meta.setdefault(ext, {"layouts": [g.layout for g in layouts], **found})
