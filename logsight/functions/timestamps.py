@@ -11,11 +11,12 @@ Routes, mutually exclusive, in this order:
 * no-year syslog ``Mon d hh:mm:ss`` -> ``assume_year`` (Feb 29 of a non-leap
   year is null);
 * apache ``d/Mon/yyyy:hh:mm:ss +zzzz`` -> offset honoured;
-* direct: a closed list of formats replaces free-form guessing:
+* direct: first the frequent formats, each with its own pattern:
   ISO-8601 date or date-time (``T`` or space, ``.``/``,`` fraction, optional
   ``Z``/``+hh:mm``/``+hhmm``/``+hh`` zone), and those of DIRECT_FORMATS, with
   a weekday before (``Fri, 14 Aug 2026 10:22:31 +0000``) or a zone after (``UTC``, ``GMT``, an
-  offset, a blank before it or not) where they have a time;
+  offset, a blank before it or not) where they have a time; all other texts go
+  through the token-class automaton of ``freeform``;
 * on request (``epoch_millis``) a number in [1e12, 1e14] is milliseconds.
 """
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsight import constants as C
+from logsight.functions.freeform import free_form_seconds
 from logsight.functions.text import _c, let, strip_ws
 
 ISO_DIRECT_RE = (r"^\d{4}-\d{1,2}-\d{1,2}(?:[T ]\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?)?"
@@ -116,7 +118,7 @@ def _normalise_stripped(text: Column, assume_year: int | None, epoch_millis: boo
     # "2026-08-14 10:22:31 UTC" and "... +0000" are ISO once the blank is gone
     iso = F.regexp_replace(F.regexp_replace(text, r"\s*(?:UTC|GMT)$", "Z"), r"\s+([+-]\d{2}:?\d{2})$", "$1")
     direct = F.when(F.substring(text, 5, 1) == "-", let(iso, lambda t: F.when(t.rlike(ISO_DIRECT_RE), _iso_seconds(t))))
-    direct = direct.otherwise(_direct(text))
+    direct = F.coalesce(direct.otherwise(_direct(text)), free_form_seconds(text, year))
     out = F.when(text == "", F.lit(None).cast("bigint"))
     if epoch_millis:
         out = out.when(num.between(1e12, 1e14), F.floor(num / 1000).cast("bigint"))

@@ -73,6 +73,58 @@ def q_timestamp_formats(spark, sf_dir):
     return with_ts_seconds(ev.select("row_id", raw.alias("ts_raw")), "ts_raw", "ts_sec", FIXTURE_YEAR)
 
 
+_FREE_FORMS = (  # (Spark pattern, strftime pattern, before, after, kept: seconds or a unit, seconds east, changed case)
+    ("EEEE, MMMM d, yyyy h:mm:ss a", "%A, %B %-d, %Y %-I:%M:%S %p", "", "", 1, 0, ""), ("MMMM d, yyyy HH:mm", "%B %-d, %Y %H:%M", "", "", 60, 0, ""),
+    ("d MMMM yyyy HH:mm:ss", "%-d %B %Y %H:%M:%S", "", "", 1, 0, ""), ("MMM d, yyyy", "%b %-d, %Y", "", "", "day", 0, ""),
+    ("d-MMM-yyyy HH:mm:ss", "%-d-%b-%Y %H:%M:%S", "", "", 1, 0, ""), ("d-MMM-yy", "%-d-%b-%y", "", "", "day", 0, ""),
+    ("yyyy.MM.dd HH:mm:ss", "%Y.%m.%d %H:%M:%S", "", "", 1, 0, ""), ("yyyyMMdd'T'HHmmss", "%Y%m%dT%H%M%S", "", "Z", 1, 0, ""),
+    ("yyyyMMddHHmmss", "%Y%m%d%H%M%S", "", "", 1, 0, ""), ("MM/dd/yy HH:mm", "%m/%d/%y %H:%M", "", "", 60, 0, ""),
+    ("yyyy-MM-dd'T'HH:mm", "%Y-%m-%dT%H:%M", "", "", 60, 0, "lower"), ("yyyy/M/d h:mm a", "%Y/%-m/%-d %-I:%M %p", "", "", 60, 0, "lower"),
+    ("yyyy MMM d HH:mm:ss", "%Y %b %-d %H:%M:%S", "", "", 1, 0, ""), ("EEE MMM d HH:mm:ss yyyy", "%a %b %-d %H:%M:%S %Y", "", "", 1, 0, ""),
+    ("EEE MMM d HH:mm:ss 'UTC' yyyy", "%a %b %-d %H:%M:%S UTC %Y", "", "", 1, 0, ""), ("MM.dd.yyyy", "%m.%d.%Y", "", "", "day", 0, ""),
+    ("h:mm a MMMM d yyyy", "%-I:%M %p %B %-d %Y", "", "", 60, 0, ""), ("MMM yyyy", "%b %Y", "", "", "month", 0, ""),
+    ("yyyy-MM", "%Y-%m", "", "", "month", 0, ""), ("yyyy", "%Y", "", "", "year", 0, ""),
+    ("MMMM d'th' yyyy", "%B %-dth %Y", "", "", "day", 0, ""), ("yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S", "", ".123", 1, 0, ""),
+    ("yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S", "  ", ",999", 1, 0, ""), ("HH:mm:ss yyyy-MM-dd", "%H:%M:%S %Y-%m-%d", "", "", 1, 0, ""),
+    ("yyyyMMdd HH:mm", "%Y%m%d %H:%M", "", "", 60, 0, ""), ("MMM d yyyy h a", "%b %-d %Y %-I %p", "", "", 3600, 0, ""),
+    ("yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S", "", " +05:30", 1, 19800, ""), ("yyyy/MM/dd HH:mm:ss", "%Y/%m/%d %H:%M:%S", "", " -0800", 1, -28800, ""),
+    ("d MMM yyyy HH:mm", "%-d %b %Y %H:%M", "", " GMT", 60, 0, ""), ("EEE, dd-MMM-yyyy HH:mm:ss", "%a, %d-%b-%Y %H:%M:%S", "", " GMT", 1, 0, ""),
+    ("MMMM d 'at' h:mm a, yyyy", "%B %-d at %-I:%M %p, %Y", "", "", 60, 0, ""), ("MM-dd-yyyy HH:mm:ss", "%m-%d-%Y %H:%M:%S", "", "", 1, 0, ""),
+    ("yyyy-MMM-dd", "%Y-%b-%d", "", "", "day", 0, ""), ("dd MMM yyyy", "%d %b %Y", "", "", "day", 0, "upper"),
+    ("M/d/yyyy, h:mm:ss a", "%-m/%-d/%Y, %-I:%M:%S %p", "", "", 1, 0, ""), ("yyyyMMdd'T'HHmm", "%Y%m%dT%H%M", "", "+01:00", 60, 3600, ""),
+    ("dd/MMM/yyyy HH:mm:ss", "%d/%b/%Y %H:%M:%S", "", "", 1, 0, ""), ("EEE d MMM yyyy hh:mm:ss a", "%a %-d %b %Y %I:%M:%S %p", "", " UTC", 1, 0, "upper"),
+    ("yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S", "x ", "", None, 0, ""), ("yyyy-MM-dd", "%Y-%m-%d", "", " 25:61", None, 0, ""),
+)
+
+
+def _free_form_sql() -> str:
+    def case(pick):
+        return f"CASE event_id % {len(_FREE_FORMS)} " + " ".join(f"WHEN {i} THEN {pick(*f)}" for i, f in enumerate(_FREE_FORMS)) + " END"
+
+    def written(_, fmt, before, after, kept, east, changed):
+        return f"{changed or ""}(concat({S.q(before)}, strftime(ts, {S.q(fmt)}), {S.q(after)}))"
+
+    def read(_, fmt, before, after, kept, east, changed):
+        if kept is None:
+            return "NULL"
+        if isinstance(kept, str):
+            return f"epoch(date_trunc('{kept}', ts))"
+        return f"floor(epoch(ts)) - floor(epoch(ts)) % {kept} - ({east})"
+
+    return f"SELECT event_id AS row_id, {case(written)} AS ts_raw, CAST({case(read)} AS BIGINT) AS ts_sec FROM events"
+
+
+@register("timestamp_free_form", _free_form_sql())
+def q_timestamp_free_form(spark, sf_dir):
+    """TS5: the event times written in some forty ways, two of them no times, read back by the token-class automaton."""
+    ev = read_table(spark, sf_dir, "events").selectExpr("event_id AS row_id", "CAST(ts AS TIMESTAMP_NTZ) AS ts")
+    raw = F.lit(None).cast("string")
+    for i, (fmt, _, before, after, _, _, changed) in enumerate(_FREE_FORMS):
+        text = F.concat(F.lit(before), F.date_format("ts", fmt), F.lit(after))
+        raw = F.when(F.col("row_id") % len(_FREE_FORMS) == i, {"lower": F.lower, "upper": F.upper, "": lambda x: x}[changed](text)).otherwise(raw)
+    return with_ts_seconds(ev.select("row_id", raw.alias("ts_raw")), "ts_raw", "ts_sec", FIXTURE_YEAR)
+
+
 @register("normalise_ts", f"""WITH {S.LINES_CTE},
 {S.parsed_cte()},
 n AS (SELECT row_id, ts_raw, {S.ts_seconds_sql('ts_raw', FIXTURE_YEAR)} AS ts_sec FROM parsed)
