@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logsight import constants as C
+from logsight.operators.quantiles import exact_quantiles
 from logsight.operators.severity import apply_confidence_floor
 
 WORD_PATTERN = r"(?U)\b\w\w+\b"
@@ -61,12 +62,13 @@ def text_stages(col: str = C.TEXT_FEATURE, word_min_df: float = 2, word_vocab: i
 def numeric_scale(df: DataFrame, features: list[str] = C.MODEL_NUMERIC_FEATURES) -> dict[str, tuple[float, float, float]]:
     """ML2: (median, mean, standard deviation) per feature, of the column after
     the median has filled its nulls; the deviation is the population's. A feature without
-    values is constant 0. One aggregate: mean and deviation follow from the sums."""
+    values is constant 0. Mean and deviation follow from one aggregate of sums, the
+    medians from ``exact_quantiles`` of all columns together."""
+    medians = exact_quantiles(df, list(features))
     x = {c: F.col(c).cast("double") for c in features}
     aggs = [F.count(F.lit(1)).alias("_n")]
     for c in features:
-        aggs += [F.count(x[c]).alias(f"{c}__n"), F.percentile(x[c], F.lit(0.5)).alias(f"{c}__med"),
-                 F.avg(x[c]).alias(f"{c}__avg"), F.var_pop(x[c]).alias(f"{c}__var")]
+        aggs += [F.count(x[c]).alias(f"{c}__n"), F.avg(x[c]).alias(f"{c}__avg"), F.var_pop(x[c]).alias(f"{c}__var")]
     row = df.agg(*aggs).first()
     out = {}
     for c in features:
@@ -74,7 +76,7 @@ def numeric_scale(df: DataFrame, features: list[str] = C.MODEL_NUMERIC_FEATURES)
         if not k:
             out[c] = (0.0, 0.0, 1.0)
             continue
-        med, avg, var = row[f"{c}__med"], row[f"{c}__avg"], row[f"{c}__var"]
+        med, avg, var = medians[c][0] or 0.0, row[f"{c}__avg"], row[f"{c}__var"]
         mean = (k * avg + (n - k) * med) / n
         spread = (k * (var + (avg - mean) ** 2) + (n - k) * (med - mean) ** 2) / n
         out[c] = (med, mean, spread ** 0.5 if spread > 1e-18 else 1.0)

@@ -14,7 +14,8 @@ from logsight.operators.evaluation import classification_report
 from logsight.plans import sql_blocks as S
 from logsight.plans.catalog import register
 from logsight.plans.inputs import FIXTURE_YEAR, clean_lines, parsed_lines
-from logsight.session import stage
+from logsight.operators.quantiles import exact_quantiles
+from logsight.session import read_table, stage
 from logsight.sources.fixtures import log_lines
 
 _CACHE: dict = {}
@@ -113,6 +114,21 @@ def q_scaled_numeric(spark, sf_dir):
     return out.select("row_id", *[F.round(f"_num_{c}", 5).alias(c) for c in _NUM])
 
 
+_QUARTILES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_orderkey", "shipped")
+
+
+@register("numeric_quantiles", "WITH l AS (SELECT *, epoch(l_shipdate::TIMESTAMP) AS shipped FROM lineitem) " + " UNION ALL ".join(
+    f"SELECT '{c}' AS field, " + ", ".join(f"round(quantile_cont(CAST({c} AS DOUBLE), {f}), 6) AS q{int(100 * f)}" for f in (0.01, 0.25, 0.5, 0.75, 0.99)) + " FROM l"
+    for c in _QUARTILES))
+def q_numeric_quantiles(spark, sf_dir):
+    """AGG9 / ML2: exact quantiles of many columns of the largest table together, by narrowing brackets."""
+    fractions = (0.01, 0.25, 0.5, 0.75, 0.99)
+    table = read_table(spark, sf_dir, "lineitem").withColumn("shipped", F.expr("unix_date(CAST(l_shipdate AS DATE)) * 86400.0D"))
+    found = exact_quantiles(table, list(_QUARTILES), fractions)
+    rows = [(c, *[None if q is None else round(q, 6) for q in found[c]]) for c in _QUARTILES]
+    return spark.createDataFrame(rows, "field string, " + ", ".join(f"q{int(100 * f)} double" for f in fractions))
+
+
 @register("split_counts", f"""WITH {S.LINES_CTE}
 SELECT label, count(*) - CAST(floor(count(*) * 0.2 + 0.5) AS BIGINT) AS train_rows,
        CAST(floor(count(*) * 0.2 + 0.5) AS BIGINT) AS test_rows FROM lines GROUP BY label""")
