@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logsight.llm import arrays as A
 from logsight.session import stage
@@ -132,25 +132,30 @@ def _hits(docs: DataFrame, prefixes: list[tuple[int, int, int, int]]) -> DataFra
                         a, b = max(int(first[r]), p - int(before[j])), min(int(first[r] + n[r]), p + int(after[j]))
                         words = [A.LOWER[data[starts[i]:ends[i]]].tobytes().decode() for i in range(a, b)]
                         found[r].append({"prefix": int(A.signed(table.keys)[j]), "place": p - int(first[r]), "start": a - int(first[r]), "words": words})
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(found, kind)], ["id", "n_words", "hits"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(found, kind)], ["id", "key", "n_words", "hits"])
 
-    return docs.select("id", "text").mapInArrow(work, "id long, n_words long, hits array<struct<prefix: long, place: long, start: long, words: array<string>>>")
+    return docs.select("id", "key", "text").mapInArrow(work, "id long, key string, n_words long, hits array<struct<prefix: long, place: long, start: long, words: array<string>>>")
+
+
+def _key(text_col: str) -> Column:
+    """A digest that tells texts apart; results follow from the text alone."""
+    return F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, window: int = 10, keys_at_once: int = 1 << 20,
 ) -> DataFrame:
-    """One row per document: n_words, n_hit, n_items, items_sha256, contaminated.
+    """One row per document: n_words, n_hit, n_items, items_sha256, contaminated, key (a digest of the text).
 
     An item of fewer than ``window`` words, but not none, is one window. Keys
     go to the tasks in blocks of at most ``keys_at_once`` (8 MB); a larger
     benchmark takes as many passes over the documents as it has blocks.
 
-    Null and empty texts have no words, items without words no windows; rows
-    that repeat an id or an item count once; an empty benchmark hits nothing,
+    Null and empty texts have no words, items without words no windows; each
+    row is judged by its own text, also where ids repeat or are null; items that repeat count once; an empty benchmark hits nothing,
     empty documents give an empty result; other columns are not read.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), _key(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     windows = stage(item_windows(benchmark, item_col, item_text_col, window), "item-windows")
     size = F.least(F.col("n"), F.lit(SHINGLE))
     shingles = windows.select("shingle", size.alias("size")).distinct()
@@ -174,26 +179,26 @@ def decontaminate(
         part = stage(_hits(docs, block), f"hits-{b}")
         first = first if first is not None else part
         rest = part if rest is None else rest.unionByName(part)
-    hits = rest.select("id", "n_words", F.explode("hits").alias("h")).select("id", "n_words", "h.*")
+    # what is found belongs to a text, whichever rows hold it
+    hits = rest.select("key", "n_words", F.explode("hits").alias("h")).select("key", "n_words", "h.*")
     placed = hits.join(chosen, "prefix").withColumn("begin", F.col("place") - F.col("at"))
     placed = placed.filter((F.col("begin") >= 0) & (F.col("begin") + F.col("n") <= F.col("n_words")))
     same = F.concat_ws(" ", F.slice("words", (F.col("begin") - F.col("start") + 1).cast("int"), F.col("n")))
-    found = stage(placed.filter(same == F.col("text")).select("id", "text", "begin", (F.col("begin") + F.col("n")).alias("end")).distinct(), "occurrences")
-
-    earlier = Window.partitionBy("id").orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, -1)
-    spans = found.select("id", "begin", "end").distinct().withColumn("seen", F.coalesce(F.max("end").over(earlier), F.lit(0)))
-    n_hit = spans.groupBy("id").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("begin", "seen"))).cast("long").alias("n_hit"))
-    items = found.select("id", "text").distinct().join(windows.select("item", "text").distinct(), "text").select("id", "item").distinct()
-    items = items.groupBy("id").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    rows = first.select("id", "n_words").join(n_hit.withColumnRenamed("id", "h_id"), F.expr("id <=> h_id"), "left")
-    rows = rows.join(items.withColumnRenamed("id", "i_id"), F.expr("id <=> i_id"), "left")
+    found = stage(placed.filter(same == F.col("text")).select("key", "text", "begin", (F.col("begin") + F.col("n")).alias("end")).distinct(), "occurrences")
+
+    earlier = Window.partitionBy("key").orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, -1)
+    spans = found.select("key", "begin", "end").distinct().withColumn("seen", F.coalesce(F.max("end").over(earlier), F.lit(0)))
+    n_hit = spans.groupBy("key").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("begin", "seen"))).cast("long").alias("n_hit"))
+    items = found.select("key", "text").distinct().join(windows.select("item", "text").distinct(), "text").select("key", "item").distinct()
+    items = items.groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    rows = first.select("id", "key", "n_words").join(n_hit, "key", "left").join(items, "key", "left")
     return rows.select(
         F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.greatest(F.coalesce(F.size("items"), F.lit(0)), F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce(F.concat_ws(",", "items"), F.lit("")), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"))
+        F.sha2(F.coalesce(F.concat_ws(",", "items"), F.lit("")), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"), "key")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
-    """``docs`` without those that hold a window of a benchmark item."""
+    """``docs`` without the rows whose text holds a window of a benchmark item."""
     found = decontaminate(docs, benchmark, id_col, text_col, **limits)
-    gone = found.filter("contaminated").select(F.col(id_col).alias("__id__")).distinct()
-    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["__id__"]), "left_anti")
+    gone = found.filter("contaminated").select(F.col("key").alias("__key__")).distinct()
+    return docs.join(gone, _key(text_col) == F.col("__key__"), "left_anti")

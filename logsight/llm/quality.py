@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from logsight.llm import arrays as A
 from logsight.session import stage
@@ -19,7 +19,12 @@ from logsight.session import stage
 #: Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-_FACTS = "id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, digest long, lines array<long>, words array<int>"
+_FACTS = "id long, host string, key string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, digest long, lines array<long>, words array<int>"
+
+
+def _key(text_col: str) -> Column:
+    """A digest that tells texts apart."""
+    return F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
 def _flags(text: str) -> np.ndarray:
@@ -87,20 +92,21 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, lines, words = got.pop("lines")
             at = pa.array(at, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *(pa.array(x, pa.int64()) for x in got.values()),
+                [*(batch.column(c).slice(lo, hi - lo) for c in range(3)), *(pa.array(x, pa.int64()) for x in got.values()),
                  pa.ListArray.from_arrays(at, pa.array(lines, pa.int64())), pa.ListArray.from_arrays(at, pa.array(words, pa.int32()))],
-                ["id", "host", *got, "lines", "words"])
+                ["id", "host", "key", *got, "lines", "words"])
 
 
 def _judge(
     docs: DataFrame, id_col: str, text_col: str, host_col: str, min_words: int, max_repeat_percent: int, max_line_documents: int, max_line_percent: float, min_kept_percent: int, min_kept_words: int,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(verdicts, frequent lines, the lines each document loses)."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
-    facts = stage(source.mapInArrow(_facts, _FACTS), "quality")
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(host_col).cast("string").alias("host"), _key(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
+    # written once, so that a row keeps its number: ids may repeat or be null
+    facts = stage(source.mapInArrow(_facts, _FACTS).withColumn("row", F.monotonically_increasing_id()), "quality")
     hosted = F.coalesce(F.col("host"), F.lit("")).alias("host")
-    lines = facts.select("id", hosted, "digest", F.explode(F.arrays_zip("lines", "words")).alias("l"))
-    lines = lines.select("id", "host", "digest", F.col("l.lines").alias("line"), F.col("l.words").alias("words"))
+    lines = facts.select("row", "key", hosted, "digest", F.explode(F.arrays_zip("lines", "words")).alias("l"))
+    lines = lines.select("row", "key", "host", "digest", F.col("l.lines").alias("line"), F.col("l.words").alias("words"))
     sizes = facts.select(hosted, "digest").distinct().groupBy("host").agg((F.count("*") * max_line_percent / 100).alias("share"))
     common = (
         lines.groupBy("host", "line", "digest").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("n_docs"))
@@ -108,11 +114,8 @@ def _judge(
     )
     common = stage(common.select("host", "line", "n_docs"), "common-lines")
     hit = lines.join(common.select("host", "line"), ["host", "line"])
-    # rows that repeat an id are measured together: each has its share of the words on frequent lines
-    per_id = facts.groupBy("id").agg(F.count("*").alias("n_rows"))
-    removed = hit.groupBy("id").agg(F.sum("words").alias("n_removed_words")).alias("r").join(per_id.alias("p"), F.expr("r.id <=> p.id"))
-    removed = removed.select(F.col("r.id").alias("key"), (F.col("n_removed_words") / F.col("n_rows")).cast("long").alias("n_removed_words"))
-    rows = facts.drop("lines", "words", "digest", "host").join(removed, F.expr("id <=> key"), "left").drop("key")
+    removed = hit.groupBy("row").agg(F.sum("words").alias("n_removed_words"))
+    rows = facts.drop("lines", "words", "digest").join(removed, "row", "left").drop("row")
     rows = rows.withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     left = F.col("n_words") - F.col("n_removed_words")
@@ -136,11 +139,12 @@ def quality_rules(
     ``min_kept_words`` words or ``min_kept_percent`` of its words remain.
 
     Null texts have no words and fail the base rule; a null host is one host,
-    together with the empty one; rows that repeat an id keep a verdict each; an empty
+    together with the empty one; each row is judged by its own text and host, also
+    where ids repeat or are null; an empty
     table gives an empty result; other columns are not read.
     """
     rows, common, _ = _judge(docs, id_col, text_col, host_col, min_words, max_repeat_percent, max_line_documents, max_line_percent, min_kept_percent, min_kept_words)
-    return rows.withColumnRenamed("id", id_col), common
+    return rows.drop("host", "key").withColumnRenamed("id", id_col), common
 
 
 def _without(text: str, gone: set[int]) -> str:
@@ -158,15 +162,16 @@ def _without(text: str, gone: set[int]) -> str:
 
 def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", length_col: str | None = None, **limits) -> DataFrame:
     """The documents that the rules keep, without their lines over the limit;
-    columns as in ``docs``, ``length_col`` set anew where lines went. Rows that
-    repeat an id stay if one of them passes."""
+    columns as in ``docs``, ``length_col`` set anew where lines went. Verdicts and lines
+    follow from a row's text and host, whatever its id."""
     defaults = dict(min_words=20, max_repeat_percent=30, max_line_documents=10, max_line_percent=1.0, min_kept_percent=30, min_kept_words=10)
     rows, _, hit = _judge(docs, id_col, text_col, host_col, **(defaults | limits))
-    gone = hit.groupBy("id").agg(F.collect_set("line").alias("gone")).withColumnRenamed("id", "key")
-    kept = rows.filter("kept").select("id").distinct().join(gone, F.expr("id <=> key"), "left").select(F.col("id").alias("__id__"), F.col("gone").alias("__gone__"))
-    kept = stage(kept, "kept")
+    gone = hit.groupBy("key", "host").agg(F.collect_set("line").alias("gone"))
+    kept = rows.filter("kept").select("key", F.coalesce("host", F.lit("")).alias("host")).distinct().join(gone, ["key", "host"], "left")
+    kept = stage(kept.select(F.col("key").alias("__key__"), F.col("host").alias("__host__"), F.col("gone").alias("__gone__")), "kept")
     at, size = docs.columns.index(text_col), docs.columns.index(length_col) if length_col else -1
-    both = docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["__id__"])).drop("__id__")
+    host = F.coalesce(docs[host_col].cast("string"), F.lit(""))
+    both = docs.join(kept, (_key(text_col) == kept["__key__"]) & (host == kept["__host__"])).drop("__key__", "__host__")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

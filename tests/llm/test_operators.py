@@ -183,6 +183,32 @@ def test_contamination(docs, spark):
     assert listed(decontaminate.decontaminate(docs, bench, keys_at_once=40), *columns) == want
 
 
+def test_rows_that_share_an_id(spark):
+    """Different texts under one id or none: each row is judged by itself."""
+    words = prose(40, 90).split()
+    window = " ".join(brute.terms(" ".join(words))[:10])
+    bench = spark.createDataFrame([(1, window)], "item_id long, text string")
+    texts = [window + " " + prose(30, 91), " ".join(prose(5, 92).split()[:5]) + " " + window + " " + prose(30, 93), prose(60, 94), prose(70, 95), None, "", prose(60, 94)]
+    rows = [(i, t) for i in (7, None) for t in texts]
+    df = table(spark, rows)
+    columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    want = brute.contamination(rows, [(1, window)])
+    assert {r[2] for r in want} == {0, 10}
+    assert listed(decontaminate.decontaminate(df, bench), *columns) == sorted(want, key=repr)
+    left = decontaminate.drop_contaminated(df, bench)
+    assert listed(left, "doc_id", "text") == sorted(((i, t) for (i, t), r in zip(rows, want) if not r[5]), key=repr)
+    # quality: one of the rows loses a line that the other has not
+    line = " ".join(prose(12, 96).split())
+    own = [f"{prose(50, 300 + k)}\n{line}" for k in range(14)] + [prose(55, 97), prose(56, 98), None, f"{line}\n{line}", f"{line}\n{line}"]
+    hosted = [(i, host, t) for i, host in ((3, "a"), (None, "b"), (None, None)) for t in own]
+    df = spark.createDataFrame(hosted, "doc_id long, source string, text string").repartition(3)
+    numbered = [(k, host, t) for k, (_, host, t) in enumerate(hosted)]
+    over, want = brute.line_rule(numbered)
+    assert over and len({r[1] for r in want}) > 2
+    assert listed(quality.quality_rules(df)[0], "doc_id", "n_removed_words", "kept") == sorted(((hosted[k][0], *r[1:3]) for k, r in enumerate(want)), key=repr)
+    assert listed(quality.clean_documents(df), "doc_id", "text") == sorted(((hosted[k][0], r[3]) for k, r in enumerate(want) if r[2]), key=repr)
+
+
 def test_secret_base(docs):
     want = []
     for i, t in plain(docs):
