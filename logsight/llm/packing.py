@@ -176,14 +176,14 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Only documents over ``capacity`` are cut. Pieces go to
-    ceil(pieces / ``shard_pieces``) shards by a hash of document, piece and
-    digest, so a shard is a bounded, even share whatever the documents; a
+    ceil(pieces / ``shard_pieces``) shards by a hash of their number in the written
+    pieces, so a shard is a bounded, even share whatever the documents and however often one comes; a
     shard this large packs to within a few parts in a thousand of the least
     possible. Null and empty texts are the closing id alone; a null id stays
     null; rows that repeat an id are documents of their own; an empty table
     gives an empty result; other columns are not read.
     """
-    cut = stage(token_pieces(docs, id_col, text_col, tokenizer_path, capacity), "pieces")
+    cut = stage(token_pieces(docs, id_col, text_col, tokenizer_path, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")
     shards = max(1, -(-cut.count() // shard_pieces))
 
     def work(table: pa.Table) -> pa.Table:
@@ -191,9 +191,9 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         lengths = table.column("length").to_numpy()
         _, where, offset = pack_shard(lengths, capacity)
         shard = table.column("shard")[0].as_py() if table.num_rows else 0
-        return table.drop_columns(["shard", "spread"]).append_column("sequence_id", pa.array((shard << 32) + where)).append_column("offset", pa.array(offset))
+        return table.drop_columns(["shard", "spread", "row"]).append_column("sequence_id", pa.array((shard << 32) + where)).append_column("offset", pa.array(offset))
 
-    spread = F.xxhash64("id", "piece", "ids_crc32")
+    spread = F.xxhash64("row")
     dealt = cut.withColumn("spread", spread).withColumn("shard", F.pmod("spread", F.lit(shards)).cast("long"))
     schema = "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     return dealt.groupBy("shard").applyInArrow(work, schema).withColumnRenamed("id", id_col)

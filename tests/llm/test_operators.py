@@ -359,6 +359,14 @@ def test_packing(docs):
             assert len(by) <= 1.05 * brute.first_fit_decreasing([w[3] for w in want]) + 1
 
 
+def test_equal_pieces_go_to_all_shards(spark):
+    docs = spark.createDataFrame([(None, "")] * 3000 + [(1, "the same words again")] * 1000, "doc_id long, text string")
+    shards = {}
+    for r in packing.pack_documents(docs, shard_pieces=100).collect():
+        shards[r.sequence_id >> 32] = shards.get(r.sequence_id >> 32, 0) + 1
+    assert sum(shards.values()) == 4000 and len(shards) == 40 and max(shards.values()) < 200
+
+
 def test_sum_of_squares_is_the_least_change():
     import numpy as np
 
