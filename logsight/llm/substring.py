@@ -3,8 +3,9 @@
 Passages that recur are confirmed first: candidate stretches by their
 anchors, then the windows of stretches that differ. The anchor phrases of a block's
 confirmed passages are compiled into that block's Aho-Corasick automaton, an
-automaton shard, and all documents of the block stream through it: each hit is an
-occurrence, and the words of its confirmed windows are removed.
+automaton shard, and all documents of the block stream through it. Its matches are the only places
+looked at: of each, the passage around it is hashed, and where that or a window of it is
+confirmed its words are removed.
 """
 from __future__ import annotations
 
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from logsight.llm import arrays as A
-from logsight.llm.recurring import Stretches, among, by_block, documents, join_name, known, longs, recurring
+from logsight.llm.recurring import Around, Stretches, among, by_block, documents, join_name, known, longs, recurring
 from logsight.session import stage
 
 WINDOW, GRAM = 35, 8
@@ -98,29 +99,29 @@ def _remove(window: int, gram: int):
         import ahocorasick
 
         passages = np.sort(join_name(longs(facts.get(_PASSAGE), "a"), longs(facts.get(_PASSAGE), "b")))
-        windows = np.sort(longs(facts.get(_WINDOW), "b"))
+        windows = np.sort(join_name(longs(facts.get(_WINDOW), "a"), longs(facts.get(_WINDOW), "b")))
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for phrase in (facts[_PHRASE].column("text").to_pylist() if _PHRASE in facts else ()):
             automaton.add_word(phrase, 1)
         automaton.make_automaton()
 
         def cover(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-            s, hashes = _word_stretches(data, offsets, window, gram)
+            starts, ends, rows = A.runs(data, offsets, A.WORD_BYTES)
+            hashes = A.hash_runs(data, starts, ends)
             edge = np.zeros(len(hashes) + 1, np.int64)
-            if len(automaton) and len(s.at):
-                ends = np.fromiter((end for end, _ in automaton.iter(_symbols(hashes))), np.int64)
-                hit = np.zeros(len(hashes), bool)
-                hit[(ends + 1) // _LETTERS - gram] = True
-                hit = hit[s.at]
-                sure = hit & among(join_name(s.anchor, s.name), passages)
+            if len(automaton) and len(hashes) >= window:
+                found = np.fromiter((end for end, _ in automaton.iter(_symbols(hashes))), np.int64)
+                rolling = A.Rolling(hashes)
+                s = Around(rolling, rows, (found + 1) // _LETTERS - gram, window, gram)
+                sure = among(join_name(s.anchor, s.name), passages)
                 np.add.at(edge, s.first[sure], 1)
                 np.add.at(edge, s.last[sure] + window, -1)
-                part = np.flatnonzero(hit & ~sure)
+                part = np.flatnonzero(~sure)
                 size = s.last[part] - s.first[part] + 1
-                starts = np.repeat(s.first[part] - np.cumsum(size) + size, size) + np.arange(size.sum())
-                starts = starts[among(s.rolling.spans(starts, starts + window), windows)]
-                np.add.at(edge, starts, 1)
-                np.add.at(edge, starts + window, -1)
+                at = np.repeat(s.first[part] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                at = at[among(join_name(np.repeat(s.anchor[part], size), rolling.spans(at, at + window)), windows)]
+                np.add.at(edge, at, 1)
+                np.add.at(edge, at + window, -1)
             return np.cumsum(edge)[:-1] == 0
 
         def do(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -148,9 +149,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null, empty and short texts have no windows and lose nothing; rows that
     repeat an id are documents of their own, and repeat each other's windows;
     an empty table gives an empty result; other columns are not read. Words are compared by 64-bit
-    hashes of the whole window, and the anchor phrase by the automaton too.
+    hashes of the whole window and of its anchor, whose phrase the automaton has found.
     """
-    docs = documents(docs, id_col, text_col)
+    docs = documents(docs, id_col, text_col, "words")
     places, kinds = recurring(docs, lambda data, offsets: iter([_word_stretches(data, offsets, window, gram)[0]]), "words")
     # windows of stretches that share an anchor and differ: equal windows may be in both
     capped = kinds.filter("mixed").withColumn("data", F.unhex(F.when(F.col("n") > 1, "02").otherwise("01")))
@@ -158,11 +159,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     facts = [known(capped, _PASSAGE, "home", a="anchor", b="name", data="data"), known(anchors, _PHRASE, a="anchor")]
     told = stage(by_block(docs, facts, _confirm(window, gram), "block int, anchor long, phrase string, window long, n int"), "confirm")
     windows = told.filter("window is not null")
-    twice = stage(windows.groupBy("window").agg(F.sum("n").alias("n")).filter("n > 1").select("window"), "repeated-windows")
-    alone = stage(windows.filter("n = 1").join(twice, "window", "left_semi").select("block", "anchor", "window"), "alone")
+    twice = stage(windows.groupBy("anchor", "window").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor", "window"), "repeated-windows")
+    alone = stage(windows.filter("n = 1").join(twice, ["anchor", "window"], "left_semi").select("block", "anchor", "window"), "alone")
     sure = stage(places.join(kinds.filter("n > 1").select("anchor", "name"), ["anchor", "name"], "left_semi").select("block", "anchor", "name"), "sure")
     confirmed = sure.select("block", "anchor").unionByName(alone.select("block", "anchor")).distinct()
     phrases = told.filter("phrase is not null").select("block", "anchor", "phrase").join(confirmed, ["block", "anchor"], "left_semi")
-    facts = [known(sure, _PASSAGE, a="anchor", b="name"), known(alone, _WINDOW, b="window"), known(phrases, _PHRASE, a="anchor", text="phrase")]
+    facts = [known(sure, _PASSAGE, a="anchor", b="name"), known(alone, _WINDOW, a="anchor", b="window"), known(phrases, _PHRASE, a="anchor", text="phrase")]
     schema = "id long, n_words long, n_removed long, kept_sha256 string, kept string"
     return by_block(docs, facts, _remove(window, gram), schema).withColumnRenamed("id", id_col)

@@ -1,10 +1,11 @@
 """Suffix-array dedup of bytes.
 
-Stretches of text whose anchors recur are the candidates; equal stretches are
-one with a count. Stretches that share an anchor but differ go to shards: each
-shard sorts its suffixes by Larsson-Sadakane refinement, takes common prefixes
-by Kasai's recurrence, and marks the windows that have an equal neighbour. Where
-the stretches of one bucket of anchors need several shards, every two of them
+Stretches of text that recur in part are the candidates: those that share
+the bytes all their windows have in common. Of a stretch that occurs once a copy goes to a
+shard, of one that recurs two copies from different places, so that nothing is removed which a suffix
+array has not found twice. Each shard sorts its suffixes by Larsson-Sadakane refinement, takes common
+prefixes by Kasai's recurrence, and marks the windows that have an equal neighbour. Where
+the stretches of one bucket need several shards, every two of them
 are merged by binary search of one's windows in the other's suffix array.
 """
 from __future__ import annotations
@@ -17,11 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from logsight.llm import arrays as A
-from logsight.llm.recurring import Stretches, among, by_block, documents, join_name, known, longs, recurring
+from logsight.llm.recurring import Stretches, among, by_block, documents, join_name, known, longs, partitions_of, recurring
 from logsight.session import stage
 
 WINDOW, GRAM = 400, 32
-_SURE, _PART = 0, 1
+#: Parts of a window that the anchor's place is told apart by.
+PARTS = 2
+_PART = 0
+_FIRST, _SECOND = 1, 2
 PIECE_BYTES = 1 << 20
 SHARD_BYTES = 4 << 20
 #: Ends a stretch in a shard's text; no byte of UTF-8.
@@ -192,62 +196,69 @@ def _byte_stretches(data: np.ndarray, offsets: np.ndarray, window: int, gram: in
     text comes in pieces that overlap by a window less one byte, so each window is in one piece."""
     if len(data) <= 2 * PIECE_BYTES:
         rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        yield Stretches(data, rows, window, gram), 0
+        yield Stretches(data, rows, window, gram, PARTS), 0
         return
     for row, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
         for at in range(a, b, PIECE_BYTES):
             part = data[at:min(at + PIECE_BYTES + window - 1, b)]
-            yield Stretches(part, np.full(len(part), row), window, gram), at
+            yield Stretches(part, np.full(len(part), row), window, gram, PARTS), at
 
 
 def _texts_of(window: int, gram: int):
-    """Facts: stretches that a block is home to. Rows: each with its bytes."""
+    """Facts: stretches of which the block gives the first copy, the second one
+    or both. Rows: each copy with its bytes."""
 
     def use(block: int, facts: dict[int, pa.Table]):
-        names = np.sort(join_name(longs(facts.get(_PART), "a"), longs(facts.get(_PART), "b")))
-        told = np.zeros(len(names), bool)
+        look = facts.get(_PART)
+        names = join_name(longs(look, "a"), longs(look, "b"))
+        order = np.argsort(names)
+        names = names[order]
+        due = np.frombuffer(b"".join(look.column("data").to_pylist()), np.uint8)[order] if look is not None else np.zeros(0, np.uint8)
 
         def do(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for _, _, data, offsets in A.texts(batch, "text"):
                 for s, base in _byte_stretches(data, offsets, window, gram):
                     mine = join_name(s.anchor, s.name)
                     at = np.flatnonzero(among(mine, names))
-                    _, first = np.unique(mine[at], return_index=True)
-                    at = at[first]
                     k = np.searchsorted(names, mine[at])
-                    at, k = at[~told[k]], k[~told[k]]
-                    told[k] = True
-                    texts = [data[base + a:base + b].tobytes() for a, b in zip(s.first[at].tolist(), (s.last[at] + window).tolist())]
-                    yield pa.RecordBatch.from_arrays([pa.array(A.signed(s.anchor[at])), pa.array(A.signed(s.name[at])), pa.array(texts, pa.binary())], ["anchor", "name", "data"])
+                    for copy in (_FIRST, _SECOND):
+                        open_ = np.flatnonzero(due[k] & copy)
+                        _, first = np.unique(k[open_], return_index=True)
+                        take = open_[first]
+                        due[k[take]] -= copy
+                        given = at[take]
+                        at, k = np.delete(at, take), np.delete(k, take)
+                        texts = [data[base + a:base + b].tobytes() for a, b in zip(s.first[given].tolist(), (s.last[given] + window).tolist())]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(A.signed(s.anchor[given])), pa.array(A.signed(s.name[given])), pa.array(np.full(len(given), copy, np.int32)), pa.array(texts, pa.binary())],
+                            ["anchor", "name", "copy", "data"])
         return do
     return use
 
 
 def _remove(window: int, gram: int):
-    """Facts: stretches that recur whole, and covered ranges of others. Rows: one per document."""
+    """Facts: covered ranges of stretches. Rows: one per document."""
 
     def use(block: int, facts: dict[int, pa.Table]):
-        sure = np.sort(join_name(longs(facts.get(_SURE), "a"), longs(facts.get(_SURE), "b")))
-        part = join_name(longs(facts.get(_PART), "a"), longs(facts.get(_PART), "b"))
-        order = np.argsort(part)
-        part = part[order]
-        data_of = facts[_PART].column("data") if _PART in facts else None
+        names = join_name(longs(facts.get(_PART), "a"), longs(facts.get(_PART), "b"))
+        order = np.argsort(names)
+        names = names[order]
+        ranges = facts[_PART].column("data").take(pa.array(order)).to_pylist() if _PART in facts else []
+        pairs = np.frombuffer(b"".join(ranges), "<i4").reshape(-1, 2)
+        upto = np.concatenate([[0], np.cumsum([len(r) // 8 for r in ranges], dtype=np.int64)])
 
         def do(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for lo, hi, data, offsets in A.texts(batch, "text"):
                 edge = np.zeros(len(data) + 1, np.int32)
                 for s, base in _byte_stretches(data, offsets, window, gram):
                     mine = join_name(s.anchor, s.name)
-                    whole = np.flatnonzero(among(mine, sure))
-                    np.add.at(edge, base + s.first[whole], 1)
-                    np.add.at(edge, base + s.last[whole] + window, -1)
-                    some = np.flatnonzero(among(mine, part))
-                    a, b = np.searchsorted(part, mine[some]), np.searchsorted(part, mine[some], "right")
-                    for k, i, j in zip(some.tolist(), a.tolist(), b.tolist()):
-                        for r in order[i:j].tolist():
-                            pairs = np.frombuffer(data_of[r].as_py(), "<i4").reshape(-1, 2) + (base + int(s.first[k]))
-                            np.add.at(edge, pairs[:, 0], 1)
-                            np.add.at(edge, pairs[:, 1], -1)
+                    some = np.flatnonzero(among(mine, names))
+                    a, b = upto[np.searchsorted(names, mine[some])], upto[np.searchsorted(names, mine[some], "right")]
+                    size = b - a
+                    at = np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())
+                    start = np.repeat(base + s.first[some], size)
+                    np.add.at(edge, start + pairs[at, 0], 1)
+                    np.add.at(edge, start + pairs[at, 1], -1)
                 gone = np.cumsum(edge)[:-1] > 0
                 out = []
                 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
@@ -264,10 +275,10 @@ def _remove(window: int, gram: int):
 
 def _search(window: int):
     def work(table: pa.Table) -> pa.Table:
-        out = pa.schema([("home", pa.int32()), ("anchor", pa.int64()), ("name", pa.int64()), ("data", pa.binary())])
+        out = pa.schema([("home", pa.int32()), ("n", pa.int64()), ("anchor", pa.int64()), ("name", pa.int64()), ("data", pa.binary())])
         if not table.num_rows:
             return out.empty_table()
-        table = table.sort_by([("shard", "ascending"), ("anchor", "ascending"), ("name", "ascending")])
+        table = table.sort_by([("shard", "ascending"), ("anchor", "ascending"), ("name", "ascending"), ("copy", "ascending")])
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         texts = table.column("data").to_pylist()
         if i == j:
@@ -276,11 +287,11 @@ def _search(window: int):
             cut = int((table.column("shard").to_numpy() == i).sum())
             flags = np.concatenate(repeated_across(texts[:cut], texts[cut:], window))
         ends = np.cumsum([len(t) + 1 for t in texts])
-        alone = np.flatnonzero(table.column("n").to_numpy() == 1)
-        found = [(k, _ranges(flags[ends[k] - len(texts[k]) - 1:ends[k] - 1], window)) for k in alone.tolist()]
+        first = np.flatnonzero(table.column("copy").to_numpy() == _FIRST)
+        found = [(k, _ranges(flags[ends[k] - len(texts[k]) - 1:ends[k] - 1], window)) for k in first.tolist()]
         found = [(k, r) for k, r in found if r]
         rows = table.take(pa.array([k for k, _ in found], pa.int64()))
-        return pa.table([rows.column("home"), rows.column("anchor"), rows.column("name"), pa.array([r for _, r in found], pa.binary())], schema=out)
+        return pa.table([rows.column("home"), rows.column("n"), rows.column("anchor"), rows.column("name"), pa.array([r for _, r in found], pa.binary())], schema=out)
     return work
 
 
@@ -295,22 +306,29 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     result; other columns are not read. A shard holds about ``shard_bytes``; a
     bucket whose anchors have more is split, and its shards merged two by two.
     """
-    docs = documents(docs, id_col, text_col)
+    docs = documents(docs, id_col, text_col, "bytes")
     places, kinds = recurring(docs, lambda data, offsets: (s for s, _ in _byte_stretches(data, offsets, window, gram)), "bytes")
-    open_ = kinds.filter("mixed")
-    texts = by_block(docs, [known(open_, _PART, "home", a="anchor", b="name")], _texts_of(window, gram), "anchor long, name long, data binary")
-    texts = stage(texts.join(open_, ["anchor", "name"]).select("anchor", "name", "home", "n", "data"), "stretches")
+    open_ = kinds.filter("mixed or n > 1")
+    both = (F.col("n") > 1) & (F.col("home") == F.col("other"))
+    copies = [known(open_.withColumn("data", F.unhex(F.when(both, "03").otherwise("01"))), _PART, "home", a="anchor", b="name", data="data"),
+              known(open_.filter("home <> other").withColumn("data", F.unhex(F.lit("02"))), _PART, "other", a="anchor", b="name", data="data")]
+    texts = stage(by_block(docs, copies, _texts_of(window, gram), "anchor long, name long, copy int, data binary"), "copies")
     total = texts.agg(F.sum(F.length("data"))).first()[0] or 0
     buckets = max(1, -(-2 * total // shard_bytes))
-    texts = texts.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
-    shards = texts.groupBy("bucket").agg(F.ceil(F.sum(F.length("data")) / shard_bytes).cast("int").alias("shards"))
-    texts = texts.join(shards, "bucket").withColumn("shard", F.pmod(F.xxhash64("name"), F.col("shards")).cast("int"))
-    # a shard alone, and with each other shard of its bucket
-    other = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
+    bucket = F.pmod(F.xxhash64("anchor"), F.lit(buckets))
+    # the few buckets over a shard: a table as small as its file, so Spark sees whether it can be broadcast
+    large = stage(texts.groupBy(bucket.alias("bucket")).agg(F.ceil(F.sum(F.length("data")) / shard_bytes).cast("int").alias("shards")).filter("shards > 1"), "large-buckets")
+    texts = texts.join(open_.select("anchor", "name", "home", "n"), ["anchor", "name"]).withColumn("bucket", bucket)
+    texts = texts.join(large, "bucket", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
+    texts = texts.withColumn("shard", F.pmod(F.xxhash64("name"), F.col("shards")).cast("int"))
+    # a shard alone, and the first copies with those of each other shard of its bucket
+    other = F.explode(F.when(F.col("copy") == _FIRST, F.sequence(F.lit(0), F.col("shards") - 1)).otherwise(F.array("shard")))
     pairs = texts.withColumn("other", other).select(
-        "bucket", F.least("shard", "other").alias("i"), F.greatest("shard", "other").alias("j"), "shard", "anchor", "name", "home", "n", "data")
-    part = pairs.groupBy("bucket", "i", "j").applyInArrow(_search(window), "home int, anchor long, name long, data binary")
-    sure = places.join(kinds.filter("n > 1").select("anchor", "name"), ["anchor", "name"], "left_semi").select("block", "anchor", "name")
-    facts = [known(sure, _SURE, a="anchor", b="name"), known(part, _PART, "home", a="anchor", b="name", data="data")]
+        "bucket", F.least("shard", "other").alias("i"), F.greatest("shard", "other").alias("j"), "shard", "anchor", "name", "home", "n", "copy", "data")
+    # each merge is dealt by itself: no grouping rides on a join's partitioning by bucket
+    dealt = pairs.repartition(partitions_of(docs), "bucket", "i", "j")
+    part = stage(dealt.groupBy("bucket", "i", "j").applyInArrow(_search(window), "home int, n long, anchor long, name long, data binary"), "covered")
+    again = part.filter("n > 1").select("anchor", "name", "data").join(places.select("anchor", "name", "block"), ["anchor", "name"])
+    facts = [known(part.filter("n = 1"), _PART, "home", a="anchor", b="name", data="data"), known(again, _PART, a="anchor", b="name", data="data")]
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     return by_block(docs, facts, _remove(window, gram), schema).withColumnRenamed("id", id_col)
