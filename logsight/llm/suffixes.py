@@ -43,8 +43,8 @@ def packed(text: np.ndarray) -> np.ndarray:
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Suffixes in order: sorted by eight bytes, then groups that still tie are
-    split by the rank of the suffix that starts where the known prefix ends,
-    which doubles each time, until none is left: Kasai's recurrence needs the full order."""
+    split by the rank of the suffix that starts where the known prefix ends (and of the next one), so that
+    the prefix doubles or triples each time, until none is left: Kasai's recurrence needs the full order."""
     n = len(text)
     if not n:
         return np.zeros(0, np.int64)
@@ -52,26 +52,48 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     order = np.argsort(keys)
     ordered = keys[order]
     new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    rank = np.zeros(n + 1, np.int64)  # of a group: the place of its first member, from 1; past the end 0
+    rank = np.zeros(n + 1, np.int32)  # of a group: the place of its first member, from 1; past the end 0
     place = np.flatnonzero(new)
     size = np.diff(np.append(place, n))
     rank[order] = np.repeat(place, size) + 1
     tied = np.flatnonzero(np.repeat(size, size) > 1)
-    step = 8
+    order = order.astype(np.int32)
+    step, bits = 8, n.bit_length()
     while len(tied):
         at = order[tied]
         group = rank[at]
-        key = (group.astype(np.uint64) << np.uint64(32)) | rank[np.minimum(at + step, n)].astype(np.uint64)
-        by = np.argsort(key)
-        at, key = at[by], key[by]
-        order[tied] = at
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        first = np.flatnonzero(new)
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         size = np.diff(np.append(first, len(at)))
-        rank[at] = np.repeat(tied[first], size) + 1
-        tied = tied[np.repeat(size, size) > 1]
-        step *= 2
-    return order
+        after = rank[np.minimum(at + np.int32(step), n)].astype(np.uint64)
+        twice = 2 * bits + len(first).bit_length() <= 64  # the ranks one and two prefixes on fit one key
+        if twice:
+            after = (after << np.uint64(bits)) | rank[np.minimum(at + np.int32(2 * step), n)].astype(np.uint64)
+        # a group of two needs no sort: its members are put in order by one comparison
+        two = first[size == 2]
+        x, y = after[two], after[two + 1]
+        swap, apart = two[x > y], two[x != y]
+        at[swap], at[swap + 1] = at[swap + 1], at[swap]
+        new_rank = group.copy()
+        new_rank[apart + 1] += 1
+        still = np.zeros(len(at), bool)
+        same = two[x == y]
+        still[same] = still[same + 1] = True
+        rest = np.flatnonzero(np.repeat(size, size) > 2)
+        if len(rest):
+            groups = np.repeat(np.arange(len(first), dtype=np.uint64), size)[rest]
+            key = (groups << np.uint64(bits * (1 + twice))) | after[rest]
+            by = np.argsort(key)
+            key = key[by]
+            at[rest] = at[rest[by]]
+            head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(head, len(rest)))
+            new_rank[rest] = np.repeat(tied[rest[head]], size) + 1
+            still[rest] = np.repeat(size, size) > 1
+        order[tied] = at
+        rank[at] = new_rank
+        tied = tied[still]
+        step *= 2 + twice
+    return order.astype(np.int64)
 
 
 def _extend(keys: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray, most: int) -> np.ndarray:
@@ -100,7 +122,7 @@ def _extend(keys: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray,
     return np.minimum(length, most)
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, most: int, width: int = 64) -> np.ndarray:
+def common_prefixes(text: np.ndarray, order: np.ndarray, most: int, width: int = 32) -> np.ndarray:
     """Kasai: of each suffix and the one before it in ``order``, the common
     prefix up to ``most``. Walking on by one position loses one byte at most, so
     only new bytes are compared. Lanes of ``width`` positions are walked side by side."""
@@ -303,8 +325,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null texts are empty; short texts lose nothing; rows that repeat an id are
     documents of their own, and repeat each other's strings; an empty table gives an empty
-    result; other columns are not read. A shard holds about ``shard_bytes``; a
-    bucket whose anchors have more is split, and its shards merged two by two.
+    result; other columns are not read. A bucket holds a quarter of ``shard_bytes`` on
+    average, which sorts in a processor's cache; one that has more than ``shard_bytes`` is split, and its shards merged two by two.
     """
     docs = documents(docs, id_col, text_col, "bytes")
     places, kinds = recurring(docs, lambda data, offsets: (s for s, _ in _byte_stretches(data, offsets, window, gram)), "bytes")
@@ -314,7 +336,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
               known(open_.filter("home <> other").withColumn("data", F.unhex(F.lit("02"))), _PART, "other", a="anchor", b="name", data="data")]
     texts = stage(by_block(docs, copies, _texts_of(window, gram), "anchor long, name long, copy int, data binary"), "copies")
     total = texts.agg(F.sum(F.length("data"))).first()[0] or 0
-    buckets = max(1, -(-2 * total // shard_bytes))
+    buckets = max(1, -(-4 * total // shard_bytes))
     bucket = F.pmod(F.xxhash64("anchor"), F.lit(buckets))
     # the few buckets over a shard: a table as small as its file, so Spark sees whether it can be broadcast
     large = stage(texts.groupBy(bucket.alias("bucket")).agg(F.ceil(F.sum(F.length("data")) / shard_bytes).cast("int").alias("shards")).filter("shards > 1"), "large-buckets")
