@@ -2,32 +2,37 @@
 
 Feature plan (one ``Pipeline``): word 1+2-gram counts (tokens of two or more
 word characters) and character 3-5-grams inside space-padded words, each
-through ``CountVectorizer`` (minDF; the vocabulary size is an option) -> inverse
-document frequency ln((n+1)/(df+1)) + 1 -> L2 ``Normalizer``; twelve numeric
+through ``CountVectorizer`` (minDF; the vocabulary size is an option) -> term
+frequency 1 + ln(tf) (``SublinearTF``) -> inverse document frequency ln((n+1)/(df+1)) + 1 -> L2 ``Normalizer``; twelve numeric
 behavioural features filled with their median and scaled by the population's
 deviation; everything assembled into one vector for a multinomial
 ``LogisticRegression`` (``regParam = 1 / (C * n)`` matches an
 inverse-regularisation strength ``C``). n-grams are built with SQL
 higher-order functions, so no Python runs per row.
 
-The classifier's term frequency is raw: Spark ML has no transformer for 1 + ln tf
-on sparse vectors; ``tfidf_weights`` has the weights with it, as rows.
+``tfidf_weights`` has the weights of the word block as rows, computed by joins;
+``vector_terms`` reads the same rows back from the fitted model's vectors.
 """
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import keyword_only
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import (IDF, PCA, CountVectorizer, ElementwiseProduct, HashingTF, IndexToString, NGram,
                                 Normalizer, RegexTokenizer, SQLTransformer, StandardScaler, StringIndexer,
                                 VectorAssembler)
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from logsight import constants as C
 from logsight.operators.quantiles import exact_quantiles
 from logsight.operators.severity import apply_confidence_floor
+from logsight.session import stage
 
 WORD_PATTERN = r"(?U)\b\w\w+\b"
 
@@ -42,6 +47,25 @@ def char_wb_expr(col: str = "event_clean", lo: int = 3, hi: int = 5) -> str:
             f"ELSE array() END))))")
 
 
+class SublinearTF(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Term frequencies tf -> 1 + ln(tf) on a vector column; sparse vectors stay sparse.
+
+    Built-in functions only. None of them makes a vector of its parts, so the
+    parts pass through JSON, whose reader does (and which keeps doubles exact).
+    A null vector stays null, an absent term (0) stays 0."""
+
+    @keyword_only
+    def __init__(self, *, inputCol: str | None = None, outputCol: str | None = None):
+        super().__init__()
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        parts = F.unwrap_udt(F.col(self.getInputCol()))
+        weights = F.transform(parts["values"], lambda tf: F.when(tf > 0, 1 + F.log(tf)).otherwise(F.lit(0.0)))
+        text = F.to_json(F.struct(F.when(parts.isNotNull(), parts.withField("values", weights)).alias("v")))
+        return dataset.withColumn(self.getOutputCol(), F.from_json(text, StructType([StructField("v", VectorUDT())]))["v"])
+
+
 def text_stages(col: str = C.TEXT_FEATURE, word_min_df: float = 2, word_vocab: int = 20000,
                 char_min_df: float = 3, char_vocab: int = 15000) -> list:
     """ML1: word and char_wb TF-IDF blocks, L2-normalised."""
@@ -51,10 +75,12 @@ def text_stages(col: str = C.TEXT_FEATURE, word_min_df: float = 2, word_vocab: i
         SQLTransformer(statement=f"SELECT *, concat(_words, _bigrams) AS _word_terms, "
                                  f"{char_wb_expr(col)} AS _char_terms FROM __THIS__"),
         CountVectorizer(inputCol="_word_terms", outputCol="_word_tf", minDF=word_min_df, vocabSize=word_vocab),
-        IDF(inputCol="_word_tf", outputCol="_word_tfidf"),
+        SublinearTF(inputCol="_word_tf", outputCol="_word_ltf"),
+        IDF(inputCol="_word_ltf", outputCol="_word_tfidf"),
         Normalizer(inputCol="_word_tfidf", outputCol="word_features", p=2.0),
         CountVectorizer(inputCol="_char_terms", outputCol="_char_tf", minDF=char_min_df, vocabSize=char_vocab),
-        IDF(inputCol="_char_tf", outputCol="_char_tfidf"),
+        SublinearTF(inputCol="_char_tf", outputCol="_char_ltf"),
+        IDF(inputCol="_char_ltf", outputCol="_char_tfidf"),
         Normalizer(inputCol="_char_tfidf", outputCol="char_features", p=2.0),
     ]
 
@@ -100,7 +126,6 @@ def tfidf_weights(df: DataFrame, text: str = C.TEXT_FEATURE, id_col: str = "row_
     pairs = F.when(F.size("_w") > 1, F.transform(F.sequence(F.lit(1), F.size("_w") - 1), lambda i: F.concat_ws(
         " ", F.element_at("_w", i), F.element_at("_w", i + 1)))).otherwise(F.array().cast("array<string>"))
     terms = rows.select(id_col, F.explode(F.concat(F.col("_w"), pairs, F.array(F.lit("")))).alias("term"))
-    from logsight.session import stage
     tf = stage(terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")), "term-counts")
     df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = df_.filter("term = ''").agg(F.coalesce(F.max("df"), F.lit(0))).first()[0]
@@ -132,7 +157,6 @@ def stratified_split(df: DataFrame, label: str = "label_original", test_fraction
 
     The rows are numbered by (class, hash) in range partitions, so a class that holds a third of
     the rows is many partitions; the class sizes are a handful of counts."""
-    from logsight.session import stage
     from logsight.sources.rowid import dense_numbers
     name = F.coalesce(F.col(label), F.lit("")).alias("_label")
     keys = stage(df.select("row_id", name, F.xxhash64(F.col("row_id"), F.lit(seed)).alias("_u")), "split")
@@ -156,15 +180,29 @@ def train(df: DataFrame, label: str = "label_original", inverse_reg: float = 5.0
           max_iter: int = 2000) -> PipelineModel:
     """ML5: fit the pipeline. The count of the rows sets the regularisation."""
     stages = build_pipeline(df.count(), numeric_scale(df), inverse_reg, max_iter, label).getStages()
-    # the n-gram stages are pure transformers: materialise their output once so
-    # the vocabulary, IDF and solver passes do not rebuild it
-    n_prep = 4  # indexer + tokenizer + bigrams + n-gram SQL
     indexer = stages[0].fit(df)
-    prep = PipelineModel([indexer] + stages[1:n_prep])
-    from logsight.session import stage
-    tokens = stage(prep.transform(df), "train-terms")
-    fitted, data = [], tokens
-    for st in stages[n_prep:]:
+    text, tokens = _fit_text(stages[1:-1], indexer.transform(df))
+    # the solver and its summary read the finished vectors, not the chain that makes them
+    vectors = stage(PipelineModel(text[N_PREP:]).transform(tokens).select("label_idx", "features"), "train-vectors")
+    return PipelineModel([indexer] + text + [stages[-1].fit(_indexed(vectors, indexer))])
+
+
+#: Stages of ``text_stages`` that only make n-grams: tokenizer, bigrams, n-gram SQL.
+N_PREP = 3
+
+
+def _indexed(vectors: DataFrame, indexer) -> DataFrame:
+    """The label column with the indexer's labels in its metadata, which a written table may not keep."""
+    meta = {"ml_attr": {"vals": list(indexer.labels), "type": "nominal", "name": "label_idx"}}
+    return vectors.withColumn("label_idx", F.col("label_idx").alias("label_idx", metadata=meta))
+
+
+def _fit_text(stages: list, df: DataFrame) -> tuple[list, DataFrame]:
+    """Fit ``text_stages`` (and the stages behind them) one by one. The n-grams are written once,
+    so the vocabulary and frequency passes do not rebuild them. Returns the fitted stages and the written n-grams."""
+    tokens = stage(PipelineModel(stages[:N_PREP]).transform(df), "train-terms")
+    fitted, data = list(stages[:N_PREP]), tokens
+    for st in stages[N_PREP:]:
         if isinstance(st, IDF):
             # inverse document frequency ln((n + 1) / (df + 1)) + 1
             idf = st.fit(data).idf
@@ -174,7 +212,29 @@ def train(df: DataFrame, label: str = "label_original", inverse_reg: float = 5.0
             model = st.fit(data) if hasattr(st, "fit") else st
         fitted.append(model)
         data = model.transform(data)
-    return PipelineModel([indexer] + stages[1:n_prep] + fitted)
+    return fitted, tokens
+
+
+def fit_word_block(df: DataFrame, word_min_df: float = 2, word_vocab: int = 20000) -> PipelineModel:
+    """ML1: the word block of the classifier alone, fitted."""
+    block = [st for st in text_stages(word_min_df=word_min_df, word_vocab=word_vocab)
+             if not (st.hasParam("outputCol") and st.getOrDefault("outputCol").startswith(("_char", "char")))]
+    return PipelineModel(_fit_text(block, df)[0])
+
+
+def vector_terms(model: PipelineModel, df: DataFrame, id_col: str = "row_id") -> DataFrame:
+    """(row, term, weight): the entries of the word vectors that ``model`` gives the rows of ``df``, by the
+    fitted vocabulary (whose size is a bound of the model, so it is broadcast)."""
+    words = next(st for st in model.stages if st.hasParam("vocabSize") and st.getOrDefault("outputCol") == "_word_tf")
+    last = next(k for k, st in enumerate(model.stages) if st.hasParam("outputCol")
+                and st.isDefined("outputCol") and st.getOrDefault("outputCol") == "word_features")
+    first = next(k for k, st in enumerate(model.stages) if isinstance(st, RegexTokenizer))
+    rows = PipelineModel(model.stages[first:last + 1]).transform(df)
+    parts = F.unwrap_udt(F.col("word_features"))
+    entries = rows.select(id_col, F.explode(F.arrays_zip(parts["indices"].alias("i"), parts["values"].alias("x"))).alias("e"))
+    names = df.sparkSession.createDataFrame(list(enumerate(words.vocabulary)), "i int, term string")
+    return (entries.select(id_col, F.col("e.i").alias("i"), F.col("e.x").alias("weight"))
+                   .join(F.broadcast(names), "i").select(id_col, "term", "weight"))
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:

@@ -82,7 +82,7 @@ def q_tfidf_terms(spark, sf_dir):
     return out.select("term", "df", F.round(F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)), 6).alias("idf"))
 
 
-@register("tfidf_weights", f"""WITH {S.clean_events_cte(FIXTURE_YEAR)},
+_WEIGHTS_SQL = f"""WITH {S.clean_events_cte(FIXTURE_YEAR)},
 tok AS (SELECT row_id, regexp_extract_all(lower(event_clean), '\\b\\w\\w+\\b', 0) AS t FROM clean
         WHERE length(event_clean) > 0),
 terms AS (SELECT row_id, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])))
@@ -90,13 +90,25 @@ terms AS (SELECT row_id, unnest(list_concat(t, list_transform(range(1, len(t)),
 tf AS (SELECT row_id, term, count(*) AS tf FROM terms GROUP BY ALL),
 d AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2),
 x AS (SELECT row_id, term, (1 + ln(tf)) * (ln((1.0 + (SELECT count(*) FROM tok)) / (1.0 + df)) + 1) AS x FROM tf JOIN d USING (term))
-SELECT row_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY row_id)), 6) AS weight FROM x""")
+SELECT row_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY row_id)), 6) AS weight FROM x"""
+
+
+@register("tfidf_weights", _WEIGHTS_SQL)
 def q_tfidf_weights(spark, sf_dir):
     """ML1: sublinear, smoothed and normalised weights of every row's terms."""
     out = M.tfidf_weights(clean_lines(spark, sf_dir, with_features=False))
     return out.select("row_id", "term", F.round("weight", 6).alias("weight"))
 
 
+@register("model_text_vectors", _WEIGHTS_SQL)
+def q_model_text_vectors(spark, sf_dir):
+    """ML1 / ML3: the word vectors that the fitted pipeline gives every row, read back as (row, term, weight);
+    the vocabulary is wide enough here for all terms of the lines."""
+    rows = stage(M.trainable_rows(clean_lines(spark, sf_dir, with_features=False)).select("row_id", C.TEXT_FEATURE), "texts")
+    out = M.vector_terms(M.fit_word_block(rows, word_vocab=1 << 20), rows)
+    return out.select("row_id", "term", F.round("weight", 6).alias("weight"))
+
+
 _NUM = ("dst_port", "bytes", "ip_event_count", "ip_rate_1min", "ip_fail_ratio", "event_length")
 
 

@@ -63,3 +63,37 @@ def test_absent_model_is_named(spark, tmpdir_path):
     from logsight.operators import model as M
     with pytest.raises(FileNotFoundError):
         M.load_model(tmpdir_path + "/none")
+
+
+def test_sublinear_vectors_equal_plain_weights(spark):
+    """The fitted word block against plain Python: 1 + ln tf, smoothed inverse frequency, rows of length 1."""
+    import math
+    import re
+    from collections import Counter
+    from logsight.operators import model as M
+    texts = ["fail fail fail login root", "login root", "", "fail login", "x", "root root login fail port"]
+    df = spark.createDataFrame(list(enumerate(texts)), f"row_id long, {C.TEXT_FEATURE} string")
+    grams = []
+    for t in texts:
+        w = re.findall(r"\b\w\w+\b", t)
+        grams.append(Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:])]))
+    n_of = Counter(g for c in grams for g in c)
+    want = {}
+    for i, c in enumerate(grams):
+        x = {g: (1 + math.log(n)) * (math.log((1 + len(texts)) / (1 + n_of[g])) + 1) for g, n in c.items() if n_of[g] >= 2}
+        size = math.sqrt(sum(v * v for v in x.values()))
+        want |= {(i, g): round(v / size, 9) for g, v in x.items()}
+    got = {(r["row_id"], r["term"]): round(r["weight"], 9) for r in M.vector_terms(M.fit_word_block(df), df).collect()}
+    assert got == want and max(len(c) for c in grams) > 3
+
+
+def test_sublinear_of_null_dense_and_sparse_vectors(spark):
+    import math
+    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.sql.types import StructField, StructType
+    from logsight.operators import model as M
+    rows = [(Vectors.sparse(4, [1, 3], [1.0, 5.0]),), (Vectors.dense([0.0, 2.0]),), (Vectors.sparse(4, [], []),), (None,)]
+    df = spark.createDataFrame(rows, StructType([StructField("tf", VectorUDT())]))
+    out = [r["w"] for r in M.SublinearTF(inputCol="tf", outputCol="w").transform(df).collect()]
+    assert out == [Vectors.sparse(4, [1, 3], [1.0, 1 + math.log(5)]), Vectors.dense([0.0, 1 + math.log(2)]),
+                   Vectors.sparse(4, [], []), None]
