@@ -37,9 +37,12 @@ def filter_detections(df: DataFrame, category: str | None = None, severity: str
     return out
 
 
-def sort_keys(key: str = "severity", ascending: bool = False) -> list[Column]:
-    """SRT1 sort keys; ties always end on row_id ascending. Unknown key: row_id only."""
+def sort_keys(key: str = "severity", ascending: bool = False, backwards: bool = False) -> list[Column]:
+    """SRT1 sort keys; ties always end on row_id ascending. Unknown key: row_id only.
+    ``backwards`` gives the same order read from its end."""
     def d(c):
+        if backwards:
+            return c.desc_nulls_first() if ascending else c.asc_nulls_first()
         return c.asc_nulls_last() if ascending else c.desc_nulls_last()
     if key == "severity":
         keys = [d(severity_rank("severity")), d(F.col("confidence"))]
@@ -53,7 +56,11 @@ def sort_keys(key: str = "severity", ascending: bool = False) -> list[Column]:
         keys = [d(F.col("predicted_category"))]
     else:
         keys = []
-    return keys + [F.col("row_id").asc()]
+    return keys + [F.col("row_id").desc() if backwards else F.col("row_id").asc()]
+
+
+#: Pages this near to either end are a top-k of at most so many rows.
+END_ROWS = 10_000
 
 
 def page(df: DataFrame, key: str = "severity", ascending: bool = False, page_no: int = 1,
@@ -61,9 +68,9 @@ def page(df: DataFrame, key: str = "severity", ascending: bool = False, page_no:
     """WIN5: one page of the sorted detections with total / page / last_page.
     The page number is clamped to [1, last_page]; ``pos`` is the 1-based rank.
 
-    The filtered rows are staged once. The first page is a bounded top-k; a
-    later one numbers the rows in range partitions (a count per partition,
-    no global sort in one task) and reads those of the page."""
+    The filtered rows are staged once. A page among the first or last ``END_ROWS`` rows is a
+    bounded top-k of the order or of the reversed order; one between them numbers the rows in
+    range partitions (a count per partition, no global sort in one task) and reads those of the page."""
     shown = stage(df.select("row_id", "ts_sec", "src_ip", "username", "predicted_category", "severity", "confidence",
                             "event"), "detections")
     total = shown.count()
@@ -71,9 +78,15 @@ def page(df: DataFrame, key: str = "severity", ascending: bool = False, page_no:
     p = min(max(1, int(page_no or 1)), last_page)
     start = (p - 1) * per_page
     keys = sort_keys(key, ascending)
-    if start == 0:
-        # the window spans one page (<= per_page rows)
-        chunk = shown.orderBy(*keys).limit(per_page).withColumn("pos", F.row_number().over(Window.orderBy(*keys)))
+    # the windows span a top-k of at most END_ROWS rows (or one page, if that is larger)
+    if start + per_page <= max(END_ROWS, per_page):
+        ranked = shown.orderBy(*keys).limit(start + per_page).withColumn("pos", F.row_number().over(Window.orderBy(*keys)))
+        chunk = ranked.filter(F.col("pos") > start)
+    elif total - start <= max(END_ROWS, per_page):
+        back = sort_keys(key, ascending, backwards=True)
+        ranked = shown.orderBy(*back).limit(total - start).withColumn(
+            "pos", F.lit(total + 1) - F.row_number().over(Window.orderBy(*back)))
+        chunk = ranked.filter(F.col("pos") <= start + per_page)
     else:
         chunk = dense_numbers(shown, keys, "pos").filter(F.col("pos").between(start + 1, start + per_page))
     return chunk.select(

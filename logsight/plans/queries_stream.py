@@ -7,6 +7,7 @@ SQL twins state the watermark rule: what comes behind the watermark is dropped,
 window is emitted once the watermark has passed its end."""
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import functions as F
@@ -25,23 +26,26 @@ def _stage_dir(spark, name):
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/logsight-stage/{name}-{uuid.uuid4().hex}"
 
 
-SLICES, FILES, DELAY, LATE = 4, 2, 600, 97  # deliveries, files of each, watermark in seconds, every n-th early row is late
+SLICES, DELAY, LATE = 4, 600, 97  # deliveries, watermark in seconds, every n-th early row is late
+FILES, FILE_ROWS = 2, 250_000  # files of a delivery: two at least, more as its rows grow
 
 
 def _deliver(df, name, columns, write):
     """Write rows as several deliveries in order of time, one after the other,
     as a source would bring them. Every LATE-th row of the first delivery
-    comes with the last one, far behind the watermark. Returns the folder."""
+    comes with the last one, far behind the watermark. Returns the folder and
+    the number of files of each delivery."""
     spark, path = df.sparkSession, _stage_dir(df.sparkSession, name)
     staged = stage(df, name)
-    lo, hi = staged.agg(F.min("sec"), F.max("sec")).first()
+    lo, hi, rows = staged.agg(F.min("sec"), F.max("sec"), F.count(F.lit(1))).first()
+    files = max(FILES, math.ceil(rows / SLICES / FILE_ROWS))
     own = F.least(F.lit(SLICES - 1), F.floor((F.col("sec") - lo) * SLICES / (hi - lo + 1)))
     late = (own == 0) & (F.col("row_id") % LATE == 0)
     placed = staged.withColumn("_slice", F.when(late, SLICES - 1).otherwise(own))
     for k in range(SLICES):
-        part = placed.filter(F.col("_slice") == k).repartition(FILES)
+        part = placed.filter(F.col("_slice") == k).repartition(files)
         write(part.select(*columns), f"{path}/{k}")
-    return path
+    return path, files
 
 
 def _line_stream(spark, sf_dir):
@@ -49,8 +53,8 @@ def _line_stream(spark, sf_dir):
         read_table(spark, sf_dir, "events").selectExpr("event_id", f"{SEC_EXPR} AS sec"), "event_id")
     # every tenth line is delivered twice
     twice = lines.unionByName(lines.filter("row_id % 10 = 0"))
-    path = _deliver(twice, "stream-lines", ["value"], lambda df, p: df.write.text(p))
-    source = spark.readStream.option("maxFilesPerTrigger", FILES).text(f"{path}/*")
+    path, files = _deliver(twice, "stream-lines", ["value"], lambda df, p: df.write.text(p))
+    source = spark.readStream.option("maxFilesPerTrigger", files).text(f"{path}/*")
     return ST.stream_events(source, FIXTURE_YEAR)
 
 
@@ -88,6 +92,14 @@ def q_stream_dedupe(spark, sf_dir):
     return ST.run_available(ev, "dedupe")
 
 
+@register("stream_dedupe_whole", f"""{_EV_SQL}
+SELECT DISTINCT ts_raw, src_ip, event, ts_sec FROM ev""")
+def q_stream_dedupe_whole(spark, sf_dir):
+    """STM2 / DD1(b) across deliveries without losing rows: late rows and rows without a readable time are kept once."""
+    ev = _line_stream(spark, sf_dir).select("ts_raw", "src_ip", "event", "ts_sec")
+    return ST.run_deduped(ev)
+
+
 @register("stream_ip_rate", f"""{_EV_SQL},
 w AS (SELECT src_ip, late, w_last, w_end, (ts_sec // 10) * 10 - 10 * k AS window_start FROM arr, range(0, 6) AS r(k)
       WHERE ts_sec IS NOT NULL)
@@ -119,8 +131,8 @@ WHERE (NOT late OR ts_sec - ts_sec % 60 + 60 > w3) AND ts_sec - ts_sec % 60 + 60
 def q_stream_timeline(spark, sf_dir):
     """STM3: minute tumbling attack counts from a stream of scored events."""
     sc = scored_events(spark, sf_dir)
-    path = _deliver(sc.withColumn("sec", F.col("ts_sec")), "stream-scored", sc.columns, lambda df, p: df.write.parquet(p))
-    s = spark.readStream.schema(sc.schema).option("maxFilesPerTrigger", FILES).parquet(f"{path}/*")
+    path, files = _deliver(sc.withColumn("sec", F.col("ts_sec")), "stream-scored", sc.columns, lambda df, p: df.write.parquet(p))
+    s = spark.readStream.schema(sc.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/*")
     s = apply_confidence_floor(s.withColumn("predicted_category", F.col("raw_category")))
     s = s.withColumn("event_time", F.timestamp_seconds("ts_sec"))
     return ST.run_available(ST.stream_timeline(s), "timeline")

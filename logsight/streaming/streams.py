@@ -3,13 +3,14 @@ library has no streaming input of its own).
 
 * STM1 ``stream_events``: raw log lines -> parsed, normalised, cleaned events
   (stateless; the same Column functions as the batch path).
-* STM2 ``stream_dedupe``: keyed duplicates dropped within the watermark.
+* STM2 ``stream_dedupe``: keyed duplicates dropped within the watermark;
+  ``run_deduped``: over all deliveries, by a written table of keys, no row lost.
 * STM3 ``stream_timeline``: 1-minute tumbling attack counts.
 * STM4 ``stream_ip_rate``: per-IP sliding 60 s / 10 s counts (the centred
   ±30 s batch rate needs future rows; a stream can only look back).
 * STM5 ``stream_bursts``: per-IP session windows (30 s gap) with failures.
 
-All of them run in append mode: the watermark frees their state, and rows
+All but ``run_deduped`` run in append mode: the watermark frees their state, and rows
 behind it are dropped. ``run_available`` drives a query to completion
 (``availableNow``) into a parquet file sink. Sessions of a hot key are merged
 before the shuffle where ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` is on.
@@ -50,6 +51,52 @@ def stream_dedupe(events: DataFrame, delay: str = WATERMARK) -> DataFrame:
                   .dropDuplicatesWithinWatermark(["ts_raw", "src_ip", "event"]))
 
 
+KEY_BUCKETS = 64
+
+
+def merge_delivery(batch: DataFrame, number: int, store: str, keys: tuple[str, ...]) -> None:
+    """One delivery of ``run_deduped``: its rows whose key neither it nor an earlier delivery has had go to
+    ``rows/delivery=<number>``, their digests to ``keys/delivery=<number>`` (by bucket). Both folders belong
+    to the delivery and are overwritten, and only earlier ones are read, so a delivery
+    that is tried again leaves the same keys once.
+
+    The keys are SHA-256 digests of the key columns as JSON (nulls left out, so null is not the empty text).
+    The key table is only scanned: it is cut down to the keys of this delivery by a semi join, whose other side is
+    the delivery's digests (broadcast by AQE or filtered by bucket when small); only what is left meets the rows."""
+    spark = batch.sparkSession
+    digest = F.unhex(F.sha2(F.to_json(F.struct(*keys)), 256))
+    bucket = F.pmod(F.xxhash64("_digest"), F.lit(KEY_BUCKETS)).cast("int")
+    one = batch.dropDuplicates(list(keys)).withColumn("_digest", digest).withColumn("_bucket", bucket)
+    one.write.mode("overwrite").parquet(f"{store}/inbox")
+    one = spark.read.schema(one.schema).parquet(f"{store}/inbox")
+    on = ["_bucket", "_digest"]
+    fresh = one
+    if number > 0:
+        known = (spark.read.schema("_digest binary, _bucket int, delivery long").option("basePath", f"{store}/keys")
+                 .parquet(f"{store}/keys").filter(F.col("delivery") < number))
+        fresh = one.join(known.join(one.select(*on), on, "left_semi").select(*on), on, "left_anti")
+    fresh.write.mode("overwrite").parquet(f"{store}/rows/delivery={number}")
+    kept = spark.read.schema(one.schema).parquet(f"{store}/rows/delivery={number}")
+    (kept.select(*on).repartition("_bucket").sortWithinPartitions(*on).write.mode("overwrite").partitionBy("_bucket")
+         .parquet(f"{store}/keys/delivery={number}"))
+
+
+def run_deduped(stream: DataFrame, keys: tuple[str, ...] = ("ts_raw", "src_ip", "event"), store: str | None = None) -> DataFrame:
+    """STM2 / DD1(b) over any number of deliveries: each key is kept once, whenever its copies come.
+    Rows without a readable time are kept once like any other, and rows behind a watermark are kept too:
+    what has been seen lies in a written table, not in state that event time frees.
+
+    ``store`` (a folder shared by all executors; a new one if None) holds rows, keys and the checkpoint:
+    another run with it goes on where the last one ended. Of rows with one key in one delivery any one is kept.
+    Returns all rows kept so far. Nulls equal nulls in keys; an empty delivery adds nothing."""
+    spark: SparkSession = stream.sparkSession
+    store = store or ensure_checkpoint_dir(spark).rstrip("/") + f"/logsight-stream/deduped-{uuid.uuid4().hex}"
+    q = (stream.writeStream.foreachBatch(lambda batch, number: merge_delivery(batch, number, store, keys))
+         .option("checkpointLocation", f"{store}/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{store}/rows").select(*stream.columns)
+
+
 def stream_timeline(scored: DataFrame, delay: str = WATERMARK, width: str = "1 minute") -> DataFrame:
     """STM3: attacks per tumbling window; rows later than the watermark are dropped."""
     attacks = scored.filter(F.col("predicted_category") != C.NORMAL_LABEL)
