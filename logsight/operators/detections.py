@@ -19,6 +19,12 @@ from logsight.session import stage
 from logsight.sources.rowid import dense_numbers
 
 
+def haystack() -> Column:
+    """What a search looks through: ``event + ' ' + src_ip + ' ' + username`` in lower case."""
+    return F.lower(F.concat(F.coalesce("event", F.lit("")), F.lit(" "), F.coalesce("src_ip", F.lit("")),
+                            F.lit(" "), F.coalesce("username", F.lit(""))))
+
+
 def filter_detections(df: DataFrame, category: str | None = None, severity: str | None = None,
                       query: str | None = None, legacy_all: bool = False) -> DataFrame:
     """is_anomaly rows, optional category / severity equality, and a literal
@@ -31,9 +37,7 @@ def filter_detections(df: DataFrame, category: str | None = None, severity: str
         out = out.filter(F.col("severity") == severity)
     q = (query or "").strip().lower()
     if q:
-        hay = F.lower(F.concat(F.coalesce("event", F.lit("")), F.lit(" "), F.coalesce("src_ip", F.lit("")),
-                               F.lit(" "), F.coalesce("username", F.lit(""))))
-        out = out.filter(hay.contains(q))
+        out = out.filter(haystack().contains(q))
     return out
 
 

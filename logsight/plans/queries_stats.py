@@ -2,9 +2,11 @@
 evaluation tables — all over the deterministic scored fixture."""
 from __future__ import annotations
 
+import functools
 import json
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logsight import constants as C
@@ -12,6 +14,7 @@ from logsight.operators import detections as DT
 from logsight.operators import severity as SV
 from logsight.operators import stats as ST
 from logsight.operators.evaluation import classification_report, confusion_matrix
+from logsight.operators.search import build_index
 from logsight.plans import sql_blocks as S
 from logsight.plans.catalog import register
 from logsight.sources.fixtures import scored_events
@@ -257,6 +260,20 @@ def q_detections_filter(spark, sf_dir):
             .select("row_id", "src_ip", "username", "predicted_category", "severity", "confidence"))
 
 
+_NEEDLES = ("failed password", "User1", "10.0.", "/etc/passwd", "a", "no such text anywhere")
+
+
+@register("detections_search", f"""WITH {SCORED},
+w AS (SELECT unnest([{", ".join(S.q(n) for n in _NEEDLES)}]) AS needle)
+SELECT needle, row_id, predicted_category FROM scored, w WHERE is_anomaly
+  AND contains(lower(concat(coalesce(event, ''), ' ', coalesce(src_ip, ''), ' ', coalesce(username, ''))), lower(needle))""")
+def q_detections_search(spark, sf_dir):
+    """FLT1 by a gram index over all detections: frequent, rare, short and absent needles."""
+    index = build_index(DT.filter_detections(scored(spark, sf_dir)))
+    found = [index.search(n).select(F.lit(n).alias("needle"), "row_id", "predicted_category") for n in _NEEDLES]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 def _page_sql(order, page_no):
     return f"""WITH {SCORED},
 d AS (SELECT *, row_number() OVER (ORDER BY {order}, row_id) AS pos, count(*) OVER () AS total

@@ -73,15 +73,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
-def stage(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
+def stage(df: DataFrame, name: str, schema: StructType | None = None, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as parquet under the shared checkpoint folder and read it
-    back (as ``schema``, if given): later passes scan the columnar copy (pruned, filter-pushed) instead
+    back (as ``schema``, if given; by the integer column ``partition_by``, if given, in folders): later passes scan the columnar copy (pruned, filter-pushed) instead
     of recomputing the upstream plan, and a lost executor only costs a
     re-read. Used where one expensive plan feeds several jobs."""
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/logsight-stage/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    if partition_by and schema is None:
+        schema = df.schema  # an empty table has no folders to tell the column by
     _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
     return (spark.read.schema(schema) if schema else spark.read).parquet(path)
 
