@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsight import constants as C
-from logsight.functions.text import (first_ipv4, first_match, let, regexp_groups, remove_first_occurrence,
+from logsight.functions.text import (first_ipv4, first_match, let, nonblank, regexp_groups, remove_first_occurrence,
                                      strip_ws)
 
 KV = dict(C.KV_PATTERNS)
@@ -125,14 +125,14 @@ def parse_lines(df: DataFrame, col: str = "value") -> DataFrame:
     Python; the whole parse is one expression per line.
     """
     keep = list(df.columns)
-    trimmed = df.withColumn("_s", strip_ws(F.col(col))).filter(F.col("_s") != "")
-    parsed = trimmed.withColumn("_p", let(F.col("_s"), _parse_struct))
+    parsed = nonblank(df, col, "_s").withColumn("_p", let(F.col("_s"), _parse_struct))
     return parsed.select(*keep, *[F.col("_p")[f].alias(f) for f in PARSED_FIELDS])
 
 
-def to_canonical_events(parsed: DataFrame, row_id: str = "row_id") -> DataFrame:
-    """Project parsed lines to the canonical event schema (+ format/host/prog)."""
+def to_canonical_events(parsed: DataFrame, row_id: str = "row_id", label: str | None = None) -> DataFrame:
+    """Project parsed lines to the canonical event schema (+ format/host/prog);
+    ``label`` names the column of their label, if they have one."""
     return parsed.select(
         F.col(row_id).cast("bigint").alias("row_id"), "ts_raw", "src_ip", "dst_ip", "dst_port",
         "username", "event", "bytes", "duration", "status",
-        F.lit(None).cast("string").alias("label_original"), "format", "host", "prog")
+        (F.col(label) if label else F.lit(None).cast("string")).alias("label_original"), "format", "host", "prog")

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsight import constants as C
@@ -30,13 +30,22 @@ def strip_ws(col: Column | str) -> Column:
     return F.trim(_c(col), F.lit(WHITESPACE))
 
 
+def nonblank(df: DataFrame, col: str, out: str) -> DataFrame:
+    """Add ``out``, the trimmed text of ``col``, and drop the rows without any.
+
+    By a generator: a filter would be pushed below the projection that makes
+    ``col``, which is then evaluated twice a row."""
+    text = strip_ws(col)
+    return df.select("*", F.explode(F.when(text != "", F.array(text))).alias(out))
+
+
 def first_match(col: Column | str, pattern: str, group: int = 1) -> Column:
     """Group ``group`` of the first match, or null when the pattern is absent.
 
-    Only for patterns whose group cannot match the empty string, so one regex
-    run suffices (``regexp_extract`` returns '' on no match)."""
-    c = _c(col)
-    return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
+    Only for patterns whose group cannot match the empty string. The list of
+    matches tells absence by itself, so the pattern runs once even where the
+    optimizer cannot share a common expression (the bodies of ``let``)."""
+    return F.get(F.regexp_extract_all(_c(col), F.lit(pattern), group), 0)
 
 
 GROUP_SEP = "\x00"  # NUL: cannot occur in admitted text (binary check)

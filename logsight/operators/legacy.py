@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logsight import constants as C
-from logsight.functions.text import count_tokens, strip_ws
+from logsight.functions.text import count_tokens, nonblank, strip_ws
 from logsight.functions.timestamps import calendar_features, legacy_normalise_timestamp
 
 
@@ -18,17 +18,18 @@ def parse_lines_keywords(df: DataFrame, col: str = "value", line_col: str = "row
     joined ', ', the first IPv4, a username (2 alternatives), the distinct
     event keywords (sorted, joined ', '), the line (its first ``event_chars``, if given)."""
     s = F.col("_line")
-    ips = F.regexp_extract_all(s, F.lit(C.IPV4_RE), 0)
-    kws = F.array_sort(F.array_distinct(F.regexp_extract_all(s, F.lit(C.LEGACY_EVENT_RE), 0)))
+    # each pattern runs once a line: matches are never empty, so an empty list joins to an empty text
+    ips = F.nullif(F.array_join(F.regexp_extract_all(s, F.lit(C.IPV4_RE), 0), ", "), F.lit(""))
+    kws = F.sort_array(F.array_distinct(F.regexp_extract_all(s, F.lit(C.LEGACY_EVENT_RE), 0)))
     u1 = F.nullif(F.regexp_extract(s, C.LEGACY_USER_RE, 1), F.lit(""))
     u2 = F.nullif(F.regexp_extract(s, C.LEGACY_USER_RE, 2), F.lit(""))
-    return (df.withColumn("_line", strip_ws(F.col(col))).filter(F.col("_line") != "")
+    return (nonblank(df, col, "_line")
               .select(F.col(line_col).alias("line_number"), F.col("_line").alias("raw_line"),
                       F.nullif(F.regexp_extract(s, C.LEGACY_TS_RE, 1), F.lit("")).alias("timestamp"),
-                      F.when(F.size(ips) > 0, F.array_join(ips, ", ")).alias("ip_addresses"),
+                      ips.alias("ip_addresses"),
                       F.regexp_substr(s, F.lit(C.IPV4_RE)).alias("source_ip"),
                       F.coalesce(u1, u2).alias("username"),
-                      F.when(F.size(kws) > 0, F.array_join(kws, ", ")).alias("event_keywords"),
+                      F.nullif(F.array_join(kws, ", "), F.lit("")).alias("event_keywords"),
                       (s if event_chars is None else F.substring(s, 1, event_chars)).alias("event_description")))
 
 

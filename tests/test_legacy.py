@@ -2,6 +2,8 @@
 import random
 import statistics
 
+from pyspark.sql import functions as F
+
 from logsight.operators import legacy as LG
 from logsight.sources.fixtures import log_lines
 
@@ -51,3 +53,17 @@ def test_keyword_parser_and_features(spark):
     assert set(row.asDict()) == {"line_number", "hour", "day_of_week", "is_weekend", "ip_first_octet",
                                  "ip_second_octet", "attack_keyword_count", "has_attack_keywords", "line_length"}
     assert feats.filter("ip_first_octet <> 10").count() == kw.filter("source_ip IS NULL").count() > 0
+
+
+def test_keyword_parser_runs_each_pattern_once(spark):
+    df = spark.createDataFrame([(1, "  "), (2, None), (3, " Port scan from 10.0.0.1 and 10.0.0.2, port 5 "), (4, "x")],
+                               "row_id long, value string")
+    made = df.withColumn("value", F.concat(F.col("value"), F.lit("")))
+    kw = LG.parse_lines_keywords(made)
+    plan = kw._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2 and plan.count("concat(") == 1
+    rows = {r["line_number"]: r for r in kw.collect()}
+    assert set(rows) == {3, 4}
+    assert (rows[3]["raw_line"], rows[3]["ip_addresses"], rows[3]["event_keywords"]) == (
+        "Port scan from 10.0.0.1 and 10.0.0.2, port 5", "10.0.0.1, 10.0.0.2", "Port, port, scan")
+    assert rows[4]["ip_addresses"] is None and rows[4]["event_keywords"] is None

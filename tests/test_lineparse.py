@@ -57,3 +57,22 @@ def test_syslog_kv_first_and_invalid_user_override(spark):
     assert r[1]["username"] == "guest" and r[1]["dst_port"] == 4242.0
     # kv keys are case-sensitive; lower-case src= wins over the first IPv4
     assert r[2]["src_ip"] == "5.6.7.8"
+
+
+def test_spread_deals_rows_not_splits(spark):
+    from pyspark.sql import functions as F
+    from logsight.session import TASK_ROWS, spread
+    # twice as many splits as cores, yet of 125,000 rows each
+    many = spread(spark.range(0, 20 * TASK_ROWS, 1, 8))
+    sizes = [r["n"] for r in many.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 20 * TASK_ROWS and max(sizes) <= 1.1 * TASK_ROWS
+
+
+def test_parse_evaluates_the_line_once(spark):
+    from pyspark.sql import functions as F
+    from logsight.functions.lineparse import parse_lines
+    df = spark.createDataFrame([(1, "  "), (2, None), (3, " user=bob src=10.0.0.1 note ")], "row_id long, value string")
+    parsed = parse_lines(df.withColumn("value", F.reverse(F.reverse("value"))))
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().count("reverse(reverse(") == 1
+    rows = parsed.collect()
+    assert [(r["row_id"], r["username"], r["src_ip"]) for r in rows] == [(3, "bob", "10.0.0.1")]
