@@ -54,9 +54,14 @@ def extract_features(df: DataFrame) -> DataFrame:
 
 def remove_duplicates(df: DataFrame, subset: list[str] | None = None, order_col: str = "line_number") -> DataFrame:
     """DD3L: drop rows equal to an earlier one on ``subset`` (all columns but
-    ``order_col`` when None), keeping the first — one grouped ``min_by``."""
+    ``order_col`` when None), keeping the first — one grouped ``min_by``. Where
+    every column is compared (and is text or a whole number, so that equal values are
+    the same), any of the equal rows is the first: the columns are grouped alone, hashed
+    and not sorted, without a second copy of the row beside the key."""
     key = subset or [c for c in df.columns if c != order_col]
     cols = df.columns
+    if set(key) == set(cols) and all(isinstance(f.dataType, (T.StringType, T.IntegralType)) for f in df.schema.fields):
+        return df.dropDuplicates()
     return (df.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)],
                       F.struct(*cols).alias("_row"), F.col(order_col).alias("_o"))
               .groupBy(*[f"_k{i}" for i in range(len(key))])

@@ -55,6 +55,14 @@ def test_keyword_parser_and_features(spark):
     assert feats.filter("ip_first_octet <> 10").count() == kw.filter("source_ip IS NULL").count() > 0
 
 
+def test_full_row_duplicates_are_grouped_without_a_sort(spark):
+    df = spark.createDataFrame([("a", None, 1), ("a", None, 1), (None, None, 2), (None, None, 2), ("a", "b", 1)],
+                               "t string, u string, line_number long")
+    out = LG.remove_duplicates(df, list(df.columns))
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([("a", None, 1), (None, None, 2), ("a", "b", 1)], key=str)
+    assert "SortAggregate" not in out._jdf.queryExecution().toString()
+
+
 def test_keyword_parser_runs_each_pattern_once(spark):
     df = spark.createDataFrame([(1, "  "), (2, None), (3, " Port scan from 10.0.0.1 and 10.0.0.2, port 5 "), (4, "x")],
                                "row_id long, value string")
