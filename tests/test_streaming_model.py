@@ -97,3 +97,29 @@ def test_sublinear_of_null_dense_and_sparse_vectors(spark):
     out = [r["w"] for r in M.SublinearTF(inputCol="tf", outputCol="w").transform(df).collect()]
     assert out == [Vectors.sparse(4, [1, 3], [1.0, 1 + math.log(5)]), Vectors.dense([0.0, 1 + math.log(2)]),
                    Vectors.sparse(4, [], []), None]
+
+
+def test_weights_have_rows_of_length_one(spark):
+    from logsight.operators import model as M
+    df = spark.createDataFrame([(1, "fail login root"), (2, "fail login"), (None, "fail root"), (3, "fail root root")],
+                               f"row_id long, {C.TEXT_FEATURE} string")
+    out = M.tfidf_weights(df)
+    assert {r["row_id"]: round(r["n"], 9) for r in out.groupBy("row_id").agg(F.sum(F.col("weight") ** 2).alias("n")).collect()} == {1: 1.0, 2: 1.0, 3: 1.0}
+    # the terms are weighed and normed in one pass, without a join back by row
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_projection_and_analysis_read_written_scores(spark, monkeypatch):
+    from logsight.operators import model as M
+    from logsight.plans import analyse as A
+    from logsight.plans.inputs import FIXTURE_YEAR, canonical_lines
+    model, _, _ = QM.trained(spark, SMOKE)
+    seen = []
+    plain = A.assign_severity
+    monkeypatch.setattr(A, "assign_severity", lambda df: seen.append(df) or plain(df))
+    result = A.analyse(canonical_lines(spark, SMOKE), model, assume_year=FIXTURE_YEAR, with_report=False)
+    # a bare scan: the severity's two readings do not run the model
+    assert seen[0]._jdf.queryExecution().optimizedPlan().toString().count("UDF") == 0
+    points = M.project_2d(result.scored)
+    assert points.count() == result.scored.count()
+    assert "event_clean" not in points._jdf.queryExecution().optimizedPlan().toString()
