@@ -123,3 +123,12 @@ def test_projection_and_analysis_read_written_scores(spark, monkeypatch):
     points = M.project_2d(result.scored)
     assert points.count() == result.scored.count()
     assert "event_clean" not in points._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_char_ngrams_pad_a_word_once(spark):
+    from logsight.operators import model as M
+    assert M.char_wb_expr("t").count("concat(") == 1
+    df = spark.createDataFrame([("a\U0001F600b  c",), (" x\tlogin\n",), ("",), (None,), ("é",)], "t string")
+    got = [r["g"] for r in df.select(F.expr(M.char_wb_expr("t")).alias("g")).collect()]
+    words = [["a\U0001F600b", "c"], ["x", "login"], [], [], ["é"]]
+    assert got == [[f" {w} "[i:i + n] for w in ws for n in (3, 4, 5) for i in range(len(w) + 3 - n)] for ws in words]
