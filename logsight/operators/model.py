@@ -66,6 +66,10 @@ class SublinearTF(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
         return dataset.withColumn(self.getOutputCol(), F.from_json(text, StructType([StructField("v", VectorUDT())]))["v"])
 
 
+#: The SQL stage of the word block.
+WORD_TERMS_SQL = "SELECT *, concat(_words, _bigrams) AS _word_terms FROM __THIS__"
+
+
 def text_stages(col: str = C.TEXT_FEATURE, word_min_df: float = 2, word_vocab: int = 20000,
                 char_min_df: float = 3, char_vocab: int = 15000) -> list:
     """ML1: word and char_wb TF-IDF blocks, L2-normalised."""
@@ -198,9 +202,12 @@ def _indexed(vectors: DataFrame, indexer) -> DataFrame:
 
 
 def _fit_text(stages: list, df: DataFrame) -> tuple[list, DataFrame]:
-    """Fit ``text_stages`` (and the stages behind them) one by one. The n-grams are written once,
-    so the vocabulary and frequency passes do not rebuild them. Returns the fitted stages and the written n-grams."""
-    tokens = stage(PipelineModel(stages[:N_PREP]).transform(df), "train-terms")
+    """Fit ``text_stages`` (and the stages behind them) one by one. The n-grams are written once, if ``df`` does not
+    have them, so the vocabulary and frequency passes do not rebuild them. Returns the fitted stages and the written n-grams."""
+    tokens = df
+    if "_word_terms" not in df.columns:
+        # the words, the pairs and the text are parts of the n-grams by now
+        tokens = stage(PipelineModel(stages[:N_PREP]).transform(df).drop("_words", "_bigrams", C.TEXT_FEATURE), "train-terms")
     fitted, data = list(stages[:N_PREP]), tokens
     for st in stages[N_PREP:]:
         if isinstance(st, IDF):
@@ -215,20 +222,33 @@ def _fit_text(stages: list, df: DataFrame) -> tuple[list, DataFrame]:
     return fitted, tokens
 
 
-def fit_word_block(df: DataFrame, word_min_df: float = 2, word_vocab: int = 20000) -> PipelineModel:
-    """ML1: the word block of the classifier alone, fitted."""
+def word_ngrams(df: DataFrame, col: str = C.TEXT_FEATURE) -> DataFrame:
+    """The word n-grams of each row, made and written once, for ``fit_word_block`` and ``vector_terms``."""
+    made = PipelineModel(_word_block()[:N_PREP]).transform(df)
+    return stage(made.drop("_words", "_bigrams", col), "word-terms")
+
+
+def _word_block(word_min_df: float = 2, word_vocab: int = 20000) -> list:
+    """The stages of ``text_stages`` that the word block needs; the character n-grams are not made for it."""
     block = [st for st in text_stages(word_min_df=word_min_df, word_vocab=word_vocab)
              if not (st.hasParam("outputCol") and st.getOrDefault("outputCol").startswith(("_char", "char")))]
-    return PipelineModel(_fit_text(block, df)[0])
+    block[N_PREP - 1] = SQLTransformer(statement=WORD_TERMS_SQL)
+    return block
+
+
+def fit_word_block(df: DataFrame, word_min_df: float = 2, word_vocab: int = 20000) -> PipelineModel:
+    """ML1: the word block of the classifier alone, fitted on texts or on their ``word_ngrams``."""
+    return PipelineModel(_fit_text(_word_block(word_min_df, word_vocab), df)[0])
 
 
 def vector_terms(model: PipelineModel, df: DataFrame, id_col: str = "row_id") -> DataFrame:
-    """(row, term, weight): the entries of the word vectors that ``model`` gives the rows of ``df``, by the
-    fitted vocabulary (whose size is a bound of the model, so it is broadcast)."""
+    """(row, term, weight): the entries of the word vectors that ``model`` gives the rows of ``df`` (texts, or
+    their ``word_ngrams``), by the fitted vocabulary (whose size is a bound of the model, so it is broadcast)."""
     words = next(st for st in model.stages if st.hasParam("vocabSize") and st.getOrDefault("outputCol") == "_word_tf")
     last = next(k for k, st in enumerate(model.stages) if st.hasParam("outputCol")
                 and st.isDefined("outputCol") and st.getOrDefault("outputCol") == "word_features")
     first = next(k for k, st in enumerate(model.stages) if isinstance(st, RegexTokenizer))
+    first += N_PREP if "_word_terms" in df.columns else 0
     rows = PipelineModel(model.stages[first:last + 1]).transform(df)
     parts = F.unwrap_udt(F.col("word_features"))
     entries = rows.select(id_col, F.explode(F.arrays_zip(parts["indices"].alias("i"), parts["values"].alias("x"))).alias("e"))

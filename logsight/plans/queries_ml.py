@@ -104,7 +104,7 @@ def q_tfidf_weights(spark, sf_dir):
 def q_model_text_vectors(spark, sf_dir):
     """ML1 / ML3: the word vectors that the fitted pipeline gives every row, read back as (row, term, weight);
     the vocabulary is wide enough here for all terms of the lines."""
-    rows = stage(M.trainable_rows(clean_lines(spark, sf_dir, with_features=False)).select("row_id", C.TEXT_FEATURE), "texts")
+    rows = M.word_ngrams(M.trainable_rows(clean_lines(spark, sf_dir, with_features=False)).select("row_id", C.TEXT_FEATURE))
     out = M.vector_terms(M.fit_word_block(rows, word_vocab=1 << 20), rows)
     return out.select("row_id", "term", F.round("weight", 6).alias("weight"))
 

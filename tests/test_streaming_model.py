@@ -132,3 +132,14 @@ def test_char_ngrams_pad_a_word_once(spark):
     got = [r["g"] for r in df.select(F.expr(M.char_wb_expr("t")).alias("g")).collect()]
     words = [["a\U0001F600b", "c"], ["x", "login"], [], [], ["é"]]
     assert got == [[f" {w} "[i:i + n] for w in ws for n in (3, 4, 5) for i in range(len(w) + 3 - n)] for ws in words]
+
+
+def test_word_block_makes_no_character_ngrams(spark):
+    from logsight.operators import model as M
+    df = spark.createDataFrame([(1, "fail login root"), (2, "fail login fail"), (3, "root root")], f"row_id long, {C.TEXT_FEATURE} string")
+    model = M.fit_word_block(df)
+    assert "_char_terms" not in model.transform(df).columns
+    made = M.word_ngrams(df)
+    assert made.columns == ["row_id", "_word_terms"]
+    rows = lambda m, d: sorted(map(tuple, M.vector_terms(m, d).collect()))
+    assert rows(M.fit_word_block(made), made) == rows(model, df) != []
