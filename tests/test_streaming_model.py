@@ -143,3 +143,28 @@ def test_word_block_makes_no_character_ngrams(spark):
     assert made.columns == ["row_id", "_word_terms"]
     rows = lambda m, d: sorted(map(tuple, M.vector_terms(m, d).collect()))
     assert rows(M.fit_word_block(made), made) == rows(model, df) != []
+
+
+def test_the_written_ngrams_carry_no_texts(spark):
+    from logsight.operators import model as M
+    df = spark.createDataFrame([(1, "fail login"), (2, "fail root")], f"row_id long, {C.TEXT_FEATURE} string")
+    stages, tokens = M._fit_text(M.text_stages(char_min_df=1, word_min_df=1), df)
+    assert tokens.columns == ["row_id", "_word_terms", "_char_terms"]
+    # the frequencies are those of the weighed terms: "fail" stands in both rows, the others in one
+    import math
+    weights = next(st for st in stages if st.hasParam("scalingVec")).getScalingVec().toArray()
+    assert sorted(round(float(w), 9) for w in weights) == [1.0] + [round(math.log(1.5) + 1, 9)] * 4
+
+
+def test_report_runs_its_predictions_once(spark):
+    from logsight.operators.evaluation import classification_report
+    runs = spark.sparkContext.accumulator(0)
+
+    def guess(x):
+        runs.add(1)
+        return "ab"[x % 2]
+    df = spark.range(20).selectExpr("int(id) AS x", "CASE WHEN id < 4 THEN NULL WHEN id % 3 = 0 THEN 'a' ELSE 'b' END AS label")
+    out = classification_report(df.withColumn("p", F.udf(guess, "string")("x")), "label", "p").collect()
+    assert runs.value == 20
+    assert sorted((r["class"] or "", r["precision"], r["recall"], r["support"]) for r in out) == [
+        ("", 0.0, 0.0, 4), ("a", 0.3, 0.6, 5), ("b", 0.6, 0.545455, 11)]
