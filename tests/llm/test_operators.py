@@ -104,6 +104,32 @@ def test_suffixes_that_tie_for_long():
     assert [whole[i:] for i in order] == sorted(whole[i:] for i in range(len(whole)))
 
 
+def test_windows_are_sorted_no_further_than_they_reach(monkeypatch):
+    import numpy as np
+
+    for seed in range(60):
+        r = random.Random(seed)
+        width = r.choice([3, 8, 9, 16, 17, 24, 25, 100])
+        base = [bytes(r.choices(b"ab", k=r.randint(width, 3 * width))) for _ in range(3)]
+        texts = [r.choice(base)[r.randint(0, 5):] for _ in range(r.randint(0, 20))]
+        text, starts = suffixes.joined(texts)
+        at = [int(a) + k for a, t in zip(starts, texts) for k in range(len(t) - width + 1)]
+        whole = text.tobytes()
+        seen = [whole[k:k + width] for k in at]
+        for thrice in (True, False):  # prefixes that triple, and (of large texts) double
+            monkeypatch.setattr(suffixes, "_thrice", lambda n: thrice)
+            got = suffixes.repeated_windows(text, np.array(at, np.int64), width)
+            assert sorted(got.tolist()) == [k for k, w in zip(at, seen) if seen.count(w) > 1]
+    monkeypatch.undo()
+    # two copies of each stretch tie to the end: each round splits those alone that a window still reads
+    rounds = []
+    split = suffixes._split
+    monkeypatch.setattr(suffixes, "_split", lambda order, rank, tied, steps: rounds.append(len(tied)) or split(order, rank, tied, steps))
+    stretch = [random.Random(k).randbytes(490).replace(b"\xff", b"a") for k in range(20)]
+    assert suffixes.repeated_within(sorted(stretch * 2), 400).sum() == 40 * 91
+    assert rounds == [40 * n for n in (467, 419, 182, 91)]
+
+
 def test_simhash(docs):
     got = simhash.simhash_components(docs, leaf_size=16)
     assert listed(got, "doc_id", "fingerprint", "component_id") == sorted(brute.simhash(plain(docs)), key=repr)
