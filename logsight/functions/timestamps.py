@@ -130,18 +130,27 @@ def _normalise_stripped(text: Column, assume_year: int | None, epoch_millis: boo
 
 def legacy_normalise_timestamp(raw: Column | str) -> Column:
     """Legacy rule: explicit formats in order, then an ISO fallback; no-year
-    text gets year 1900 (the strptime default). Returns BIGINT seconds."""
+    text gets year 1900 (the strptime default). Returns BIGINT seconds.
+
+    A format is tried where the text has the characters that it cannot do
+    without (a failed try costs an exception); letters in either case, as the formats take them."""
     text = strip_ws(_c(raw).cast("string"))
     tries = []
     for fmt in C.LEGACY_TS_FORMATS:
         if fmt == "MMM dd HH:mm:ss":
+            may = F.upper(F.substring(text, 1, 1)).between("A", "Z")
             ts = F.try_to_timestamp(F.concat(F.lit("1900 "), text, F.lit(" +0000")),
                                     F.lit("yyyy MMM d HH:mm:ss Z"))
-        elif fmt.endswith("Z") or fmt.endswith("XX"):
-            ts = F.try_to_timestamp(text, F.lit(fmt))
         else:
-            ts = F.try_to_timestamp(F.concat(text, F.lit(" +0000")), F.lit(fmt + " Z"))
-        tries.append(F.unix_seconds(ts))
+            needs = [c for c in ("/", ".") if c in fmt] + ([] if "/" in fmt else ["-"])
+            may = text.contains("T") | text.contains("t") if "'T'" in fmt else text.contains(" ")
+            for c in needs:
+                may = may & text.contains(c)
+            if fmt.endswith("Z") or fmt.endswith("XX"):
+                ts = F.try_to_timestamp(text, F.lit(fmt))
+            else:
+                ts = F.try_to_timestamp(F.concat(text, F.lit(" +0000")), F.lit(fmt + " Z"))
+        tries.append(F.when(may, F.unix_seconds(ts)))
     tries.append(F.when(text.rlike(ISO_DIRECT_RE), _iso_seconds(text)))
     return F.coalesce(*tries)
 

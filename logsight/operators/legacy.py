@@ -3,6 +3,8 @@
 generic missing-value fill, subset dedupe, summary statistics."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +14,22 @@ from logsight.functions.text import count_tokens, nonblank, strip_ws
 from logsight.functions.timestamps import calendar_features, legacy_normalise_timestamp
 
 
+def _by_first_letter(pattern: str) -> str:
+    """The alternation of plain words ``pattern`` (any case), its words
+    grouped by their first letter, so that a place in the text is tried once a letter. No word may begin
+    another: then at most one of them matches at a place, in whatever order they stand."""
+    words = re.fullmatch(r"\(\?i\)\(\?:([a-z|]+)\)", pattern).group(1).split("|")
+    if any(a != b and b.startswith(a) for a in words for b in words):
+        return pattern
+    groups = {}
+    for w in words:
+        groups.setdefault(w[0], []).append(w[1:])
+    return "(?i)(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in groups.items()) + ")"
+
+
+_EVENT_RE = _by_first_letter(C.LEGACY_EVENT_RE)
+
+
 def parse_lines_keywords(df: DataFrame, col: str = "value", line_col: str = "row_id",
                          event_chars: int | None = None) -> DataFrame:
     """LP13L: per non-blank line: first timestamp (4 alternatives), every IPv4
@@ -20,7 +38,7 @@ def parse_lines_keywords(df: DataFrame, col: str = "value", line_col: str = "row
     s = F.col("_line")
     # each pattern runs once a line: matches are never empty, so an empty list joins to an empty text
     ips = F.nullif(F.array_join(F.regexp_extract_all(s, F.lit(C.IPV4_RE), 0), ", "), F.lit(""))
-    kws = F.sort_array(F.array_distinct(F.regexp_extract_all(s, F.lit(C.LEGACY_EVENT_RE), 0)))
+    kws = F.sort_array(F.array_distinct(F.regexp_extract_all(s, F.lit(_EVENT_RE), 0)))
     u1 = F.nullif(F.regexp_extract(s, C.LEGACY_USER_RE, 1), F.lit(""))
     u2 = F.nullif(F.regexp_extract(s, C.LEGACY_USER_RE, 2), F.lit(""))
     return (nonblank(df, col, "_line")
@@ -41,14 +59,17 @@ def _octet(ip: Column, i: int) -> Column:
 def extract_features(df: DataFrame) -> DataFrame:
     """PIPE4L: hour, day_of_week, is_weekend, ip_first_octet,
     ip_second_octet, attack_keyword_count, has_attack_keywords, line_length."""
-    cal = calendar_features(legacy_normalise_timestamp("timestamp"))
-    kw = F.lower(F.col("event_keywords"))
-    n_kw = F.when(F.col("event_keywords").isNull(), F.lit(0)).otherwise(count_tokens(kw, C.LEGACY_ATTACK_KEYWORDS))
+    # made once a row: each has several readers
+    df = df.select("line_number", "event_keywords", "source_ip", "raw_line", legacy_normalise_timestamp("timestamp").alias("_sec"),
+                   F.lower(F.col("event_keywords")).alias("_kw"))
+    n_kw = F.when(F.col("event_keywords").isNull(), F.lit(0)).otherwise(count_tokens("_kw", C.LEGACY_ATTACK_KEYWORDS))
+    df = df.withColumn("attack_keyword_count", n_kw)
+    cal = calendar_features("_sec")
     return df.select(
         "line_number", cal["hour"].alias("hour"), cal["day_of_week"].alias("day_of_week"),
         cal["is_weekend"].alias("is_weekend"),
         _octet(F.col("source_ip"), 0).alias("ip_first_octet"), _octet(F.col("source_ip"), 1).alias("ip_second_octet"),
-        n_kw.alias("attack_keyword_count"), (n_kw > 0).cast("int").alias("has_attack_keywords"),
+        "attack_keyword_count", (F.col("attack_keyword_count") > 0).cast("int").alias("has_attack_keywords"),
         F.coalesce(F.length("raw_line"), F.lit(0)).alias("line_length"))
 
 

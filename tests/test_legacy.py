@@ -75,3 +75,39 @@ def test_keyword_parser_runs_each_pattern_once(spark):
     assert (rows[3]["raw_line"], rows[3]["ip_addresses"], rows[3]["event_keywords"]) == (
         "Port scan from 10.0.0.1 and 10.0.0.2, port 5", "10.0.0.1, 10.0.0.2", "Port, port, scan")
     assert rows[4]["ip_addresses"] is None and rows[4]["event_keywords"] is None
+
+
+def test_legacy_times_are_tried_by_need_and_made_once(spark):
+    from logsight import constants as C
+    from logsight.functions.timestamps import ISO_DIRECT_RE, _iso_seconds, legacy_normalise_timestamp
+    texts = [a + b + c for a in ("2026-08-14", "2026-8-4", "12026-08-14", "+12026-08-14", "-2026-08-14", "0000-01-01", "14/Aug/2026", "1/Aug/2026", "14/aug/2026", "Aug 14", "aug 4",
+                                 "SEP 04", "Aug  4", "Aug -4", "August 14", "ſep 01", "Feb 29", "")
+             for b in ("T", "t", " ", ":", "  ", "")
+             for c in ("10:22:31", "10:22:31.5", "10:22:31.123456", "10:22:31.123456789", "10:22:31,5", "10:22:31Z", "10:22:31z", "10:22:31+02:00", "10:22:31+0200", "10:22:31.123456+0200",
+                       "10:22:31.12Z", "10:22:31 +0200", "10:22:31 Z", "10:22", "25:00:00", "")]
+    texts += [" 2026-08-14 10:22:31\t", "x", "T.-/ ", "1900 Aug 14 10:22:31", "12345", None]
+
+    def unguarded(t):
+        tries = []
+        for f in C.LEGACY_TS_FORMATS:
+            text, fmt = (F.concat(F.lit("1900 "), t, F.lit(" +0000")), "yyyy MMM d HH:mm:ss Z") if f == "MMM dd HH:mm:ss" else (t, f) if f.endswith(("Z", "XX")) else (F.concat(t, F.lit(" +0000")), f + " Z")
+            tries.append(F.unix_seconds(F.try_to_timestamp(text, F.lit(fmt))))
+        return F.coalesce(*tries, F.when(t.rlike(ISO_DIRECT_RE), _iso_seconds(t)))
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", legacy_normalise_timestamp("t").alias("got"), unguarded(F.trim(F.col("t"), F.lit(" \t\n\r\x0b\x0c"))).alias("want")).collect()
+    assert [(r.t, r.got) for r in rows] == [(r.t, r.want) for r in rows] and len({r.got for r in rows}) > 15
+    feats = LG.extract_features(spark.createDataFrame([(1, "a", "b", "c", "d")], "line_number long, timestamp string, event_keywords string, source_ip string, raw_line string"))
+    assert feats._jdf.queryExecution().optimizedPlan().toString().lower().count("gettimestamp(") <= len(C.LEGACY_TS_FORMATS)
+
+
+def test_event_words_by_first_letter():
+    import re
+
+    from logsight import constants as C
+    r, words = random.Random(5), re.findall("[a-z]{3,}", C.LEGACY_EVENT_RE)
+    assert LG._EVENT_RE != C.LEGACY_EVENT_RE
+    for _ in range(3000):
+        text = "".join(r.choice([w, w.upper(), w[:-1], w[1:], " ", "d", "e"]) for w in r.choices(words, k=6))
+        assert re.findall(LG._EVENT_RE, text) == re.findall(C.LEGACY_EVENT_RE, text)
+    assert LG._by_first_letter("(?i)(?:do|dos)") == "(?i)(?:do|dos)"
