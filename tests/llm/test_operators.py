@@ -75,6 +75,23 @@ def test_suffix(docs):
     assert listed(suffixes.suffix_dedup(docs, shard_bytes=3000), *columns) == want
 
 
+def test_suffix_of_planted_passages(spark):
+    rows, want = [], {}
+    for k in range(24):
+        r = random.Random(k)
+        passage = " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(57)) + " " + "z" * (k % 2)  # 399 or 400 bytes
+        assert len(passage.split()) > 50 and len(passage) == 399 + k % 2
+        for half in (0, 1):  # all differ before and after the passage
+            i = 2 * k + half
+            rows.append((i, prose(60 + 20 * half, 200 + i) + f"\n{half}" + passage + f"{half}\n" + prose(80, 300 + i)))
+            want[i] = 400 * (k % 2)
+    rows += [(100 + k, prose(150, 400 + k)) for k in range(20)]
+    got = {r.doc_id: r for r in suffixes.suffix_dedup(table(spark, rows)).collect()}
+    assert {i: r.n_removed for i, r in got.items()} == {i: want.get(i, 0) for i, _ in rows}
+    # the length of the whole text, whatever is removed
+    assert {i: r.n_bytes for i, r in got.items()} == {i: len(t.encode()) for i, t in rows}
+
+
 def test_suffixes_that_tie_for_long():
     from collections import Counter
 
