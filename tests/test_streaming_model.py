@@ -168,3 +168,16 @@ def test_report_runs_its_predictions_once(spark):
     assert runs.value == 20
     assert sorted((r["class"] or "", r["precision"], r["recall"], r["support"]) for r in out) == [
         ("", 0.0, 0.0, 4), ("a", 0.3, 0.6, 5), ("b", 0.6, 0.545455, 11)]
+
+
+def test_sublinear_weights_pass_through_no_text(spark):
+    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.sql.types import StructField, StructType
+    from logsight.operators import model as M
+    v = [Vectors.sparse(3, [0, 2], [1.0, 1e300]), Vectors.dense([0.1, 2.0]), None]
+    df = spark.createDataFrame([(x,) for x in v], StructType([StructField("tf", VectorUDT())]))
+    out = M.SublinearTF(inputCol="tf", outputCol="w").transform(df)
+    assert "json" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.schema["w"].dataType == VectorUDT()
+    # the parts alone, as they are, make the same vector
+    assert [r["w"] for r in df.select(M.wrap_vector(F.unwrap_udt("tf")).alias("w")).collect()] == v
