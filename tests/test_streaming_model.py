@@ -181,3 +181,43 @@ def test_sublinear_weights_pass_through_no_text(spark):
     assert out.schema["w"].dataType == VectorUDT()
     # the parts alone, as they are, make the same vector
     assert [r["w"] for r in df.select(M.wrap_vector(F.unwrap_udt("tf")).alias("w")).collect()] == v
+
+
+def test_lines_are_parsed_once_with_their_labels(spark, monkeypatch):
+    import pytest
+    lines = spark.createDataFrame([(1, "seen at 1786320000 Failed password for bob from 10.0.0.1", "Brute Force"),
+                                   (2, "no label here", None), (None, "no id", "Normal"),
+                                   (3, "seen at 1786320001 Accepted password for bob from 10.0.0.2", "Normal")],
+                                  "row_id long, value string, label string")
+    from logsight.functions.lineparse import parse_lines
+    monkeypatch.setattr(QM, "parsed_lines", lambda *a: parse_lines(lines))
+    seen = []
+
+    def stop(df, **kw):
+        seen.append(df)
+        raise InterruptedError
+    monkeypatch.setattr(QM, "preprocess", stop)
+    with pytest.raises(InterruptedError):
+        QM.labelled_events(spark, SMOKE)
+    got = {r["row_id"]: r["label_original"] for r in seen[0].collect()}
+    assert got == {1: "Brute Force", 2: None, 3: "Normal"}
+    assert "Join" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_fit_reads_written_rows(spark, monkeypatch):
+    import pytest
+    from logsight.operators import model as M
+    cols = {c: F.col("id").cast("double") for c in C.MODEL_NUMERIC_FEATURES}
+    df = spark.range(20).select(F.col("id").alias("row_id"), F.lit("a").alias("label_original"),
+                                F.lit("failed login").alias(C.TEXT_FEATURE), *[v.alias(c) for c, v in cols.items()])
+    tr, _ = M.stratified_split(df)
+    seen = []
+
+    def stop(df, *a):
+        seen.append(df)
+        raise InterruptedError
+    monkeypatch.setattr(M, "numeric_scale", stop)
+    with pytest.raises(InterruptedError):
+        M.train(tr)
+    # the passes of the fit do not split the rows again
+    assert seen[0].count() == 16 and "Join" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
