@@ -221,3 +221,14 @@ def test_the_fit_reads_written_rows(spark, monkeypatch):
         M.train(tr)
     # the passes of the fit do not split the rows again
     assert seen[0].count() == 16 and "Join" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_model_card_does_not_split_again(spark, monkeypatch):
+    from logsight.operators import model as M
+    _, test, data = QM.trained(spark, SMOKE)
+
+    def again(*a, **kw):
+        raise AssertionError("split again")
+    monkeypatch.setattr(M, "stratified_split", again)
+    card = QM.q_model_card(spark, SMOKE).first()
+    assert card["test_rows"] == test.count() and card["corpus_rows"] == data.count()
